@@ -17,62 +17,85 @@ NUMBER_TEXT = (
 )
 SPECIAL_TEXT = r"(?i)^[+-]?(inf|infinity|nan)$"
 
-EDGE_SPACE = r"^\s+|\s+$"
+SPACES = " \t\n\x0b\f\r"
+
+
+def bound(c: Column, body) -> Column:
+    """Evaluate ``c`` once and use it several times in ``body``.
+
+    Repeating a long expression inline multiplies the generated code.
+    """
+    return F.element_at(F.transform(F.array(c), body), 1)
 
 
 def trimmed(c: Column) -> Column:
-    """Strip every leading and trailing white-space character."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    """Strip leading and trailing white space."""
+    return F.btrim(c, F.lit(SPACES))
 
 
-def to_number(c: Column) -> Column:
-    """Text to double, NULL when the text is not a finite float literal."""
-    s = trimmed(c)
+def _number(s: Column) -> Column:
     return F.when(
-        s.rlike(NUMBER_TEXT), F.regexp_replace(s, "_", "").try_cast("double")
+        s.rlike(NUMBER_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double")
     )
 
 
+def to_number(c: Column) -> Column:
+    """Text to double, NULL when the text is not a finite float literal."""
+    return _number(trimmed(c))
+
+
 def to_number_commas(c: Column) -> Column:
     """As :func:`to_number` after removing thousands commas."""
-    return to_number(F.regexp_replace(c, ",", ""))
+    return to_number(F.replace(c, F.lit(","), F.lit("")))
 
 
-def fixed2_of(x: Column, negative: Column) -> Column:
-    """A double printed with two decimals, rounding its exact binary value half to even.
+def _hundredths(a: Column) -> Column:
+    """``100 * a`` rounded half to even on the exact binary value of ``a``.
 
-    ``x * 100`` is split into a rounded product and its exact error, so a tie is
-    recognised only when the binary value really is one.
+    The product is split into its rounded part and its exact error, so a tie counts as
+    one only when the binary value really is one.
     """
-    a = F.abs(x)
-    p = a * F.lit(100.0)
+    def with_high(hi: Column) -> Column:
+        p = a * F.lit(100.0)
+        err = (hi * F.lit(100.0) - p) + (a - hi) * F.lit(100.0)
+        f = F.floor(p)
+        half = p - f
+        up = (half > 0.5) | ((half == 0.5) & ((err > 0) | ((err == 0) & (f % 2 == 1))))
+        return f + F.when(up, F.lit(1)).otherwise(F.lit(0))
+
     c = a * F.lit(134217729.0)
-    hi = c - (c - a)
-    err = (hi * F.lit(100.0) - p) + (a - hi) * F.lit(100.0)
-    f = F.floor(p)
-    d = p - f
-    up = (d > 0.5) | ((d == 0.5) & ((err > 0) | ((err == 0) & (f % 2 == 1))))
-    n = f + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    small = F.concat(
-        F.expr("''"), (F.floor(n / 100)).cast("string"), F.lit("."),
-        F.lpad((n % 100).cast("string"), 2, "0"),
-    )
-    big = a.try_cast("decimal(38,2)").cast("string")
-    return F.concat(
-        F.when(negative, F.lit("-")).otherwise(F.lit("")),
-        F.when(a < F.lit(9.0e13), small).otherwise(big),
-    )
+    return bound(c - (c - a), with_high)
+
+
+def fixed2_of(x: Column, negative: Column) -> Column:
+    """A double printed with two decimals, as ``%.2f`` prints its exact binary value."""
+    def printed(a: Column) -> Column:
+        small = bound(
+            _hundredths(a),
+            lambda n: F.concat(
+                F.floor(n / 100).cast("string"), F.lit("."),
+                F.lpad((n % 100).cast("string"), 2, "0"),
+            ),
+        )
+        big = a.try_cast("decimal(38,2)").cast("string")
+        return F.when(a < F.lit(9.0e13), small).otherwise(big)
+
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, bound(F.abs(x), printed))
 
 
 def fixed2_text(c: Column) -> Column:
     """Numeric text printed with two decimals; NULL when the text is not numeric."""
-    s = trimmed(c)
-    special = F.when(F.lower(s).contains("nan"), F.lit("nan")).otherwise(
-        F.concat(F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.lit("inf"))
-    )
-    return F.when(s.rlike(SPECIAL_TEXT), special).otherwise(
-        fixed2_of(to_number(c), s.startswith("-"))
-    )
+    def printed(s: Column) -> Column:
+        sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        special = F.when(F.lower(s).contains("nan"), F.lit("nan")).otherwise(
+            F.concat(sign, F.lit("inf"))
+        )
+        return F.when(s.rlike(SPECIAL_TEXT), special).otherwise(
+            fixed2_of(_number(s), s.startswith("-"))
+        )
+
+    return bound(trimmed(c), printed)
 
 
 def clean_cell(c: Column, tokens: tuple[str, ...]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from questloom.plans import (  # noqa: F401
+    q_answers,
     q_patterns,
     q_query,
 )
