@@ -6,6 +6,7 @@ from questloom.plans import (  # noqa: F401
     q_answers,
     q_patterns,
     q_query,
+    q_sources,
 )
 from questloom.plans.registry import ORACLE, QUERIES
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,12 +29,12 @@ def safe_name_column(path: Column) -> Column:
     return F.substring(name, 1, MAX_NAME)
 
 
-def unique_names(df: DataFrame, path: str) -> DataFrame:
-    """Add ``view_name``; the second file with a name gets ``_2``, the third ``_3``.
+def unique_names(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``view_name``; the second file of a name gets ``_2``, the third ``_3``.
 
-    The window runs over a catalogue of files, grouped by name.
+    Names are unique within ``by`` (one context folder).
     """
-    w = Window.partitionBy("_base").orderBy(path)
+    w = Window.partitionBy(*by, "_base").orderBy(path)
     named = df.withColumn("_base", safe_name_column(F.col(path))).withColumn(
         "_k", F.row_number().over(w)
     )
