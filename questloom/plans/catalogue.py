@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from questloom.plans import (  # noqa: F401
     q_answers,
+    q_documents,
     q_patterns,
+    q_profile,
     q_query,
     q_sources,
+    q_thresholds,
 )
-from questloom.plans.registry import ORACLE, QUERIES
+from questloom.plans.registry import QUERIES, oracles
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from questloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 class Tables:
@@ -36,7 +36,12 @@ def query(name: str, oracle: str | None = None, uses: tuple[str, ...] | list[str
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if oracle is not None:
-            ORACLE[name] = fx.with_derived(oracle, uses)
+            _TWINS[name] = (oracle, tuple(uses))
         return fn
 
     return add
+
+
+def oracles() -> dict[str, str]:
+    """The SQL twins with their derived tables in front."""
+    return {name: fx.with_derived(text, uses) for name, (text, uses) in _TWINS.items()}
