@@ -252,7 +252,9 @@ def scored_amounts(df: DataFrame, doc: str, text: str) -> DataFrame:
     parts = F.split("_p", F.concat(F.lit(r"\Q"), F.col("id"), F.lit(r"\E")))
     tails = F.transform(
         F.sequence(F.lit(2), F.size("_parts")),
-        lambda k: F.array_join(F.slice("_parts", k, F.size("_parts")), F.col("id")),
+        lambda k: F.call_function(
+            "array_join", F.slice("_parts", k, F.size("_parts")), F.col("id")
+        ),
     )
 
     def first_tail(pattern: str) -> Column:

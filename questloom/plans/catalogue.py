@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from questloom.plans import (  # noqa: F401
     q_answers,
+    q_classify,
     q_documents,
     q_patterns,
     q_profile,

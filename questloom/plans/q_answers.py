@@ -99,7 +99,7 @@ def prune_to_column(t: Tables):
     return N.prune_to_column(t.named_cells, keep)
 
 
-def _duck_keep() -> str:
+def keep_column_sql(source: str) -> str:
     hits = " + ".join(f"contains(q, '{x}')::INT" for x in R.FIELD_TERMS)
     parts = []
     for e in R.ENTITY_TERMS:
@@ -116,14 +116,14 @@ def _duck_keep() -> str:
 
     cnt = f"(list_contains({list(R.COUNT_COLUMNS)}, c) OR c LIKE '%\\_count' ESCAPE '\\')"
     others = f"list_filter(cols, lambda c: NOT {cnt})"
-    return f"""WITH r AS (SELECT *, lower(question) AS q, list_transform(string_split(headers, ','), lambda c: lower(trim(c))) AS cols FROM header_questions)
+    return f"""WITH r AS (SELECT *, lower(question) AS q, list_transform(string_split(headers, ','), lambda c: lower(trim(c))) AS cols FROM {source})
 SELECT task_id, question, headers, CASE WHEN len(cols) > 1 AND NOT {many} AND NOT ({D.any_contains('q', ('website', 'web site', 'url'))} AND {D.any_contains('q', ('name', 'reference', 'ref'))})
  AND regexp_matches(q, '\\b(which|what|list|show|return|give)\\b') THEN coalesce(list_filter({cand}, lambda c: list_contains(cols, c))[1], {only('id')}, {only('name')}) END AS keep_single,
 CASE WHEN len(cols) > 1 AND regexp_matches(q, '\\btall(?:y|ied|ies)\\b') AND len(list_filter(cols, lambda c: {cnt})) > 0 AND len({others}) > 0
  THEN coalesce(list_filter({list(R.TALLY_PREFERRED)}, lambda n: list_contains(cols, n))[1], ({others})[1]) END AS keep_tally FROM r"""
 
 
-@query("keep_column_choice", _duck_keep(), ["header_questions"])
+@query("keep_column_choice", keep_column_sql("header_questions"), ["header_questions"])
 def keep_column_choice(t: Tables):
     q = t.header_questions.withColumn("_h", F.split("headers", ","))
     return N.keep_column_choice(q, "question", "_h").drop("_h")
