@@ -11,6 +11,7 @@ from questloom.plans import (  # noqa: F401
     q_query,
     q_sources,
     q_thresholds,
+    q_traces,
     q_verify,
 )
 from questloom.plans.registry import QUERIES, oracles

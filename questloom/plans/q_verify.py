@@ -32,7 +32,7 @@ SELECT task_id, CASE task_id % 5 WHEN 0 THEN 'name|customer id|TEXT' WHEN 1 THEN
  CAST(CASE task_id % 7 WHEN 4 THEN 3 END AS BIGINT) AS max_rows, task_id % 2 = 0 AS exact_columns FROM check_tasks WHERE task_id % 6 <> 5""", ("check_tasks",))
 
 fx.define("trace_texts", """
-SELECT task_id, step_index, action || ' ' || CASE action_key WHEN 'view:0' THEN 'SELECT count(*) FROM t' WHEN 'view:1' THEN 'numerator over denominator' WHEN 'click:0' THEN 'sum(x)' WHEN 'click:1' THEN 'select c.id from t'
+SELECT task_id, step_index, action, action || ' ' || CASE action_key WHEN 'view:0' THEN 'SELECT count(*) FROM t' WHEN 'view:1' THEN 'numerator over denominator' WHEN 'click:0' THEN 'sum(x)' WHEN 'click:1' THEN 'select c.id from t'
  WHEN 'purchase:0' THEN 'avg(x) where x > 0' WHEN 'purchase:1' THEN 'x between 1 and 2' WHEN 'error:0' THEN 'distinct' ELSE 'thinking' END AS text FROM trace_steps""", ("trace_steps",))
 
 _BASE = ["check_cells", "check_headers", "check_tasks"]
@@ -115,12 +115,12 @@ def verify_shape(t: Tables):
     return V.shape_check(t.check_tasks, t.check_headers, t.check_cells)
 
 
-_REPORT = f"""{_CONTRACT}, {_TASK}, {_SANE}, {_SHAPE},
+REPORT_SQL = f"""{_CONTRACT}, {_TASK}, {_SANE}, {_SHAPE},
 rd AS (SELECT task_id, 'readability_check' AS "check", CASE WHEN task_id >= 3000000 THEN 'missing' END AS d FROM check_tasks),
 rp AS (SELECT * FROM rd UNION ALL SELECT x.* FROM (SELECT * FROM cc UNION ALL SELECT * FROM tc UNION ALL SELECT * FROM sc UNION ALL SELECT * FROM sh) x WHERE x.task_id < 3000000)"""
 
 
-def _report(t: Tables):
+def report(t: Tables):
     gone = F.col("task_id") >= 3000000
     readable = t.check_tasks.select(
         "task_id", F.lit("readability_check").alias("check"), (~gone).alias("passed"),
@@ -129,26 +129,26 @@ def _report(t: Tables):
     return V.full_report(readable, t.check_headers, t.check_cells, _contracts(t))
 
 
-@query("verification_report", f"WITH {_REPORT} {_out('rp')}", [*_BASE, "check_contracts"])
+@query("verification_report", f"WITH {REPORT_SQL} {_out('rp')}", [*_BASE, "check_contracts"])
 def verification_report(t: Tables):
-    return _report(t)
+    return report(t)
 
 
-@query("verification_summary", f"WITH {_REPORT} SELECT task_id, bool_and(d IS NULL) AS all_passed, count(*) FILTER (d IS NOT NULL) AS failed_checks FROM rp GROUP BY 1", [*_BASE, "check_contracts"])
+@query("verification_summary", f"WITH {REPORT_SQL} SELECT task_id, bool_and(d IS NULL) AS all_passed, count(*) FILTER (d IS NOT NULL) AS failed_checks FROM rp GROUP BY 1", [*_BASE, "check_contracts"])
 def verification_summary(t: Tables):
-    return V.all_passed(_report(t))
+    return V.all_passed(report(t))
 
 
 _ACTIONS = "CASE \"check\" " + " ".join(f"WHEN '{n}' THEN {{'p': {p}, 'a': '{a}'}}" for n, p, a in R.CHECK_ACTIONS) + " END"
 
 
-@query("repair_plan", f"""WITH {_REPORT}, {TRIGGER_SQL}, f AS (SELECT task_id, {_ACTIONS} AS r, d FROM rp WHERE d IS NOT NULL),
+@query("repair_plan", f"""WITH {REPORT_SQL}, {TRIGGER_SQL}, f AS (SELECT task_id, {_ACTIONS} AS r, d FROM rp WHERE d IS NOT NULL),
 e AS (SELECT task_id, r.p AS priority, r.a AS action_type, d AS detail, TRUE AS blocking FROM f UNION ALL SELECT task_id, priority, action_type, 'question wording', blocking FROM trig),
 u AS (SELECT task_id, action_type, detail, min(priority) AS priority, bool_or(blocking) AS blocking FROM e GROUP BY 1, 2, 3)
 SELECT task_id, action_type, detail, CAST(priority AS INT) AS priority, blocking, CAST(row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) AS INT) AS step FROM u
 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) <= 5""", [*_BASE, "check_contracts", "answer_shapes"])
 def repair_plan(t: Tables):
-    return V.repair_plan(_report(t), triggers(t))
+    return V.repair_plan(report(t), triggers(t))
 
 
 _EV = ", ".join(f"bool_or({D.any_contains('lower(text)', ts)}) AS e_{n}" for n, ts in V.EVIDENCE)
@@ -188,14 +188,18 @@ def _checks_sql() -> str:
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
-@query("semantic_checks", f"""WITH {SEMANTIC_SQL}, ls AS (SELECT * FROM trace_texts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY step_index DESC) <= 12),
+SEM_CHECKS_SQL = f"""{SEMANTIC_SQL}, ls AS (SELECT * FROM trace_texts QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY step_index DESC) <= 12),
 ev AS (SELECT task_id, {_EV}, bool_or(regexp_matches(lower(text), '{V.SELECTED_ID}')) AS e_selected_id FROM ls GROUP BY 1),
 hh AS (SELECT task_id, count(*) AS width, bool_or({D.any_contains('lower(name)', ('text', 'comment'))}) AS h_text, bool_or(contains(lower(name), 'id')) AS h_id, bool_or({D.any_contains('lower(name)', R.URL_WORDS)}) AS h_url FROM check_headers GROUP BY 1),
 bb AS (SELECT task_id, count(DISTINCT row_idx) AS data_rows, bool_or(col_idx = 0 AND regexp_matches(v, '{R.PACKED_CELL}')) AS packed, bool_or(regexp_matches({_S}, '{R.URL}')) AS v_url, bool_or({_S} LIKE '%\\%' ESCAPE '\\') AS v_percent FROM check_cells GROUP BY 1),
 aa AS (SELECT coalesce(hh.task_id, bb.task_id) AS task_id, hh.* EXCLUDE (task_id), bb.* EXCLUDE (task_id) FROM hh FULL JOIN bb ON hh.task_id = bb.task_id),
 jj AS (SELECT s2.*, lower(question) AS q, aa.* EXCLUDE (task_id), ev.* EXCLUDE (task_id) FROM s2 LEFT JOIN aa ON aa.task_id = s2.task_id LEFT JOIN ev ON ev.task_id = s2.task_id),
-ck AS (SELECT task_id, {_checks_sql()} AS l FROM jj), un AS (SELECT task_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS check_no, unnest(l) AS c FROM ck)
-SELECT task_id, check_no, c.code AS code, c.severity AS severity FROM un""", ["mixed_questions", "check_cells", "check_headers", "trace_texts"])
+ck AS (SELECT task_id, {_checks_sql()} AS l FROM jj), un AS (SELECT task_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS check_no, unnest(l) AS c FROM ck),
+semc AS (SELECT task_id, check_no, c.code AS code, c.severity AS severity FROM un)"""
+SEM_USES = ["mixed_questions", "check_cells", "check_headers", "trace_texts"]
+
+
+@query("semantic_checks", f"WITH {SEM_CHECKS_SQL} SELECT * FROM semc", SEM_USES)
 def semantic_checks(t: Tables):
     contracts = C.semantic_contract(t.mixed_questions, "question")
     return V.semantic_checks(
