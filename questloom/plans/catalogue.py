@@ -10,6 +10,7 @@ from questloom.plans import (  # noqa: F401
     q_profile,
     q_query,
     q_sources,
+    q_streaming,
     q_thresholds,
     q_traces,
     q_verify,
