@@ -63,26 +63,37 @@ def step_slices(df: DataFrame, step: str, reach: int, size: int = 512) -> DataFr
     )
 
 
+def _slice_of(df: DataFrame, borders: str, value: str, name: str, steps: int) -> DataFrame:
+    """How many of the ``2**steps - 1`` sorted borders lie below ``value``: a binary search.
+
+    One projection per step keeps the search inside generated code.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for s in reversed(range(steps)):
+        below = F.get(F.col(borders), F.col(name) + (2**s - 1)) < F.col(value)
+        df = df.withColumn(name, F.col(name) + F.when(below, 2**s).otherwise(0))
+    return df
+
+
 def exact_quantiles(
-    df: DataFrame, key: str, value: str, qs: Sequence[float], cuts: int = 256
+    df: DataFrame, key: str, value: str, qs: Sequence[float], steps: int = 8
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key: ``(key, q, value_at)``.
+    """Exact linear-interpolation quantiles per key: ``(key, q, at)``.
 
-    Equal values are counted first. Approximate quantiles then only choose slice borders,
-    the slice counts place the wanted ranks, and just the slices that hold one are
-    ranked. No task ever holds a whole key, and the result does not depend on the
+    Equal values are counted first. Approximate quantiles then only choose ``2**steps - 1``
+    slice borders, the slice counts place the wanted ranks, and just the slices that hold
+    one are ranked. No task ever holds a whole key, and the result does not depend on the
     borders. Rank: ``(n - 1) * q``, as in ``percentile`` and ``quantile_cont``.
     """
     counted = (
         df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     )
+    cuts = 2**steps
     grid = ", ".join(str(i / cuts) for i in range(1, cuts))
     borders = counted.groupBy(key).agg(
-        F.array_distinct(F.expr(f"percentile_approx({value}, array({grid}), 20000)")).alias("_b")
+        F.expr(f"percentile_approx({value}, array({grid}), 20000)").alias("_b")
     )
-    sliced = counted.join(F.broadcast(borders) if key == "_all" else borders, key).withColumn(
-        "_s", F.expr(f"size(filter(_b, b -> b < {value}))")
-    ).drop("_b")
+    sliced = _slice_of(counted.join(borders, key), "_b", value, "_s", steps).drop("_b")
     totals = sliced.groupBy(key, "_s").agg(F.sum("_n").alias("_sn"))
     over_key = Window.partitionBy(key)
     upto = over_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)

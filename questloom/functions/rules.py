@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from questloom.functions.values import any_contains
+from questloom.functions.values import any_contains, bound
 
 
 def holds(text: Column, groups: Sequence[Sequence[str]]) -> Column:
@@ -29,10 +29,13 @@ def pick(c: Column, pattern: str, group: int = 1) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """First spelling of every item, order kept."""
-    lowers = F.transform(items, lambda x: F.lower(x))
-    return F.filter(
-        items, lambda x, i: F.array_position(lowers, F.lower(x)) == (i + 1).cast("bigint")
-    )
+    def keep(xs: Column) -> Column:
+        lowers = F.transform(xs, lambda x: F.lower(x))
+        return F.filter(
+            xs, lambda x, i: F.array_position(lowers, F.lower(x)) == (i + 1).cast("bigint")
+        )
+
+    return bound(items, keep)
 
 
 def squash_space(c: Column) -> Column:

@@ -238,29 +238,37 @@ def _flat(v: Column) -> Column:
     )
 
 
-def _first_filled(options: Sequence[Column]) -> Column:
-    return F.coalesce(*[F.when(F.size(o) > 0, o) for o in options])
-
-
-def columns_from_value(v: Column) -> Column:
-    """Column names from a text, a list of names or objects, or a schema object."""
-    keys = [_flat(F.get_json_object(v, f"$.{k}")) for k in R.COLUMN_KEYS]
-    props = _columns(F.json_object_keys(F.get_json_object(v, "$.properties")))
-    fields = F.get_json_object(v, "$.fields")
-    inside = _first_filled(
-        [*keys, F.coalesce(props, F.expr("cast(array() as array<string>)")),
-         F.when(fields.startswith("["), _from_list(fields)).otherwise(F.expr("cast(array() as array<string>)"))]
-    )
-    return F.when(v.startswith("{"), inside).otherwise(_flat(v))
-
-
 def contract_from_fields(df: DataFrame, payload: str) -> DataFrame:
-    """Expected columns and row limits from the fields of a task definition."""
+    """Expected columns and row limits from the fields of a task definition.
+
+    A field may hold a text, a list of names or objects, or a schema object. All places
+    that may name columns are listed in order; the first that does wins.
+    """
     c = F.col(payload)
-    keyed = [(k, bound(F.get_json_object(c, f"$.{k}"), columns_from_value)) for k in (*R.COLUMN_KEYS, *R.SCHEMA_KEYS)]
-    best = F.coalesce(
-        *[F.when(F.size(v) > 0, F.struct(F.lit(k).alias("source"), v.alias("cols"))) for k, v in keyed]
+    keys = (*R.COLUMN_KEYS, *R.SCHEMA_KEYS)
+
+    def place(source: Column, v: Column) -> Column:
+        return F.struct(source.alias("source"), v.alias("v"))
+
+    tops = F.array(*[place(F.lit(k), F.get_json_object(c, f"$.{k}")) for k in keys])
+
+    def inside(x: Column) -> Column:
+        props = F.json_object_keys(F.get_json_object(x["v"], "$.properties"))
+        fields = F.get_json_object(x["v"], "$.fields")
+        return F.array(
+            *[place(x["source"], F.get_json_object(x["v"], f"$.{k}")) for k in R.COLUMN_KEYS],
+            place(x["source"], F.to_json(props)),
+            place(x["source"], F.when(fields.startswith("["), fields)),
+        )
+
+    places = F.flatten(
+        F.transform(tops, lambda x: F.when(x["v"].startswith("{"), inside(x)).otherwise(F.array(x)))
+    )
+    named = F.filter(
+        F.transform("_p", lambda x: F.struct(x["source"].alias("source"), _flat(x["v"]).alias("cols"))),
+        lambda x: F.size(x["cols"]) > 0,
     )
+    best = F.try_element_at(named, F.lit(1))
 
     def limit(a: str, b: str) -> Column:
         first = F.get_json_object(c, f"$.{a}").try_cast("bigint")
@@ -268,7 +276,8 @@ def contract_from_fields(df: DataFrame, payload: str) -> DataFrame:
         v = F.coalesce(F.when(first != 0, first), second)
         return F.when(v >= 0, v)
 
-    return df.withColumn("_b", best).select(
+    known = df.withColumn("_p", F.filter(places, lambda x: x["v"].isNotNull())).withColumn("_b", best)
+    return known.select(
         *df.columns, F.col("_b.source").alias("source"), F.col("_b.cols").alias("expected_columns"),
         limit("min_rows", "expected_min_rows").alias("min_rows"),
         limit("max_rows", "expected_max_rows").alias("max_rows"),

@@ -48,7 +48,7 @@ def entity_id(p: Column, hint: str) -> Column:
     import re
 
     hinted = R.HINTED_ID.replace("{hint}", re.escape(hint.strip() or "patient"))
-    return F.coalesce(*[_hit(p, x) for x in (hinted, *R.PLAIN_IDS)])
+    return F.when(p.rlike("[0-9]"), F.coalesce(*[_hit(p, x) for x in (hinted, *R.PLAIN_IDS)]))
 
 
 def entity_id_any(p: Column, hint: str) -> Column:
@@ -57,21 +57,24 @@ def entity_id_any(p: Column, hint: str) -> Column:
     Only the first pattern depends on the hint, so the others are tried once.
     """
     others = [R.HINTED_ID.replace("{hint}", h) for h in R.ID_HINTS if h != hint]
-    return F.coalesce(entity_id(p, hint), *[_hit(p, x) for x in others], _hit(p, R.COMPACT_ID))
+    more = [_hit(p, x) for x in (*others, R.COMPACT_ID)]
+    return F.when(p.rlike("[0-9]"), F.coalesce(entity_id(p, hint), *more))
 
 
 def best_sentence(p: Column, term: str) -> Column:
     """Last sentence that names the term, better with a number and without a doubt word."""
     t = R.term(term)
+
+    def choose(named: Column) -> Column:
+        sure = F.filter(named, lambda s: ~any_contains(F.lower(s), R.INVALID_WORDS))
+        return bound(F.when(F.size(sure) > 0, sure).otherwise(named), last)
+
+    def last(pool: Column) -> Column:
+        counted = F.filter(pool, lambda s: s.rlike(rf"(?i){t}[^.?!]{{0,180}}\d"))
+        return F.coalesce(F.try_element_at(counted, F.lit(-1)), F.try_element_at(pool, F.lit(-1)))
+
     named = F.filter(F.split(p, R.SENTENCE_GAP), lambda s: s.rlike(f"(?i){t}"))
-    sure = F.filter(named, lambda s: ~any_contains(F.lower(s), R.INVALID_WORDS))
-    pool = F.when(F.size(sure) > 0, sure).otherwise(named)
-    with_number = F.filter(pool, lambda s: s.rlike(rf"(?i){t}[^.?!]{{0,180}}\d"))
-    return trimmed(
-        F.coalesce(
-            F.try_element_at(with_number, F.lit(-1)), F.try_element_at(pool, F.lit(-1)), p
-        )
-    )
+    return trimmed(F.coalesce(F.when(p.rlike(f"(?i){t}"), bound(named, choose)), p))
 
 
 def metric_number(s: Column, term: str) -> Column:
@@ -79,7 +82,7 @@ def metric_number(s: Column, term: str) -> Column:
     t = R.term(term)
     fixed = [_last(s, x) for x in R.corrected_number(t)]
     plain = [_hit(s, x) for x in R.simple_number(t)]
-    return _number(F.coalesce(*fixed, *plain))
+    return F.when(s.rlike("[0-9]"), _number(F.coalesce(*fixed, *plain)))
 
 
 def metric_year(s: Column, term: str) -> Column:
@@ -166,8 +169,8 @@ def field_values(df: DataFrame, doc: str, text: str, fields: Sequence[str], hint
     for field in fields:
         found.append(F.struct(F.lit(field).alias("field"), _best_field(p, field).alias("b")))
     return (
-        paragraphs(df, text, keep=[doc]).withColumn("entity_id", entity_id_any(p, hint))
-        .filter(F.col("entity_id").isNotNull())
+        paragraphs(df, text, keep=[doc]).filter(p.rlike("[0-9]"))
+        .withColumn("entity_id", entity_id_any(p, hint)).filter(F.col("entity_id").isNotNull())
         .select(doc, "paragraph_index", "entity_id", F.explode(F.array(*found)).alias("r"))
         .filter(F.col("r.b").isNotNull())
         .select(
