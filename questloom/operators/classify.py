@@ -16,9 +16,11 @@ from questloom.rules import wording as R
 
 def signals(q: Column, words: Sequence[str]) -> Column:
     """Signal words found; phrases as substrings, single words between boundaries."""
-    text = squash_space(F.lower(q))
-    return names_of(
-        [(w, text.contains(w) if " " in w else text.rlike(rf"\b{w}\b")) for w in words]
+    return bound(
+        squash_space(F.lower(q)),
+        lambda text: names_of(
+            [(w, text.contains(w) if " " in w else text.rlike(rf"\b{w}\b")) for w in words]
+        ),
     )
 
 
@@ -88,8 +90,8 @@ def route_scores(df: DataFrame, question: str, difficulty: str) -> DataFrame:
 
 def task_profile(df: DataFrame, question: str, has_table: Column, has_doc: Column) -> DataFrame:
     """Task type, operation, output shape, flags and what to verify."""
-    q = squash_space(F.lower(question))
-    base = df.select(
+    q = F.col("_q")
+    base = df.withColumn("_q", squash_space(F.lower(question))).select(
         "*", *[q.rlike(p).alias(f"_{n}") for n, p in R.PROFILE_FLAGS],
         has_table.alias("_table"), has_doc.alias("_doc"),
     )
@@ -128,7 +130,7 @@ def task_profile(df: DataFrame, question: str, has_table: Column, has_doc: Colum
         [(text, t.isin(*kinds)) for kinds, text in R.FOCUS]
         + [("extract document rules first, then apply them to table rows", both)]
     )
-    hidden = [f"_{n}" for n, _ in R.PROFILE_FLAGS] + ["_table", "_doc"]
+    hidden = [f"_{n}" for n, _ in R.PROFILE_FLAGS] + ["_table", "_doc", "_q"]
     return typed.select("*", flags.alias("flags"), focus.alias("validation_focus")).drop(*hidden)
 
 
@@ -146,7 +148,7 @@ def domain_tags(questions: DataFrame, names: DataFrame, key: str, question: str,
 
     per_task = names.groupBy(key).agg(F.bit_or(mask(F.lower(name))).alias("_n"))
     every = questions.join(per_task, key, "left").withColumn(
-        "_m", mask(squash_space(F.lower(question))).bitwiseOR(F.coalesce("_n", F.lit(0)))
+        "_m", bound(squash_space(F.lower(question)), mask).bitwiseOR(F.coalesce("_n", F.lit(0)))
     )
     tags = names_of(
         [(n, F.col("_m").bitwiseAND(F.lit(1 << i)) != 0) for i, (n, _) in enumerate(R.DOMAINS)]

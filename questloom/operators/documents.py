@@ -165,13 +165,15 @@ def _best_field(p: Column, field: str) -> Column:
 def field_values(df: DataFrame, doc: str, text: str, fields: Sequence[str], hint: str) -> DataFrame:
     """Candidate values: one row per entity paragraph and field."""
     p = F.col("paragraph")
-    found = []
-    for field in fields:
-        found.append(F.struct(F.lit(field).alias("field"), _best_field(p, field).alias("b")))
+    found = F.array(
+        *[F.struct(F.lit(field).alias("field"), _best_field(p, field).alias("b")) for field in fields]
+    )
+    known = F.col("entity_id").isNotNull()
     return (
         paragraphs(df, text, keep=[doc]).filter(p.rlike("[0-9]"))
-        .withColumn("entity_id", entity_id_any(p, hint)).filter(F.col("entity_id").isNotNull())
-        .select(doc, "paragraph_index", "entity_id", F.explode(F.array(*found)).alias("r"))
+        .withColumn("entity_id", entity_id_any(p, hint))
+        # A filter here would be pushed below and run the id patterns twice.
+        .select(doc, "paragraph_index", "entity_id", F.explode(F.when(known, found)).alias("r"))
         .filter(F.col("r.b").isNotNull())
         .select(
             doc, "paragraph_index", "entity_id", "r.field", "r.b.confidence", "r.b.value",

@@ -7,7 +7,7 @@ only per-task array is the list of column pairs that share a value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.functions.values import fixed2_text, trimmed
@@ -42,23 +42,36 @@ def column_sizes(values: DataFrame) -> DataFrame:
 def jaccard_pairs(values: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Similarity of every gold and predicted column that share a value.
 
-    The shuffle key is (task, value), so a large task is spread by its values. Columns of
-    ``columns`` (task_id, side, col_idx) without any value are alike when both are empty.
+    The shuffle key is (task, value), so a large task is spread by its values; the arrays
+    there hold column numbers only. Columns of ``columns`` (task_id, side, col_idx)
+    without any value are alike when both are empty.
     """
-    gold = values.filter(F.col("side") == "gold").select("task_id", "v", F.col("col_idx").alias("g"))
-    pred = values.filter(F.col("side") == "pred").select("task_id", "v", F.col("col_idx").alias("p"))
-    shared = gold.join(pred, ["task_id", "v"]).groupBy("task_id", "g", "p").agg(
-        F.count(F.lit(1)).alias("shared")
+    def side(name: str) -> Column:
+        return F.collect_set(F.when(F.col("side") == name, F.col("col_idx")))
+
+    none = F.lit(None).cast("int")
+
+    def mark(g: Column, p: Column) -> Column:
+        return F.struct(g.alias("g"), p.alias("p"))
+
+    # One mark per shared pair, and one per column for its size.
+    marks = F.concat(
+        F.flatten(F.transform("gs", lambda g: F.transform("ps", lambda p: mark(g, p)))),
+        F.transform("gs", lambda g: mark(g, none)), F.transform("ps", lambda p: mark(none, p)),
     )
-    sizes = column_sizes(values)
-    g_size = sizes.filter(F.col("side") == "gold").select(
-        "task_id", F.col("col_idx").alias("g"), F.col("n").alias("g_size")
+    counted = (
+        values.groupBy("task_id", "v").agg(side("gold").alias("gs"), side("pred").alias("ps"))
+        .select("task_id", F.inline(marks)).groupBy("task_id", "g", "p").agg(F.count(F.lit(1)).alias("n"))
     )
-    p_size = sizes.filter(F.col("side") == "pred").select(
-        "task_id", F.col("col_idx").alias("p"), F.col("n").alias("p_size")
+    # From here on there is one row per column pair.
+    g_size = F.max(F.when(F.col("p").isNull(), F.col("n"))).over(Window.partitionBy("task_id", "g"))
+    p_size = F.max(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy("task_id", "p"))
+    out = (
+        counted.withColumn("g_size", g_size).withColumn("p_size", p_size)
+        .filter(F.col("g").isNotNull() & F.col("p").isNotNull()).withColumnRenamed("n", "shared")
     )
-    out = shared.join(g_size, ["task_id", "g"]).join(p_size, ["task_id", "p"])
     if columns is not None:
+        sizes = column_sizes(values)
         empty = columns.select("task_id", "side", "col_idx").distinct().join(
             sizes, ["task_id", "side", "col_idx"], "left_anti"
         )

@@ -246,13 +246,15 @@ def failure_signals(tasks: DataFrame, report: DataFrame, semantic: DataFrame) ->
         "task_id", (F.col("check_no") + 10).alias("source"), "code", "severity"
     )
     every = failed.unionByName(own).unionByName(risks)
-    best = every.groupBy("task_id", "code").agg(F.min(F.struct("source", "severity")).alias("b")).select(
-        "task_id", "code", "b.source", "b.severity"
-    )
-    # The closing signal stays only for tasks without any other.
-    others = best.filter(F.col("code") != "passed_no_obvious_risk").select("task_id").distinct()
-    clean = best.filter(F.col("code") == "passed_no_obvious_risk").join(others, "task_id", "left_anti")
-    return best.filter(F.col("code") != "passed_no_obvious_risk").unionByName(clean)
+    best = every.groupBy("task_id", "code").agg(F.min(F.struct("source", "severity")).alias("b"))
+    # A task has at most one entry per known code; the closing signal stays only when alone.
+    per_task = best.groupBy("task_id").agg(
+        F.collect_list(F.struct("code", "b.source", "b.severity")).alias("all")
+    )
+    real = F.filter("all", lambda x: x["code"] != "passed_no_obvious_risk")
+    return per_task.select(
+        "task_id", F.inline(F.when(F.size(real) > 0, real).otherwise(F.col("all")))
+    ).select("task_id", "code", "source", "severity")
 
 
 def signal_notes(signals: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ Answers are long cells ``(task_id, row_idx, col_idx, v)`` with a header table
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,102 +96,95 @@ def readability(spark: SparkSession, folder: str, expected: DataFrame, name: str
     return out.select(name, F.lit("readability_check").alias("check"), (detail == "readable").alias("passed"), detail.alias("detail"))
 
 
-def _header_facts(headers: DataFrame) -> DataFrame:
+def header_facts(headers: DataFrame) -> DataFrame:
+    """Width, names and faults of each header; the array is as long as the answer is wide."""
     name = F.trim(F.coalesce("name", F.lit("")))
-    per_name = headers.groupBy("task_id", name.alias("_name")).agg(F.count(F.lit(1)).alias("k"))
-    return per_name.groupBy("task_id").agg(
-        F.sum("k").alias("width"), F.count_if(F.col("_name") != "").alias("named"),
-        F.count_if((F.col("_name") != "") & (F.col("k") > 1)).alias("dupes"),
-        F.sum(F.when(F.length("_name") > MAX_HEADER, F.col("k")).otherwise(0)).alias("long_names"),
+    named = headers.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("width"), F.count_if(name != "").alias("named"),
+        F.count_distinct(F.when(name != "", name)).alias("names"),
+        F.count_if(F.length(name) > MAX_HEADER).alias("long_names"),
+        F.sort_array(F.collect_list(F.struct("col_idx", F.lower(squash_space(F.col("name"))).alias("n")))).alias("_h"),
     )
+    return named.withColumn("header", F.transform("_h", lambda x: x["n"])).drop("_h")
 
 
-def _rows(cells: DataFrame) -> DataFrame:
-    """One row per answer row; the array holds the row's own cells."""
+def cell_facts(cells: DataFrame) -> DataFrame:
+    """Row widths, emptiness, repetition and suspicious cells per task, in one pass.
+
+    The array below holds the cells of one answer row.
+    """
     s = trimmed(F.coalesce("v", F.lit("")))
-    return cells.groupBy("task_id", "row_idx").agg(
+    rows = cells.groupBy("task_id", "row_idx").agg(
         F.count(F.lit(1)).alias("w"), F.max(s != "").alias("filled"),
         F.count_if(F.length(s) > MAX_CELL).alias("long_cells"),
         F.count_if(any_contains(F.lower(s), R.SUSPICIOUS)).alias("error_cells"),
         F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("col_idx", "v")))), 256).alias("mark"),
-        F.min(s).alias("first_text"),
+    )
+    return rows.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("w").alias("narrowest"), F.max("w").alias("widest"),
+        F.count_if(~F.col("filled")).alias("empty"), F.count_distinct("mark").alias("unique"),
+        F.sum("long_cells").alias("long_cells"), F.sum("error_cells").alias("error_cells"),
+    )
+
+
+def _gather(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
+    return tasks.select("task_id").join(header_facts(headers), "task_id", "left").join(
+        cell_facts(cells), "task_id", "left"
     )
 
 
-def _check(df: DataFrame, name: str, failures: Sequence[tuple[str, Column]]) -> DataFrame:
+def _with_contracts(df: DataFrame, contracts: DataFrame) -> DataFrame:
+    """``contracts``: task_id, expected_columns, expected_column_count, min_rows, max_rows, exact_columns."""
+    return df.join(contracts.withColumn("_has", F.lit(True)), "task_id", "left").withColumn(
+        "_want", F.transform("expected_columns", lambda x: F.lower(squash_space(x)))
+    )
+
+
+def _result(name: str, failures: Sequence[tuple[str, Column]]) -> Column:
+    """First failure that applies, as a check struct."""
     detail = F.lit(None).cast("string")
     for text, cond in reversed(failures):
         detail = F.when(F.coalesce(cond, F.lit(False)), F.lit(text)).otherwise(detail)
-    return df.select(
-        "task_id", F.lit(name).alias("check"), detail.isNull().alias("passed"),
+    return F.struct(
+        F.lit(name).alias("check"), detail.isNull().alias("passed"),
         F.coalesce(detail, F.lit("ok")).alias("detail"),
     )
 
 
-def contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
-    """Header present and distinct, not too long, every row as wide as the header."""
-    facts = _header_facts(headers)
-    widths = cells.groupBy("task_id", "row_idx").agg(F.count(F.lit(1)).alias("w"))
-    bad = (
-        widths.join(facts.select("task_id", "width"), "task_id")
-        .groupBy("task_id").agg(F.count_if(F.col("w") != F.col("width")).alias("bad"))
-    )
-    df = tasks.select("task_id").join(facts, "task_id", "left").join(bad, "task_id", "left")
-    return _check(
-        df, "contract_check",
+def _contract() -> Column:
+    width = F.col("width")
+    return _result(
+        "contract_check",
         [
-            ("header missing", F.col("width").isNull()), ("header has no names", F.col("named") == 0),
-            ("duplicate headers", F.col("dupes") > 0), ("header too long", F.col("long_names") > 0),
-            ("inconsistent width", F.col("bad") > 0),
+            ("header missing", width.isNull()), ("header has no names", F.col("named") == 0),
+            ("duplicate headers", F.col("names") < F.col("named")),
+            ("header too long", F.col("long_names") > 0),
+            ("inconsistent width", (F.col("narrowest") != width) | (F.col("widest") != width)),
         ],
     )
 
 
-def task_contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Column count, names in order and row limits of the task's contract.
-
-    ``contracts``: task_id, expected_columns, expected_column_count, min_rows, max_rows,
-    exact_columns. The header array is as long as the answer is wide.
-    """
-    head = headers.groupBy("task_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("col_idx", F.lower(squash_space(F.col("name"))).alias("n")))),
-            lambda x: x["n"],
-        ).alias("header")
-    )
-    rows = cells.groupBy("task_id").agg(F.count_distinct("row_idx").alias("n_rows"))
-    df = (
-        tasks.select("task_id").join(head, "task_id", "left").join(rows, "task_id", "left")
-        .join(contracts.withColumn("_has", F.lit(True)), "task_id", "left")
-        .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-        .withColumn("_want", F.transform("expected_columns", lambda x: F.lower(squash_space(x))))
-    )
+def _task_contract() -> Column:
     has = F.coalesce("_has", F.lit(False))
     named = F.size("_want") > 0
-    return _check(
-        df, "task_contract_check",
+    rows = F.coalesce("n_rows", F.lit(0))
+    return _result(
+        "task_contract_check",
         [
             ("no header", has & F.col("header").isNull()),
             ("column count differs", has & (F.size("header") != F.col("expected_column_count"))),
             ("missing columns", has & named & (F.size(F.array_except("_want", "header")) > 0)),
             ("header mismatch", has & named & F.col("exact_columns") & (F.col("header") != F.col("_want"))),
-            ("too few rows", has & (F.col("n_rows") < F.col("min_rows"))),
-            ("too many rows", has & (F.col("n_rows") > F.col("max_rows"))),
+            ("too few rows", has & (rows < F.col("min_rows"))),
+            ("too many rows", has & (rows > F.col("max_rows"))),
         ],
     )
 
 
-def sanity_check(tasks: DataFrame, cells: DataFrame) -> DataFrame:
-    """Plausible data: rows present, not mostly empty or repeated, no error text."""
-    facts = _rows(cells).groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("filled")).alias("empty"),
-        F.count_distinct("mark").alias("unique"), F.sum("long_cells").alias("long_cells"),
-        F.sum("error_cells").alias("error_cells"),
-    )
-    df = tasks.select("task_id").join(facts, "task_id", "left")
-    n = F.col("n")
-    return _check(
-        df, "sanity_check",
+def _sanity() -> Column:
+    n = F.col("n_rows")
+    return _result(
+        "sanity_check",
         [
             ("no data rows", n.isNull()), ("too many rows", n > MAX_ROWS),
             ("too many empty rows", F.col("empty") / n > 0.95),
@@ -202,37 +194,53 @@ def sanity_check(tasks: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def shape_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
-    width = headers.groupBy("task_id").agg(F.count(F.lit(1)).alias("width"))
-    s = trimmed(F.coalesce("v", F.lit("")))
-    rows = cells.groupBy("task_id").agg(
-        F.count_distinct("row_idx").alias("n"), F.max(s != "").alias("filled")
-    )
-    df = tasks.select("task_id").join(width, "task_id", "left").join(rows, "task_id", "left")
-    return _check(
-        df, "shape_check",
+def _shape() -> Column:
+    lonely = (F.col("n_rows") == 1) & (F.col("width") == 1) & (F.col("empty") == 1)
+    return _result(
+        "shape_check",
         [
             ("no header", F.col("width").isNull()), ("too many columns", F.col("width") > MAX_WIDTH),
-            ("single empty cell", (F.col("n") == 1) & (F.col("width") == 1) & ~F.col("filled")),
+            ("single empty cell", lonely),
         ],
     )
 
 
+def contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
+    """Header present and distinct, not too long, every row as wide as the header."""
+    return _gather(tasks, headers, cells).select("task_id", F.inline(F.array(_contract())))
+
+
+def task_contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Column count, names in order and row limits of the task's contract."""
+    df = _with_contracts(_gather(tasks, headers, cells), contracts)
+    return df.select("task_id", F.inline(F.array(_task_contract())))
+
+
+def sanity_check(tasks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Plausible data: rows present, not mostly empty or repeated, no error text."""
+    df = tasks.select("task_id").join(cell_facts(cells), "task_id", "left")
+    return df.select("task_id", F.inline(F.array(_sanity())))
+
+
+def shape_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
+    return _gather(tasks, headers, cells).select("task_id", F.inline(F.array(_shape())))
+
+
 def full_report(
     readable: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame
 ) -> DataFrame:
-    """All checks per task; an unreadable answer gets no further checks.
+    """All checks per task from one pass over headers and cells.
 
-    ``readable`` is the readability check keyed by task_id.
+    ``readable`` is the readability check keyed by task_id; an unreadable answer gets no
+    further checks.
     """
-    tasks = readable.filter("passed").select("task_id")
-    parts = [
-        readable.select("task_id", "check", "passed", "detail"),
-        contract_check(tasks, headers, cells),
-        task_contract_check(tasks, headers, cells, contracts),
-        sanity_check(tasks, cells), shape_check(tasks, headers, cells),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    df = readable.select("task_id", F.struct("check", "passed", "detail").alias("_r"))
+    df = df.join(header_facts(headers), "task_id", "left").join(cell_facts(cells), "task_id", "left")
+    df = _with_contracts(df, contracts)
+    every = F.array(F.col("_r"), _contract(), _task_contract(), _sanity(), _shape())
+    return df.select(
+        "task_id", F.inline(F.when(F.col("_r.passed"), every).otherwise(F.array(F.col("_r"))))
+    )
 
 
 def all_passed(report: DataFrame) -> DataFrame:

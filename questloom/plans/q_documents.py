@@ -207,12 +207,13 @@ def _amount_sql() -> str:
     top, final = R.FINAL_AMOUNT
 
     def tail(p: str) -> str:
-        body = p.replace("(?i)^", "")
-        return f"NULLIF(regexp_extract(p, '(?i)' || id || '{body}', 1), '')"
+        hits = f"list_filter(list_transform(tails, lambda x: regexp_extract(x, '{p}', 1)), lambda h: h <> '')"
+        return f"({hits})[1]"
 
-    parts = [f"SELECT doc_id, paragraph_index, id, {top} AS score, {_ex('p', final)} AS a FROM ids"]
-    parts += [f"SELECT doc_id, paragraph_index, id, {s}, {tail(x)} FROM ids" for s, x in R.SCORED_AMOUNTS]
+    parts = [f"SELECT doc_id, paragraph_index, id, {top} AS score, {_ex('p', final)} AS a FROM tl"]
+    parts += [f"SELECT doc_id, paragraph_index, id, {s}, {tail(x)} FROM tl" for s, x in R.SCORED_AMOUNTS]
     return f"""WITH {_par('budget_notes', _BGAP)}, ids AS (SELECT DISTINCT doc_id, paragraph_index, regexp_replace(p, '\\s+', ' ', 'g') AS p, unnest(regexp_extract_all(p, '{R.LINK_ID}')) AS id FROM par),
+tl AS (SELECT *, list_transform(range(2, len(string_split(p, id)) + 1), lambda k: list_reduce((string_split(p, id))[k:], lambda a, b: a || id || b)) AS tails FROM ids),
 s AS ({' UNION ALL '.join(parts)}) SELECT doc_id, id, CAST(score AS INT) AS score, TRY_CAST(a AS DOUBLE) AS amount FROM s WHERE a IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, paragraph_index) = 1"""
 

@@ -8,6 +8,9 @@ stands for a word character in any script.
 WORD = r"[\p{L}\p{N}_]+"
 LABEL = rf"({WORD}(?:\s+{WORD}){{0,2}})"
 NUM = r"(\d+\.?\d*)"
+# A match can only start at a word's first letter or where the last match ended; saying so
+# spares the search a try at every letter. RE2 has no such mark and needs none.
+START = r"(?:\b|\G)"
 RANGE_BETWEEN = rf"(?i){LABEL}\s+(?:is\s+)?(?:between\s+)?{NUM}\s*(?:-|–|to|and)\s*{NUM}"
 RANGE_COMPARE = rf"(?i){LABEL}\s*(>=?|<=?)\s*{NUM}"
 RANGE_NORMAL = rf"(?i)normal\s+{LABEL}\s*(?:level|range|value)?\s*[:=-]?\s*{NUM}\s*(?:-|–|to)\s*{NUM}"
