@@ -76,61 +76,63 @@ def _slice_of(df: DataFrame, borders: str, value: str, name: str, steps: int) ->
 
 
 def exact_quantiles(
-    df: DataFrame, key: str, value: str, qs: Sequence[float], steps: int = 8
+    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], steps: int = 8
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key: ``(key, q, at)``.
+    """Exact linear-interpolation quantiles per key: ``(*keys, q, at)``; ``keys`` may be empty.
 
     Equal values are counted first. Approximate quantiles then only choose ``2**steps - 1``
     slice borders, the slice counts place the wanted ranks, and just the slices that hold
     one are ranked. No task ever holds a whole key, and the result does not depend on the
     borders. Rank: ``(n - 1) * q``, as in ``percentile`` and ``quantile_cont``.
     """
+    keys = list(keys)
     counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
     cuts = 2**steps
     grid = ", ".join(str(i / cuts) for i in range(1, cuts))
-    borders = counted.groupBy(key).agg(
-        F.expr(f"percentile_approx({value}, array({grid}), 20000)").alias("_b")
-    )
-    sliced = _slice_of(counted.join(borders, key), "_b", value, "_s", steps).drop("_b")
-    totals = sliced.groupBy(key, "_s").agg(F.sum("_n").alias("_sn"))
-    over_key = Window.partitionBy(key)
+    chosen = F.expr(f"percentile_approx({value}, array({grid}), 20000)").alias("_b")
+    if keys:
+        bordered = counted.join(counted.groupBy(*keys).agg(chosen), keys)
+    else:
+        bordered = counted.withColumn("_b", counted.agg(chosen).scalar())
+    sliced = _slice_of(bordered, "_b", value, "_s", steps).drop("_b")
+    totals = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn"))
+    # At most 2**steps rows per key reach these windows.
+    over_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     upto = over_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.select(
-        key, "_s", "_sn",
+        *keys, "_s", "_sn",
         F.coalesce(F.sum("_sn").over(upto), F.lit(0)).alias("_before"),
         F.sum("_sn").over(over_key).alias("_total"),
     )
-    want = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    at = placed.select("*", want).withColumn("_pos", (F.col("_total") - 1) * F.col("q"))
-    at = at.withColumn("_lo", F.floor("_pos")).withColumn(
-        "_hi", F.least(F.floor("_pos") + 1, F.col("_total") - 1)
-    )
-    hit = at.filter(
-        (F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_sn"))
-    )
-    need = hit.groupBy(key, "_s").agg(F.first("_before").alias("_before"))
-    in_slice = Window.partitionBy(key, "_s").orderBy(value).rowsBetween(
+
+    def want(q: float) -> Column:
+        pos = (F.col("_total") - 1) * q
+        lo = F.floor(pos)
+        hi = F.least(lo + 1, F.col("_total") - 1)
+        here = (hi >= F.col("_before")) & (lo < F.col("_before") + F.col("_sn"))
+        return F.when(
+            here,
+            F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi"), (pos - lo).alias("frac")),
+        )
+
+    wanted = placed.select(
+        *keys, "_s", "_before", F.array_compact(F.array(*[want(q) for q in qs])).alias("_w")
+    ).filter(F.size("_w") > 0)
+    in_slice = Window.partitionBy(*keys, "_s").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0
     )
     ranked = (
-        sliced.join(need, [key, "_s"])
+        sliced.join(wanted, [*keys, "_s"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_slice))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    picked = ranked.join(
-        hit.select(key, "_s", "q", "_pos", "_lo", "_hi"), [key, "_s"]
-    )
-    lo = F.max(
-        F.when((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")), F.col(value))
-    ).alias("_vlo")
-    hi = F.max(
-        F.when((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end")), F.col(value))
-    ).alias("_vhi")
-    both = picked.groupBy(key, "q").agg(
-        lo, hi, F.max(F.col("_pos") - F.col("_lo")).alias("_frac")
-    )
-    return both.select(
-        key, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("at")
+        .select(*keys, F.col(value).alias("_v"), "_n", "_end", F.explode("_w").alias("w"))
     )
+    start = F.col("_end") - F.col("_n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v")))
+
+    return ranked.groupBy(*keys, F.col("w.q").alias("q")).agg(
+        at(F.col("w.lo")).alias("_lo"), at(F.col("w.hi")).alias("_hi"), F.max("w.frac").alias("_f")
+    ).select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("at"))

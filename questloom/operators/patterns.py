@@ -226,24 +226,19 @@ def population_threshold_count(
     The band comes from all rows, rounded to ``digits`` before use. Entities are reduced
     map-side to two flags before the population is applied.
     """
-    all_rows = rows.withColumn("_all", F.lit(1))
-    band = (
-        exact_quantiles(all_rows, "_all", m1, [0.05, 0.95]).groupBy("_all")
-        .agg(
-            F.round(F.max(F.when(F.col("q") == 0.05, F.col("at"))), digits).alias("low"),
-            F.round(F.max(F.when(F.col("q") == 0.95, F.col("at"))), digits).alias("high"),
-        )
-    )
-    flagged = (
-        all_rows.join(F.broadcast(band), "_all").groupBy(entity, "low", "high")
-        .agg(
-            F.max(F.col(m1).between(F.col("low"), F.col("high"))).alias("_in"),
-            F.max(F.col(m2).isNotNull()).alias("_any"),
-        )
+    def edge(q: float, name: str) -> Column:
+        return F.round(F.max(F.when(F.col("q") == q, F.col("at"))), digits).alias(name)
+
+    band = exact_quantiles(rows, [], m1, [0.05, 0.95]).agg(edge(0.05, "low"), edge(0.95, "high"))
+    banded = rows.withColumn("_b", band.select(F.struct("low", "high")).scalar())
+    flagged = banded.groupBy(entity, "_b").agg(
+        F.max(F.col(m1).between(F.col("_b.low"), F.col("_b.high"))).alias("_in"),
+        F.max(F.col(m2).isNotNull()).alias("_any"),
     )
     return (
         flagged.join(population.select(entity), entity, "left_semi")
-        .groupBy("low", "high").agg(F.count_if(F.col("_in") & F.col("_any")).alias("entity_count"))
+        .groupBy("_b").agg(F.count_if(F.col("_in") & F.col("_any")).alias("entity_count"))
+        .select("_b.low", "_b.high", "entity_count")
     )
 
 

@@ -52,16 +52,16 @@ UNION ALL SELECT k, band, 'outside_' || name, 'outside_interval', low, high FROM
 
 @query("numeric_profile", _profile("metric_rows"), ["metric_rows"])
 def numeric_profile(t: Tables):
-    return T.numeric_profile(t.metric_rows, "k", "x")
+    return T.numeric_profile(t.metric_rows, ["k"], "x")
 
 
 @query("numeric_profile_text", "WITH r AS (SELECT task_id AS k, " + D.num("replace(v, ',', '')") + " AS x FROM messy_cells) " + _profile("r"), ["messy_cells"])
 def numeric_profile_text(t: Tables):
-    return T.numeric_profile(t.messy_cells.withColumnRenamed("task_id", "k"), "k", "v")
+    return T.numeric_profile(t.messy_cells.withColumnRenamed("task_id", "k"), ["k"], "v")
 
 
 def _normal(t: Tables):
-    return T.normal_candidates(T.numeric_profile(t.metric_rows, "k", "x"), "k")
+    return T.normal_candidates(T.numeric_profile(t.metric_rows, ["k"], "x"), ["k"])
 
 
 @query("normal_candidates", f"WITH p AS ({_profile('metric_rows')}) {_bands('p')}", ["metric_rows"])
@@ -71,16 +71,15 @@ def normal_candidates(t: Tables):
 
 @query("abnormal_candidates", f"WITH p AS ({_profile('metric_rows')}), b AS ({_bands('p')}) {_ABN}", ["metric_rows"])
 def abnormal_candidates(t: Tables):
-    return T.abnormal_candidates(_normal(t), "k")
+    return T.abnormal_candidates(_normal(t), ["k"])
 
 
 @query("band_flags", f"""WITH p AS ({_profile("(SELECT k, x FROM metric_rows WHERE k = 'value')")}), b AS ({_bands('p')})
 SELECT e.event_id, CAST(sum(CASE WHEN value BETWEEN low AND high THEN 1 << band ELSE 0 END) AS BIGINT) AS inside_mask,
 CAST(sum(CASE WHEN value < low OR value > high THEN 1 << band ELSE 0 END) AS BIGINT) AS outside_mask FROM events e CROSS JOIN b GROUP BY e.event_id""", ["metric_rows"])
 def band_flags(t: Tables):
-    rows = t.events.select("event_id", "value", F.lit("value").alias("k"))
-    normal = T.normal_candidates(T.numeric_profile(rows, "k", "value"), "k")
-    return T.band_flags(rows, "value", "k", normal).select("event_id", "inside_mask", "outside_mask")
+    normal = T.normal_candidates(T.numeric_profile(t.events, [], "value"))
+    return T.band_flags(t.events, "value", normal).select("event_id", "inside_mask", "outside_mask")
 
 
 _TERMS = ("balance", "white blood cell")
@@ -142,11 +141,9 @@ def _grid(t: Tables):
     lab = t.lab_rows
 
     def bands(m: str):
-        rows = lab.select(F.lit(m).alias("k"), F.col(m).alias("x"))
-        return T.normal_candidates(T.numeric_profile(rows, "k", "x"), "k").drop("k")
+        return T.normal_candidates(T.numeric_profile(lab, [], m))
 
-    normal = bands("m1")
-    abnormal = T.abnormal_candidates(bands("m2").withColumn("k", F.lit("m2")), "k").drop("k")
+    normal, abnormal = bands("m1"), T.abnormal_candidates(bands("m2"))
     return T.probe_grid(lab, "entity_id", "m1", "m2", normal, abnormal, _sources(t))
 
 
