@@ -21,7 +21,7 @@ def first_per_group(
 
 
 def number_in_key(
-    df: DataFrame, key: str, ts: str, tie: str, name: str, unit: str = "hour"
+    df: DataFrame, key: str, ts: str, tie: str, name: str, unit: str = "minute"
 ) -> DataFrame:
     """Dense row number per key in ``(ts, tie)`` order without one task per key.
 
