@@ -136,3 +136,19 @@ def exact_quantiles(
     return ranked.groupBy(*keys, F.col("w.q").alias("q")).agg(
         at(F.col("w.lo")).alias("_lo"), at(F.col("w.hi")).alias("_hi"), F.max("w.frac").alias("_f")
     ).select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("at"))
+
+
+def spread(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over the cores; leave anything larger as it is read.
+
+    A small file with one row group is one task, which starves expressions that are heavy
+    per row. Larger inputs have splits of their own and are not shuffled. The size is
+    Spark's own estimate.
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return df
+    if size > small:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from questloom.functions.groups import spread
 from questloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,13 +21,17 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        df = self.load(name)
+        return spread(df) if name in fx.HEAVY else df
+
+    def load(self, name: str) -> DataFrame:
         if name in fx.DERIVED:
             return fx.build(self, name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, *names: str) -> DataFrame:
         for name in names:
-            getattr(self, name).createOrReplaceTempView(name)
+            self.load(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
 
