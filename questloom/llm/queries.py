@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import langid, lines, mixing, neardup, pii, quality, secret_scan, tokens
+from questloom.llm import langid, lines, mixing, neardup, pii, quality, repeats, secret_scan, tokens
 from questloom.llm.registry import query, table
 
 
@@ -84,3 +84,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.cut_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
