@@ -1,20 +1,68 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, decontamination, mixing."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, decontamination, mixing.
+
+Every stage takes all documents that the one before kept and returns their columns; what
+it decides is gone for the next one. The last returns how often the mix takes a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from questloom.llm import mixing
-from questloom.llm.common import written
+from questloom.llm import decontam, lines, mixing, neardup, quality
+from questloom.llm.common import row_key, written
 from questloom.llm.registry import table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the text rules or lie outside the perplexity bands go."""
+    return quality.accept(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten or more documents share go; ``n_chars`` follows the text."""
+    kept = lines.dedup_lines(docs).drop("_n_lines", "_n_dropped")
+    if "n_chars" in kept.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", size)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once.
+
+    Rows without an id cannot be told apart by it and stay.
+    """
+    groups = neardup.near_duplicates(docs)
+    first = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    k1, k2 = row_key("text")
+    stay = (
+        docs.filter(F.col("doc_id").isNotNull())
+        .join(first, "doc_id", "left_semi")
+        .withColumns({"_k1": k1, "_k2": k2})
+        .dropDuplicates(["doc_id", "_k1", "_k2"])
+        .drop("_k1", "_k2")
+    )
+    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix by source: every document with the number of times the mix takes it."""
+    """Every document that is left, with the number of times the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mix_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mix_stage),
+]
 
 #: Perplexity bands and alignments have no SQL form; the stages are tested by brute force.
 ORACLE_SQL = None

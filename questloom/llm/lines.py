@@ -91,31 +91,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **p
     document and lose the same lines. Null ids are ids like any other. An empty table gives
     an empty table; other columns pass through, whatever their names.
     """
+    names = docs.columns
+    safe = {n: f"_c{i}" for i, n in enumerate(names)}
+    docs, text, id_col = docs.toDF(*safe.values()), safe[text], safe[id_col]
     maps = drop_bitmaps(docs, text=text, id_col=id_col, **params)
-    keyed = docs.select("*", *row_key(id_col, text))
-    joined = keyed.join(maps, ["_k1", "_k2"], "left").withColumn("_all", split_lines(text))
-    stays = F.filter(
-        "_all",
-        lambda line, i: F.coalesce(
-            F.try_element_at(F.col("dropped"), F.floor(i / 64).cast("int")).bitwiseAND(
-                F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
-            ),
-            F.lit(0).cast("long"),
-        )
-        == 0,
-    )
-    kept = F.when(F.col("dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(stays, "\n")
-    )
-    n_dropped = F.when(F.col("dropped").isNull(), F.lit(0).cast("long")).otherwise(
-        F.aggregate(
-            F.map_values("dropped"), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b)
-        )
-    )
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    joined = docs.select("*", *row_key(id_col, text)).join(maps, ["_k1", "_k2"], "left")
+    joined = joined.withColumn("_all", split_lines(text))
+    none = F.col("dropped").isNull()
+    bits = lambda i: F.try_element_at(F.col("dropped"), F.floor(i / 64).cast("int"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))
+    zero = F.lit(0).cast("long")
+    stays = F.filter("_all", lambda line, i: F.coalesce(bits(i).bitwiseAND(bit(i)), zero) == 0)
+    kept = F.when(none, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stays, "\n"))
+    n_dropped = F.aggregate(F.map_values("dropped"), zero, lambda a, b: a + F.bit_count(b))
     return joined.select(
-        *rest, kept.alias(text), F.size("_all").cast("long").alias("_n_lines"), n_dropped.alias("_n_dropped")
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_n_lines", "_n_dropped")
+        *[kept if c == text else F.col(c) for c in safe.values()],
+        F.size("_all").cast("long"), F.coalesce(n_dropped, zero),
+    ).toDF(*names, "_n_lines", "_n_dropped")
 
 
 #: The same for DuckDB; ``{docs}`` has doc_id and text.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import langid, lines, mixing, neardup, pii, quality, repeats, secret_scan, tokens
+from questloom.llm import decontam, langid, lines, mixing, neardup, pii, quality, repeats, secret_scan, tokens
 from questloom.llm.registry import query, table
 
 
@@ -50,11 +50,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_quality_rules")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "perplexity",
-    )
+    return quality.judge(table(spark, folder, "documents"))
 
 
 @query("op3_personal_data")
@@ -90,3 +86,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.cut_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
