@@ -34,16 +34,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id cannot be told apart by it and stay.
     """
     groups = neardup.near_duplicates(docs)
-    first = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    k1, k2 = row_key("text")
+    first = groups.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_first")).distinct()
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    key, text = (f"_c{names.index(n)}" for n in ("doc_id", "text"))
     stay = (
-        docs.filter(F.col("doc_id").isNotNull())
-        .join(first, "doc_id", "left_semi")
-        .withColumns({"_k1": k1, "_k2": k2})
-        .dropDuplicates(["doc_id", "_k1", "_k2"])
+        plain.join(first, F.col(key) == F.col("_first"), "left_semi")
+        .select("*", *row_key(text))
+        .dropDuplicates([key, "_k1", "_k2"])
         .drop("_k1", "_k2")
     )
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return stay.union(plain.filter(F.col(key).isNull())).toDF(*names)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

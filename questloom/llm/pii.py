@@ -234,7 +234,11 @@ def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **para
     """``docs`` with protected values and revealing terms replaced in ``text``.
 
     Values become ``[EMAIL]`` and so on, general terms ``[TERM]``, removed terms nothing.
+    Null texts stay null; all columns stay, whatever their names.
     """
+    names = docs.columns
+    safe = {n: f"_c{i}" for i, n in enumerate(names)}
+    docs, text, id_col = docs.toDF(*safe.values()), safe[text], safe[id_col]
     found = find_personal_data(docs, text=text, id_col=id_col, **params)
     cuts = F.concat(
         F.transform("spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("z"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("as"))),
@@ -258,4 +262,4 @@ def sanitise(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **para
     done = keyed.join(marks, ["_k1", "_k2"], "left").withColumn(
         text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(new)
     )
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*safe.values()).toDF(*names)
