@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ from questloom.llm.common import small_batches, texts_of, unclashed, written
 
 #: Least document counts of the frequency classes above "one document".
 CLASSES = (2, 32, 512, 8192)
-#: Bits of each class bitmap, as a power of two: 16 MiB a class, whatever the corpus holds.
-BITMAP_BITS = 27
+#: Bits of each class bitmap, as a power of two: 8 MiB a class, whatever the corpus holds.
+BITMAP_BITS = 26
 #: Bits of a hash that are counted; bits beyond decide nothing but the order inside a class.
 KEY_BITS = 40
 
@@ -200,9 +201,11 @@ def _class_of(s: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
     return sum(((row[byte] >> bit) & 1).astype(np.int64) for row in bitmaps)
 
 
-def prefixes(docs: DataFrame, bitmaps: np.ndarray, n: int, percent: int, k: int, text: str = "text") -> DataFrame:
-    """``(token, id, n)``: the extended prefix of each set, less shingles of one document."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
+def prefixes(docs: DataFrame, sent: Broadcast, n: int, percent: int, k: int, text: str = "text") -> DataFrame:
+    """``(token, id, n)``: the extended prefix of each set, less shingles of one document.
+
+    ``sent`` holds the class bitmaps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, maps = Shingler(n), set(), sent.value
@@ -328,9 +331,9 @@ def near_duplicates(
     docs = unclashed(docs, id_col, text)
     profiled = written(profile(docs, n, text, id_col), "shingle-profile")
     rows = profiled.filter(F.col("piece").isNull()).select("doc_id", "n", "id")
-    index = written(
-        prefixes(docs, class_bitmaps(profiled), n, percent, k, text).distinct(), "prefix-index"
-    )
+    sent = docs.sparkSession.sparkContext.broadcast(class_bitmaps(profiled))
+    index = written(prefixes(docs, sent, n, percent, k, text).distinct(), "prefix-index")
+    sent.destroy()  # what it served is written
     index = written(index.join(index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"), "token"), "prefix-lists")
     sets = _sets(docs, index.select("id").distinct(), n, text)
     one = written(first_pairs(index, percent), "pairs")
@@ -391,4 +394,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
 
     made = docs.select(F.col(text).alias("_text")).mapInArrow(run, "id bigint, s binary")
-    return written(made.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sets = written(made.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sent.destroy()
+    return sets
