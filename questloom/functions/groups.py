@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks over which the values of one key are spread where they meet its figures.
+SALTS = 32
+
+
 def first_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, name: str = "rn"
 ) -> DataFrame:
@@ -93,7 +97,11 @@ def exact_quantiles(
     grid = ", ".join(str(i / cuts) for i in range(1, cuts))
     chosen = F.expr(f"percentile_approx({value}, array({grid}), 20000)").alias("_b")
     if keys:
-        bordered = counted.join(counted.groupBy(*keys).agg(chosen), keys)
+        # A key's values are spread over salts, each with its copy of the borders.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        borders = counted.groupBy(*keys).agg(chosen).select("*", salts)
+        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+        bordered = salted.join(borders, [*keys, "_salt"]).drop("_salt")
     else:
         bordered = counted.withColumn("_b", counted.agg(chosen).scalar())
     sliced = _slice_of(bordered, "_b", value, "_s", steps).drop("_b")
@@ -137,18 +145,3 @@ def exact_quantiles(
         at(F.col("w.lo")).alias("_lo"), at(F.col("w.hi")).alias("_hi"), F.max("w.frac").alias("_f")
     ).select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("at"))
 
-
-def spread(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
-    """Spread a small input over the cores; leave anything larger as it is read.
-
-    A small file with one row group is one task, which starves expressions that are heavy
-    per row. Larger inputs have splits of their own and are not shuffled. The size is
-    Spark's own estimate.
-    """
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
-        return df
-    if size > small:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -20,10 +20,12 @@ from questloom.rules import shapes as R
 def normalise_cells(cells: DataFrame) -> DataFrame:
     """Trim, blank the missing tokens and pad short rows to the task's width.
 
-    The only per-row array holds the row's own cells.
+    The only per-row array holds the row's own cells. Of a cell given twice the least
+    value stays.
     """
     width = cells.groupBy("task_id").agg((F.max("col_idx") + 1).alias("_w"))
-    row = cells.groupBy("task_id", "row_idx").agg(
+    once = cells.groupBy("task_id", "row_idx", "col_idx").agg(F.min("v").alias("v"))
+    row = once.groupBy("task_id", "row_idx").agg(
         F.map_from_entries(
             F.collect_list(F.struct("col_idx", clean_cell(F.col("v"), MISSING_REPAIR)))
         ).alias("_m")

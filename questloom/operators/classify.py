@@ -43,6 +43,12 @@ def file_counts(files: DataFrame, key: str, path: str, size: str) -> DataFrame:
     )
 
 
+def with_file_counts(questions: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Questions with the counts of their files, 0 for a question without files."""
+    names = [c for c in counts.columns if c != key]
+    return questions.join(counts, key, "left").fillna(0, subset=names)
+
+
 def route_scores(df: DataFrame, question: str, difficulty: str) -> DataFrame:
     """Five route scores from the file mix, the wording and the difficulty, and the winner."""
     q = F.col(question)

@@ -285,18 +285,22 @@ def scored_amounts(df: DataFrame, doc: str, text: str) -> DataFrame:
     )
 
 
-def key_lookup(df: DataFrame, doc: str, text: str, wanted: DataFrame, name: str, year: str) -> DataFrame:
+def key_lookup(
+    df: DataFrame, doc: str, text: str, wanted: DataFrame, name: str, year: str,
+    title: str = R.EVENT_TITLE, key: str = R.RACE_ID,
+) -> DataFrame:
     """Key number stated in the first paragraph that names a title and a year.
 
-    Titles are read from the paragraphs and meet the wanted ones by equality.
+    Titles are read from the paragraphs by the pattern ``title``, keys by ``key`` (a group
+    each; the defaults are examples), and meet the wanted ones by equality.
     """
     one = trimmed(F.regexp_replace("paragraph", r"\s+", " "))
     titles = F.transform(
-        F.regexp_extract_all("_p", F.lit(R.EVENT_TITLE), F.lit(1)), lambda x: F.lower(x)
+        F.regexp_extract_all("_p", F.lit(title), F.lit(1)), lambda x: F.lower(x)
     )
     rows = (
         paragraphs(df, text, gap=r"\n\s*\n", keep=[doc]).withColumn("_p", one)
-        .withColumn("_key", _hit(F.col("_p"), R.RACE_ID)).filter(F.col("_key").isNotNull())
+        .withColumn("_key", _hit(F.col("_p"), key)).filter(F.col("_key").isNotNull())
         .withColumn("_title", F.explode(F.array_distinct(F.flatten(F.transform(titles, _tails_of)))))
     )
     ask = wanted.select(name, year, F.lower(F.col(name)).alias("_title")).distinct()

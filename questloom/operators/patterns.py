@@ -12,15 +12,38 @@ from questloom.functions.values import fixed2_of, to_number, to_number_commas
 from questloom.rules import questions as R
 
 
+def in_year(df: DataFrame, date: str, year: int) -> Column:
+    """Rows of a year: a range for dates, which prunes row groups, else the text's first digits."""
+    kind = df.schema[date].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        first, after = (F.lit(f"{y}-01-01").cast(kind) for y in (year, year + 1))
+        return (F.col(date) >= first) & (F.col(date) < after)
+    return F.col(date).cast("string").startswith(str(year))
+
+
 def filter_by_dimension(
     fact: DataFrame, dim: DataFrame, on: Column, date: str, year: int, column: str, value: str
 ) -> DataFrame:
     """Fact rows of one year whose dimension row holds ``value``, case ignored."""
-    return fact.filter(F.year(date) == year).join(
+    return fact.filter(in_year(fact, date, year)).join(
         dim.filter(F.lower(F.col(column).cast("string")) == value.lower()), on
     )
 
 
+def joined_filter(
+    left: DataFrame, right: DataFrame, on: tuple[str, str], where: Sequence[Column], columns: Sequence[Column]
+) -> DataFrame:
+    """Columns of two tables joined on keys as text, under predicates on either.
+
+    Predicates of one side are pushed below the join by the optimiser.
+    """
+    same = F.col(on[0]).cast("string") == F.col(on[1]).cast("string")
+    joined = left.join(right, same)
+    for condition in where:
+        joined = joined.filter(condition)
+    return joined.select(*columns)
+
+
 def average_monthly(
     rows: DataFrame, metric: str, period: str, entity: str, by: Sequence[str] = ()
 ) -> DataFrame:

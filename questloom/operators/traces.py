@@ -29,8 +29,11 @@ def tool_usage(steps: DataFrame) -> DataFrame:
     )
 
 
-def step_flags(steps: DataFrame, size: int = 512) -> DataFrame:
-    """Loop and scouting rules for every step, all on one window: one shuffle.
+FLAGS = ("repeated", "error_run", "scout_excess", "empty_sql_run", "profile_missing")
+
+
+def judged(sliced: DataFrame) -> DataFrame:
+    """Loop and scouting rules for every row of step slices, all on one window.
 
     ``repeated``: the same call at least twice in the previous 5 steps; ``error_run``: the
     third error in a row or later; ``scout_excess``: a search or read after 4 or more
@@ -48,19 +51,17 @@ def step_flags(steps: DataFrame, size: int = 512) -> DataFrame:
     action = F.col("action")
     empty_sql = action.isin(*R.SQL_ACTIONS) & F.coalesce(F.col("rows_returned") <= 2, F.lit(False))
     out = (
-        step_slices(steps, "step_index", max(REPEAT_WINDOW, SCOUT_WINDOW), size)
-        .withColumn("_prev", F.collect_list("action_key").over(before))
+        sliced.withColumn("_prev", F.collect_list("action_key").over(before))
         .withColumn("_scout", n(action.isin(*R.SCOUT), scout))
         .withColumn("_compute", n(action.isin(*R.COMPUTE), scout))
         .withColumn("_errors", n(~F.col("ok"), run))
         .withColumn("_empty", n(empty_sql, prior))
         .withColumn("_profiled", n(action == R.PROFILE, w.rowsBetween(-2, -1)))
-        .filter("_own")
     )
     key = F.col("action_key")
     repeat = F.size(F.filter("_prev", lambda k: k == key))
     return out.select(
-        *steps.columns, repeat.alias("repeat_count"),
+        *sliced.columns, repeat.alias("repeat_count"),
         ((repeat >= 2) & (action != "answer")).alias("repeated"),
         (F.col("_errors") >= RUN).alias("error_run"),
         (action.isin("search_doc", "read_doc") & (F.col("_scout") >= 4) & (F.col("_compute") == 0)).alias("scout_excess"),
@@ -69,6 +70,12 @@ def step_flags(steps: DataFrame, size: int = 512) -> DataFrame:
     )
 
 
+def step_flags(steps: DataFrame, size: int = 512) -> DataFrame:
+    """The rules of ``judged`` for every step of finished traces: one shuffle."""
+    sliced = step_slices(steps, "step_index", max(REPEAT_WINDOW, SCOUT_WINDOW), size)
+    return judged(sliced).filter("_own").select(*steps.columns, "repeat_count", *FLAGS)
+
+
 def low_budget(steps: DataFrame, max_steps: int, light_tasks: DataFrame | None = None) -> DataFrame:
     """Scouting with at most 3 steps left; profiling counts only when already done."""
     first = steps.filter(F.col("action") == R.PROFILE).groupBy("task_id").agg(
@@ -132,8 +139,8 @@ def case_pick(categories: DataFrame) -> DataFrame:
     size = F.length(F.coalesce("failure_reason", F.lit("")))
     return categories.agg(
         F.min(F.when(ok, F.struct("total_steps", "task_id")))["task_id"].alias("best_task"),
-        F.max(F.when(~ok, F.struct(size.alias("s"), (-F.col("task_id")).alias("t"))))["t"].alias("_t"),
-    ).select("best_task", (-F.col("_t")).alias("worst_task"))
+        F.min(F.when(~ok, F.struct((-size).alias("s"), "task_id")))["task_id"].alias("worst_task"),
+    )
 
 
 def audit_evidence(steps: DataFrame, text: str) -> DataFrame:
@@ -393,26 +400,47 @@ def attempt_same(cells: DataFrame) -> DataFrame:
     return per_cell.groupBy("task_id").agg(F.bool_and(F.col("o") == F.col("r")).alias("same_answer"))
 
 
-def evidence_summary(parts: DataFrame, text: str, max_chars: int = 1500, shortest: int = 4) -> DataFrame:
-    """Evidence lines of a task in step order, cut at ``max_chars``.
+def evidence_summary(
+    parts: DataFrame, text: str, max_chars: int | None = None, size: int = 512
+) -> DataFrame:
+    """Evidence lines of a task in step order, joined; ``max_chars`` cuts them with a note.
 
-    Lines have at least ``shortest`` characters, so the head is complete after a known
-    number of lines; only those are gathered. The full length comes from a sum.
+    Only lines that begin up to the cut are gathered. Where a line begins comes from the
+    lengths of earlier slices of ``size`` steps and a running length inside its slice, so
+    no task reads all lines of a long trace.
     """
-    need = max_chars // (shortest + 1) + 2
-    total = parts.groupBy("task_id").agg(
-        (F.sum(F.length(text)) + F.count(F.lit(1)) - 1).alias("_len"), F.min(F.length(text)).alias("_min")
-    )
-    head = first_per_group(parts, ["task_id"], [F.col("step_index"), F.col("part_no")], need)
-    joined = head.groupBy("task_id").agg(
+    line = parts.withColumn("_n", F.length(text) + 1).withColumn("_slice", F.floor(F.col("step_index") / size))
+    if max_chars is not None:
+        slices = line.groupBy("task_id", "_slice").agg(F.sum("_n").alias("_sum"))
+        over_task = Window.partitionBy("task_id")
+        earlier = over_task.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = slices.select(
+            "task_id", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"),
+            (F.sum("_sum").over(over_task) - 1).alias("_len"),
+        )
+        inside = Window.partitionBy("task_id", "_slice").orderBy("step_index", "part_no").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        line = (
+            line.join(starts.filter(F.col("_start") <= max_chars), ["task_id", "_slice"])
+            .withColumn("_at", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+            .filter(F.col("_at") <= max_chars)
+        )
+    else:
+        line = line.withColumn("_len", F.lit(0).cast("bigint"))
+    joined = line.groupBy("task_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", F.col(text).alias("t")))), lambda x: x["t"]), "\n"
-        ).alias("_s")
-    )
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("step_index", "part_no", F.col(text).alias("t")))), lambda x: x["t"]
+            ),
+            "\n",
+        ).alias("_s"),
+        F.max("_len").alias("_len"),
+    )
+    if max_chars is None:
+        return joined.select("task_id", F.col("_s").alias("summary"))
     over = F.col("_len") - max_chars
     cut = F.concat(
         F.substring("_s", 1, max_chars), F.lit("\n... <"), over.cast("string"), F.lit(" more chars truncated>")
     )
-    return joined.join(total, "task_id").select(
-        "task_id", F.when(over > 0, cut).otherwise(F.col("_s")).alias("summary")
-    )
+    return joined.select("task_id", F.when(over > 0, cut).otherwise(F.col("_s")).alias("summary"))

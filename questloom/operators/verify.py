@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from questloom.functions.groups import first_per_group
@@ -71,17 +71,20 @@ def precheck(headers: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def readability(spark: SparkSession, folder: str, expected: DataFrame, name: str) -> DataFrame:
-    """Missing, empty or not UTF-8 answer files below ``folder``.
+def readability(
+    spark: SparkSession, folder: str, expected: DataFrame, name: str, level: int = -1
+) -> DataFrame:
+    """Missing, empty or not UTF-8 answers below ``folder``.
 
-    Files are read line by line, so a large file is split over tasks.
+    An answer is a file, or with ``level=-2`` a folder of part files. Files are read line
+    by line, so a large file is split over tasks.
     """
     def file_name(c: Column) -> Column:
-        return F.element_at(F.split(c, "/"), -1)
+        return F.element_at(F.split(c, "/"), level)
 
     sizes = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .select(file_name(F.col("path")).alias(name), "length")
+        .groupBy(file_name(F.col("path")).alias(name)).agg(F.sum("length").alias("length"))
     )
     lines = (
         spark.read.option("recursiveFileLookup", "true").text(folder)
@@ -250,7 +253,10 @@ def all_passed(report: DataFrame) -> DataFrame:
 
 
 def repair_plan(report: DataFrame, triggers: DataFrame, first: int = 5) -> DataFrame:
-    """Actions for failed checks and wording triggers, by priority then type, the first few."""
+    """Actions for failed checks and wording triggers, by priority then type.
+
+    All are kept; ``applied`` marks the first few of a task, which one repair round takes.
+    """
     rules = F.create_map(
         *[x for name, p, act in R.CHECK_ACTIONS for x in (
             F.lit(name), F.struct(F.lit(p).alias("priority"), F.lit(act).alias("action_type")))]
@@ -265,7 +271,8 @@ def repair_plan(report: DataFrame, triggers: DataFrame, first: int = 5) -> DataF
         F.min("priority").alias("priority"), F.max("blocking").alias("blocking")
     )
     order = [F.col("priority"), F.col("action_type"), F.col("detail")]
-    return first_per_group(every, ["task_id"], order, first, "step")
+    step = F.row_number().over(Window.partitionBy("task_id").orderBy(*order))
+    return every.withColumn("step", step).withColumn("applied", F.col("step") <= first)
 
 
 # Semantics --------------------------------------------------------------------

@@ -102,14 +102,6 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     "customer_questions": (CUSTOMER_QUESTIONS, ("customer", "nation")),
 }
 
-# Inputs of the rules that are heavy per row: prose, JSON text, question wording.
-HEAVY = {
-    "documents", "pages", "narratives", "all_docs", "both_docs", "prose", "case_notes", "notes",
-    "range_docs", "budget_notes", "race_notes", "ward_notes", "json_wrapped", "mixed_json",
-    "trace_json", "task_json", "customer_questions", "mixed_questions", "expenses",
-}
-
-
 def build(tables: Tables, name: str) -> DataFrame:
     if name == "trace_steps":
         numbered = number_in_key(tables.events, "user_id", "ts", "event_id", "step_index")

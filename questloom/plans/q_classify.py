@@ -68,8 +68,8 @@ count(*) FILTER (regexp_matches(lower(path), '\\.(md|txt|pdf)$') AND NOT regexp_
 count(*) FILTER (regexp_matches(lower(path), '(^|/)knowledge\\.md$')) AS knowledge_files FROM sized_files GROUP BY task_id"""
 
 
-@query("route_scores", f"""WITH f AS ({_COUNTS}), x AS (SELECT q.task_id, question, difficulty, f.* EXCLUDE (task_id), len({_sig('question', R.SQL_SIGNALS)}) AS s, len({_sig('question', R.PYTHON_SIGNALS)}) AS p, len({_sig('question', R.DOCUMENT_SIGNALS)}) AS d,
- csv_files > 0 AS csv, large_csv_files > 0 AS lg, db_files > 0 AS db, json_files > 0 AS js, doc_files > 0 AS doc, knowledge_files > 0 AS kn FROM mixed_questions q JOIN f ON f.task_id = q.task_id),
+@query("route_scores", f"""WITH f AS ({_COUNTS}), g AS (SELECT q.task_id, question, difficulty, coalesce(csv_files, 0) AS csv_files, coalesce(large_csv_files, 0) AS large_csv_files, coalesce(db_files, 0) AS db_files, coalesce(json_files, 0) AS json_files, coalesce(doc_files, 0) AS doc_files, coalesce(knowledge_files, 0) AS knowledge_files FROM mixed_questions q LEFT JOIN f ON f.task_id = q.task_id), x AS (SELECT *, len({_sig('question', R.SQL_SIGNALS)}) AS s, len({_sig('question', R.PYTHON_SIGNALS)}) AS p, len({_sig('question', R.DOCUMENT_SIGNALS)}) AS d,
+ csv_files > 0 AS csv, large_csv_files > 0 AS lg, db_files > 0 AS db, json_files > 0 AS js, doc_files > 0 AS doc, knowledge_files > 0 AS kn FROM g),
 y AS (SELECT *, (db OR csv OR js) AS tb, difficulty IN ('easy', 'medium') AND (db OR csv OR js) AND NOT doc AS fast FROM x),
 z AS (SELECT *, db::INT * 4 + lg::INT * 5 + CASE WHEN s > 0 THEN s + 2 ELSE 0 END + (fast AND (db OR lg))::INT * 4 AS sql_first,
  csv::INT * 3 + js::INT * 2 + CASE WHEN p > 0 THEN p + 2 ELSE 0 END + (NOT tb AND NOT (doc OR kn))::INT + (fast AND NOT db AND NOT lg)::INT * 4 AS python_first,
@@ -80,7 +80,7 @@ SELECT task_id, sql_first::INT AS sql_first, python_first::INT AS python_first,
 CASE greatest(sql_first, python_first, document_first, hybrid_sql_python, hybrid_doc_table) WHEN 0 THEN 'python_first' WHEN sql_first THEN 'sql_first' WHEN python_first THEN 'python_first' WHEN document_first THEN 'document_first' WHEN hybrid_sql_python THEN 'hybrid_sql_python' ELSE 'hybrid_doc_table' END AS route FROM z""", [*_Q, "sized_files"])
 def route_scores(t: Tables):
     counts = C.file_counts(t.sized_files, "task_id", "path", "size")
-    out = C.route_scores(t.mixed_questions.join(counts, "task_id"), "question", "difficulty")
+    out = C.route_scores(C.with_file_counts(t.mixed_questions, counts, "task_id"), "question", "difficulty")
     return out.select("task_id", *R.ROUTES, "route")
 
 

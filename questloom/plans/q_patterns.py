@@ -107,17 +107,11 @@ def entity_count_semi(t: Tables):
 FROM supplier s JOIN nation n ON CAST(s.s_nationkey AS VARCHAR) = CAST(n.n_nationkey AS VARCHAR)
 WHERE lower(n.n_name) LIKE '%nation_1%' AND TRY_CAST(s.s_acctbal AS DOUBLE) > 1000 ORDER BY 1""")
 def joined_filter_project(t: Tables):
-    return (
-        t.supplier.filter(F.col("s_acctbal").try_cast("double") > 1000)
-        .join(
-            t.nation.filter(F.lower("n_name").like("%nation_1%")),
-            F.col("s_nationkey").cast("string") == F.col("n_nationkey").cast("string"),
-        )
-        .select(
-            F.coalesce(F.when(F.col("s_acctbal") > 5000, F.col("s_name")), F.lit("")).alias("name"),
-            "n_name",
-        ).orderBy("name", "n_name")
-    )
+    return A.joined_filter(
+        t.supplier, t.nation, ("s_nationkey", "n_nationkey"),
+        [F.col("s_acctbal").try_cast("double") > 1000, F.lower("n_name").like("%nation_1%")],
+        [F.coalesce(F.when(F.col("s_acctbal") > 5000, F.col("s_name")), F.lit("")).alias("name"), F.col("n_name")],
+    ).orderBy("name", "n_name")
 
 
 def _ranged(t: Tables, by=()):

@@ -48,7 +48,10 @@ def profile_columns_fact(t: Tables):
     return P.profile_columns(t.lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_returnflag"))
 
 
-_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+_ALL = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in _ALL)
 
 
@@ -96,13 +99,13 @@ def json_wrapper_detect(t: Tables):
     return P.json_wrapper(t.mixed_json, "v", F.concat(F.lit("file_"), F.col("id").cast("string")))
 
 
-_TYPES = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END"
+_TYPES = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
 
 
-@query("catalog_profile", f"""WITH n AS ({_COUNTS}) SELECT c.table_name, c.column_name, CAST(c.column_index - 1 AS INT) AS ordinal, {_TYPES} AS type_name, n.row_count
+@query("catalog_profile", f"""WITH n AS ({_COUNTS}) SELECT c.table_name, c.column_name, CAST(c.column_index - 1 AS INT) AS ordinal, {_TYPES} AS type_name, c.is_nullable AS nullable, n.row_count
 FROM duckdb_columns() c JOIN n ON n.table_name = c.table_name WHERE NOT c.internal""")
 def catalog_profile(t: Tables):
-    return P.table_catalogue(t.spark, _tables(t)).drop("nullable")
+    return P.table_catalogue(t.spark, _tables(t))
 
 
 _BLOCKS = f"list_filter(string_split(text, chr(10) || chr(10)), lambda p: {D.trimmed('p')} <> '')"
@@ -113,14 +116,14 @@ def doc_profile(t: Tables):
     return P.doc_profile(t.all_docs, "doc_id", "text")
 
 
-@query("doc_headings", f"""WITH h AS (SELECT doc_id, (list_filter(list_transform(string_split(text, chr(10)), lambda x: {D.trimmed('x')}), lambda x: starts_with(x, '#')))[1:20] AS l FROM all_docs)
+@query("doc_headings", f"""WITH h AS (SELECT doc_id, (list_filter(list_transform(string_split(text, chr(10)), lambda x: {D.trimmed('x')}), lambda x: starts_with(x, '#'))) AS l FROM all_docs)
 SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS heading_index, unnest(l) AS heading FROM h""", ["all_docs"])
 def doc_headings(t: Tables):
     return P.doc_headings(t.all_docs, "doc_id", "text")
 
 
 @query("doc_terms", f"""WITH w AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\s+'), lambda x: replace(trim(x, '.,;:()[]{{}}''"!?'), '-', '_')) AS l FROM all_docs),
-k AS (SELECT doc_id, (list_sort(list_distinct(list_filter(l, lambda x: regexp_matches(x, '^\\p{{Lu}}.') AND length(x) > 1))))[1:30] AS l FROM w)
+k AS (SELECT doc_id, (list_sort(list_distinct(list_filter(l, lambda x: regexp_matches(x, '^\\p{{Lu}}.') AND length(x) > 1)))) AS l FROM w)
 SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS term_index, unnest(l) AS term FROM k""", ["all_docs"])
 def doc_terms(t: Tables):
     return P.doc_terms(t.all_docs, "doc_id", "text")
@@ -144,7 +147,7 @@ u AS (SELECT doc_id, a, unnest(list_concat(a, b, c)) AS x, generate_subscripts(l
 d AS (SELECT doc_id, x, min(i) AS i, bool_or(list_contains(a, x)) AS plain FROM u GROUP BY doc_id, x),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS range_index FROM d)
 SELECT doc_id, CAST(range_index AS INT) AS range_index, CASE WHEN x.op LIKE '>%' THEN 'gt' WHEN x.op <> '' THEN 'lt' WHEN plain THEN 'range' ELSE 'normal_range' END AS type,
-x.label AS label, x.lo AS lo, x.hi AS hi, x.op AS op, x.val AS val FROM k WHERE range_index < 20"""
+x.label AS label, x.lo AS lo, x.hi AS hi, x.op AS op, x.val AS val FROM k"""
 
 
 fx.define("range_docs", """SELECT doc_id, text FROM all_docs
@@ -211,7 +214,7 @@ _VALUES = (("customer", 0, "c_mktsegment", 4), ("nation", 1, "n_name", 1), ("par
 @query("filter_value_discovery", "WITH v AS (" + " UNION ALL ".join(
     f"SELECT DISTINCT '{a}' AS table_name, {b} AS table_order, '{c}' AS column_name, {d} AS ordinal, trim({c}) AS value FROM {a}" for a, b, c, d in _VALUES) + f"""),
 h AS (SELECT q.task_id, v.*, 10 + CASE WHEN table_name <> 'orders' THEN 2 ELSE 0 END + CASE WHEN regexp_replace(column_name, '^.*_', '') IN ('segment', 'category', 'type', 'status') THEN 3 ELSE 0 END AS score
-FROM customer_questions q JOIN v ON {_NW.format('v.value')} <> '' AND contains(' ' || {_NW.format('q.question')} || ' ', ' ' || {_NW.format('v.value')} || ' ') WHERE length(v.value) BETWEEN 1 AND 80)
+FROM customer_questions q JOIN v ON {_NW.format('v.value')} <> '' AND contains(' ' || {_NW.format('q.question')} || ' ', ' ' || {_NW.format('v.value')} || ' ') WHERE length(v.value) >= 1)
 SELECT task_id, table_name, column_name, value, CAST(score AS INT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY score DESC, table_order, ordinal, value) = 1""", ["customer_questions"])
 def filter_value_discovery(t: Tables):
     d = P.value_dictionary([(a, b, c, o, getattr(t, a)) for a, b, c, o in _VALUES])
@@ -223,7 +226,7 @@ _TERMS = ("Price", "total amount", "year month", "white blood cells")
 
 @query("term_column_match", f"""WITH v AS (SELECT *, list_distinct([regexp_replace(lower(column_name), '[^a-z0-9]+', '', 'g'), lower(column_name),
 CASE WHEN len(regexp_extract_all(column_name, '[A-Za-z]+')) > 1 THEN lower(array_to_string(list_transform(regexp_extract_all(column_name, '[A-Za-z]+'), lambda p: p[1]), '')) ELSE '' END]) AS vs FROM task_columns),
-m AS (SELECT *, list_filter([{', '.join(f"CASE WHEN list_has_any(vs, {P.term_variants(x)}) THEN '{x}' END" for x in _TERMS)}], lambda x: x IS NOT NULL) AS ts FROM v)
+m AS (SELECT *, list_filter([{', '.join(f"CASE WHEN list_has_any(vs, {P.spellings(x)}) THEN '{x}' END" for x in _TERMS)}], lambda x: x IS NOT NULL) AS ts FROM v)
 SELECT task_id, table_name, column_name, array_to_string(ts, '|') AS matched_terms FROM m WHERE len(ts) > 0""", ["task_columns"])
 def term_column_match(t: Tables):
     return P.match_terms(t.task_columns, _TERMS).select(

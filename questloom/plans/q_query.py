@@ -31,7 +31,7 @@ def sql_bounded_ns(t: Tables):
     return Q.bounded_sql(
         t.spark,
         "/* one namespace */ SELECT c_mktsegment, count(*) AS n FROM shop_customer GROUP BY 1 ORDER BY 1",
-        limit=50, heads=("select", "with", "describe"),
+        limit=50, listing=True,
     )
 
 

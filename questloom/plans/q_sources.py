@@ -46,9 +46,24 @@ SELECT o_orderkey AS run_id, '{"task_id":"task_' || CAST(o_custkey AS STRING) ||
  CASE WHEN o_orderpriority = '1-URGENT' THEN 'false' ELSE 'true' END || ',"observation":{}}]}' AS v FROM orders""", ("orders",))
 
 
-@query("catalog_files")
+@query("catalog_files", "SELECT DISTINCT 'json' AS kind, 'source=' || source AS folder, 2 AS depth FROM documents")
 def catalog_files(t: Tables):
-    return S.catalogue(t.spark, t.folder)
+    """The folders of a table written by source, from a catalogue of its files."""
+    folder = scratch(t, "context")
+    S.write_jsonl(t.documents.select("doc_id", "source"), folder, by=["source"])
+    return S.catalogue(t.spark, folder).filter("kind = 'json'").select(
+        "kind", F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "depth"
+    ).distinct()
+
+
+@query("scan_csv_rejected", "SELECT count(*) AS rejected FROM orders WHERE o_orderkey % 7 = 0")
+def scan_csv_rejected(t: Tables):
+    """Rows whose number is no number, counted by a typed scan."""
+    folder = scratch(t, "csv")
+    key = F.col("o_orderkey")
+    bad = F.when(key % 7 == 0, F.concat(F.lit("no"), key.cast("string"))).otherwise(key.cast("string"))
+    S.write_answer_csv(t.orders.select(bad.alias("o_orderkey"), "o_totalprice"), folder)
+    return S.rejected_rows(t.spark, folder, "o_orderkey long, o_totalprice double")
 
 
 @query("scan_csv_typed", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -11,26 +11,19 @@ from questloom.streaming import monitor as MO
 from questloom.streaming import progress as PR
 
 
-def as_stream(t: Tables, df, files_per_trigger: int | None = None):
-    """Write a frame to the shared folder and read it back as a stream of files."""
+def as_stream(t: Tables, df, files: int = 6):
+    """Write a frame in random order to the shared folder; read it as a stream, a file at a time."""
     folder = scratch(t, "feed")
-    df.write.mode("overwrite").parquet(folder)
-    reader = t.spark.readStream.schema(df.schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    df.repartition(files, F.xxhash64(*df.columns)).write.mode("overwrite").parquet(folder)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("stream_step_monitor", f"WITH {FLAGS_SQL} SELECT task_id, step_index, action, repeated, error_run, scout_excess, empty_sql_run, profile_missing FROM fl", ["trace_steps"])
 def stream_step_monitor(t: Tables):
     feed = as_stream(t, t.trace_steps)
-    out = scratch(t, "flags")
-    run = (
-        MO.monitor(feed).writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", scratch(t, "state")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return t.spark.read.parquet(out)
+    out = scratch(t, "monitor")
+    MO.monitor(feed, out, scratch(t, "state")).awaitTermination()
+    return MO.flags(t.spark, out)
 
 
 @query("stream_progress", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS completed, count(*) FILTER (event_type <> 'error') AS succeeded,

@@ -86,9 +86,9 @@ _TERMS = ("balance", "white blood cell")
 
 
 def _snippets() -> str:
-    from questloom.operators.profile import term_variants
+    from questloom.operators.profile import spellings
 
-    vs = sorted({v for x in _TERMS for v in term_variants(x)})
+    vs = sorted({v for x in _TERMS for v in spellings(x)})
     flat = "regexp_replace(lower(p.p), '[^a-z0-9]+', '', 'g')"
     return f"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {D.trimmed('x')}), lambda x: x <> '') AS ps FROM notes),
 p AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS i, unnest(ps) AS p FROM d)

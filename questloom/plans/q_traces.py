@@ -267,7 +267,7 @@ def attempt_same(t: Tables):
 @query("evidence_summary", """WITH s AS (SELECT task_id, string_agg(part, chr(10) ORDER BY step_index, part_no) AS s FROM evidence_parts GROUP BY 1)
 SELECT task_id, CASE WHEN length(s) > 1500 THEN substr(s, 1, 1500) || chr(10) || '... <' || (length(s) - 1500) || ' more chars truncated>' ELSE s END AS summary FROM s""", ["evidence_parts"])
 def evidence_summary(t: Tables):
-    return R.evidence_summary(t.evidence_parts, "part")
+    return R.evidence_summary(t.evidence_parts, "part", max_chars=1500)
 
 
 _ROWS = """mr AS (SELECT t.task_id, coalesce(difficulty, 'unknown') AS difficulty, coalesce(route, 'unknown') AS route, task_type, operation, output_shape, domain_list, coalesce(s.score, 1.0)::DOUBLE AS score FROM run_tasks t LEFT JOIN run_scores s ON s.task_id = t.task_id),

@@ -49,18 +49,16 @@ def answer_precheck(t: Tables):
     return V.precheck(t.check_headers, t.check_cells)
 
 
-@query("verify_readable")
+@query("verify_readable", """SELECT DISTINCT 'task_id=' || task_id AS answer, 'readability_check' AS "check", TRUE AS passed, 'readable' AS detail FROM check_cells
+UNION ALL SELECT r_name, 'readability_check', FALSE, 'missing' FROM region""", _BASE)
 def verify_readable(t: Tables):
+    """Answers written one folder per task, and names that no answer has."""
     folder = scratch(t, "predictions")
-    rows = t.check_cells.select(F.concat_ws(",", "task_id", "row_idx", "v").alias("value"))
-    rows.write.mode("overwrite").text(folder)
-    names = t.spark.read.format("binaryFile").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file")
-    )
-    lost = t.region.select(F.concat(F.col("r_name"), F.lit(".csv")).alias("file"))
-    return V.readability(t.spark, folder, names.unionByName(lost), "file").groupBy("check", "passed", "detail").agg(
-        F.count(F.lit(1)).alias("files")
-    )
+    rows = t.check_cells.select("task_id", F.concat_ws(",", "row_idx", "v").alias("value"))
+    rows.write.mode("overwrite").partitionBy("task_id").text(folder)
+    names = t.check_cells.select(F.concat(F.lit("task_id="), F.col("task_id").cast("string")).alias("answer")).distinct()
+    lost = t.region.select(F.col("r_name").alias("answer"))
+    return V.readability(t.spark, folder, names.unionByName(lost), "answer", level=-2)
 
 
 _CONTRACT = """hn AS (SELECT task_id, trim(name) AS name, count(*) AS k FROM check_headers GROUP BY 1, 2),
@@ -145,8 +143,8 @@ _ACTIONS = "CASE \"check\" " + " ".join(f"WHEN '{n}' THEN {{'p': {p}, 'a': '{a}'
 @query("repair_plan", f"""WITH {REPORT_SQL}, {TRIGGER_SQL}, f AS (SELECT task_id, {_ACTIONS} AS r, d FROM rp WHERE d IS NOT NULL),
 e AS (SELECT task_id, r.p AS priority, r.a AS action_type, d AS detail, TRUE AS blocking FROM f UNION ALL SELECT task_id, priority, action_type, 'question wording', blocking FROM trig),
 u AS (SELECT task_id, action_type, detail, min(priority) AS priority, bool_or(blocking) AS blocking FROM e GROUP BY 1, 2, 3)
-SELECT task_id, action_type, detail, CAST(priority AS INT) AS priority, blocking, CAST(row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) AS INT) AS step FROM u
-QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) <= 5""", [*_BASE, "check_contracts", "answer_shapes"])
+SELECT task_id, action_type, detail, CAST(priority AS INT) AS priority, blocking, CAST(row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) AS INT) AS step,
+row_number() OVER (PARTITION BY task_id ORDER BY priority, action_type, detail) <= 5 AS applied FROM u""", [*_BASE, "check_contracts", "answer_shapes"])
 def repair_plan(t: Tables):
     return V.repair_plan(report(t), triggers(t))
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from questloom.functions.groups import spread
 from questloom.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,8 +20,7 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        df = self.load(name)
-        return spread(df) if name in fx.HEAVY else df
+        return self.load(name)
 
     def load(self, name: str) -> DataFrame:
         if name in fx.DERIVED:

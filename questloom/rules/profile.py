@@ -15,16 +15,10 @@ RANGE_BETWEEN = rf"(?i){LABEL}\s+(?:is\s+)?(?:between\s+)?{NUM}\s*(?:-|–|to|an
 RANGE_COMPARE = rf"(?i){LABEL}\s*(>=?|<=?)\s*{NUM}"
 RANGE_NORMAL = rf"(?i)normal\s+{LABEL}\s*(?:level|range|value)?\s*[:=-]?\s*{NUM}\s*(?:-|–|to)\s*{NUM}"
 TERM_EDGE = ".,;:()[]{}'\"!?"
-MAX_HEADINGS = 20
-MAX_TERMS = 30
-MAX_RANGES = 20
-MAX_PATHS = 50
-HEAD_CHARS = 20_000
 NUMERIC_TYPES = ("INT", "DOUBLE", "FLOAT", "DECIMAL", "REAL", "NUMERIC", "BIGINT", "HUGEINT")
 DATE_TYPES = ("DATE", "TIMESTAMP")
 DATE_TOKENS = ("date", "month", "yearmonth", "period")
 CATEGORY_COLUMNS = ("segment", "category", "type", "status")
-MAX_VALUE_CHARS = 80
 TERM_ALIASES = {
     "white blood cell": ("wbc",),
     "white blood cells": ("wbc",),

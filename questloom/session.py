@@ -5,6 +5,9 @@ A cluster brings its own session; nothing in the library creates one.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,12 +29,23 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder, made once; a cluster gets an
+    error, since executors cannot read one another's local disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
     folder = tempfile.mkdtemp(prefix="questloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ def kind_of(path: Column) -> Column:
     return out
 
 
-def catalogue(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:
+def catalogue(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
     """Files below ``root`` with relative path, kind and size; the content is never read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -35,7 +36,7 @@ def catalogue(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:
     return (
         files.select(rel.alias("path"), "size")
         .withColumn("depth", F.size(F.split("path", "/")))
-        .filter(F.col("depth") <= max_depth)
+        .filter(F.lit(True) if max_depth is None else F.col("depth") <= max_depth)
         .withColumn("kind", kind_of(F.col("path")))
         .orderBy("path")
     )
@@ -50,22 +51,46 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.option("inferSchema", True).option("preferDate", True).csv(path)
 
 
-def scan_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV scan; short rows are padded with ''."""
+def rejected_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """How many rows a typed scan of ``path`` drops as malformed: one row, ``rejected``.
+
+    Lines equal to the header are headers of part files.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+    head = spark.read.option("header", True).csv(path).columns
+    lines = spark.read.text(path).filter(F.col("value") != F.lit(",".join(head)))
+    parsed = F.from_csv("value", F.lit(f"{schema}, _bad string"), options)
+    return lines.agg(F.count(parsed["_bad"]).alias("rejected"))
+
+
+def scan_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All-text CSV scan; short rows are padded with ''.
+
+    ``multi_line`` allows line breaks inside cells, at the price of one task per file.
+    """
     raw = (
-        spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
-        .csv(path)
+        spark.read.option("header", True).option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE").csv(path)
     )
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
+# Quoted field names, and type words where a type stands: first, after a name, in a list.
+_NAME = re.compile(r"(`(?:[^`]|``)*`)")
+_TYPE = re.compile(r"(^|: |ARRAY<)(OBJECT|VOID|VARIANT)\b")
+
+
+def _spark_type(m: re.Match) -> str:
+    return m[1] + ("STRUCT" if m[2] == "OBJECT" else "STRING")
+
+
 def json_schema(df: DataFrame, column: str) -> str:
     """The merged schema of a JSON text column, found by one mergeable aggregate.
 
     Only the schema text reaches the driver.
     """
     text = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
-    return text.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    return "".join(p if i % 2 else _TYPE.sub(_spark_type, p) for i, p in enumerate(_NAME.split(text)))
 
 
 def parse_json(df: DataFrame, column: str, schema: str | None = None, name: str = "doc") -> DataFrame:

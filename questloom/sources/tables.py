@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: longest view name.
 MAX_NAME = 96
-
-
-def safe_name(path: str) -> str:
-    """View name of a relative path: suffix dropped, folders joined by ``__``."""
-    stem = re.sub(r"\.[^./]+$", "", path)
-    name = re.sub(r"\W+", "_", "__".join(p for p in stem.split("/") if p)).strip("_").lower()
-    name = name or "table"
-    return (f"t_{name}" if name[0].isdigit() else name)[:MAX_NAME]
+# Fixed value: longest name in front of a number.
+MAX_BASE = 90
 
 
 def safe_name_column(path: Column) -> Column:
-    """:func:`safe_name` as an expression over a catalogue of paths."""
+    """View name of a relative path: suffix dropped, folders joined by ``__``."""
     stem = F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), "/+", "__")
     name = F.lower(F.regexp_replace(F.regexp_replace(stem, r"(?U)\W+", "_"), "^_+|_+$", ""))
     name = F.when(name == "", F.lit("table")).otherwise(name)
@@ -30,26 +23,42 @@ def safe_name_column(path: Column) -> Column:
 
 
 def unique_names(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``view_name``; the second file of a name gets ``_2``, the third ``_3``.
+    """Add ``view_name``: in path order, a taken name gets the first free ``_2``, ``_3``, …
 
-    Names are unique within ``by`` (one context folder).
+    Names are unique within ``by`` (one context folder). Only names that differ in such
+    endings can clash, so a group holds the files of one stem; a name that gets an ending
+    is cut to ``MAX_BASE`` first.
     """
-    w = Window.partitionBy(*by, "_base").orderBy(path)
-    named = df.withColumn("_base", safe_name_column(F.col(path))).withColumn(
-        "_k", F.row_number().over(w)
+    files = df.withColumn("_base", safe_name_column(F.col(path))).withColumn(
+        "_stem", F.substring(F.regexp_replace("_base", r"(_\d+)+$", ""), 1, MAX_BASE - 6)
+    )
+
+    def give(taken: Column, item: Column) -> Column:
+        used = F.transform(taken, lambda x: x["name"])
+        tries = F.transform(
+            F.sequence(F.lit(2), F.size(taken) + 2),
+            lambda k: F.concat(F.substring(item["base"], 1, MAX_BASE), F.lit("_"), k.cast("string")),
+        )
+        free = F.filter(F.concat(F.array(item["base"]), tries), lambda x: ~F.array_contains(used, x))
+        return F.concat(taken, F.array(F.struct(item["path"].alias("path"), free[0].alias("name"))))
+
+    named = (
+        files.groupBy(*by, "_stem")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col("_base").alias("base")))).alias("_files"))
+        .withColumn("_none", F.expr("cast(array() AS array<struct<path:string,name:string>>)"))
+        .select(*by, F.explode(F.aggregate("_files", F.col("_none"), give)).alias("_f"))
+        .select(*by, F.col("_f.path").alias(path), F.col("_f.name").alias("view_name"))
     )
-    suffix = F.concat(F.lit("_"), F.col("_k").cast("string"))
-    return named.withColumn(
-        "view_name",
-        F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", suffix)),
-    ).drop("_base", "_k")
+    return df.join(named, [*by, path])
 
 
 def register_namespace(base: str, tables: Mapping[str, DataFrame]) -> list[tuple[str, str]]:
     """Register each table as ``<base>_<table>``; returns ``(table, view)`` pairs."""
-    out = []
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(n, f"{base}_{n}") for n in tables], "table string, path string")
+    views = {r["table"]: r["view_name"] for r in unique_names(names, "path").collect()}
     for name, df in tables.items():
-        view = safe_name(f"{base}_{name}")
-        df.createOrReplaceTempView(view)
-        out.append((name, view))
-    return out
+        df.createOrReplaceTempView(views[name])
+    return list(views.items())

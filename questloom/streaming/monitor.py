@@ -1,99 +1,93 @@
-"""Judge steps as they arrive.
+"""Judge steps as they arrive, in any order, with the rules of the batch.
 
-State is kept per slice of a task, not per task, with the same overlap as the batch
-rules: a task with very many steps is spread over many keys, and a slice's state is
-bounded by its size. Steps may arrive in any order; each is judged once its predecessors
-are there.
+Each micro-batch adds its rows to the open slices of their tasks and judges every step
+whose predecessors in the slice are there. Slices overlap as in the batch, so a slice holds
+at most its size plus the reach of the rules, and a task with very many steps is spread
+over many keys. Nothing is dropped by time: a step waits until its predecessors come or
+until ``close`` is called.
+
+Folders: ``flags`` (results), ``open`` (rows of unfinished slices) and ``done`` (names of
+finished slices), one subfolder per micro-batch. A retried micro-batch writes its own again.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from questloom.functions.groups import step_slices
-from questloom.operators.traces import REPEAT_WINDOW, RUN, SCOUT_WINDOW
-from questloom.rules import traces as R
+from questloom.operators.traces import FLAGS, REPEAT_WINDOW, SCOUT_WINDOW, judged
 
 REACH = max(REPEAT_WINDOW, SCOUT_WINDOW)
-FLAGS = ["repeated", "error_run", "scout_excess", "empty_sql_run", "profile_missing"]
-STATE = "next_step bigint, recent string, waiting string, last_ms bigint"
-
-
-def judge(recent: list[list], step: list) -> list[bool]:
-    """Flags of one step given the few steps before it; a step is [index, action, key, ok, rows]."""
-    index, action, key, ok, _ = step
-    before = recent[-REPEAT_WINDOW:]
-    scouts = [s[1] for s in recent[-SCOUT_WINDOW:]]
-    run = [*recent[-(RUN - 1):], step]
-    prior = recent[-RUN:]
-    return [
-        action != "answer" and sum(s[2] == key for s in before) >= 2,
-        len(run) == RUN and not any(s[3] for s in run),
-        action in ("search_doc", "read_doc")
-        and sum(a in R.SCOUT for a in scouts) >= 4
-        and not any(a in R.COMPUTE for a in scouts),
-        action in R.SQL_ACTIONS
-        and len(prior) == RUN
-        and all(s[1] in R.SQL_ACTIONS and s[4] is not None and s[4] <= 2 for s in prior),
-        index <= 2 and action != R.PROFILE and not any(s[1] == R.PROFILE for s in recent[-2:]),
-    ]
-
-
-def monitor(steps: DataFrame, size: int = 512, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
-    """Flags for a stream of steps with ``ts``.
-
-    A slice idle for ``idle_ms`` of event time is closed: steps still waiting for a lost
-    predecessor are judged in order and the state is dropped.
-    """
-    key_type = dict(steps.dtypes)["task_id"]
-    out = f"task_id {key_type}, step_index bigint, action string, " + ", ".join(f"{f} boolean" for f in FLAGS)
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task, part = key[0], int(key[1])
-        low = part * size
-        if state.exists:
-            next_step, recent, waiting, last_ms = state.get
-            recent, held = json.loads(recent), {int(k): v for k, v in json.loads(waiting).items()}
-        else:
-            next_step = 1 if part == 0 else low - REACH + 1
-            recent, held, last_ms = [], {}, 0
-        done: list[tuple] = []
-
-        def take(step: list) -> None:
-            if low < step[0] <= low + size:
-                done.append((task, step[0], step[1], *judge(recent, step)))
-            recent.append(step)
-            del recent[:-REACH]
-
-        if state.hasTimedOut:
-            for index in sorted(held):
-                take(held[index])
-            state.remove()
-        else:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    if r.step_index >= next_step:
-                        rows = None if pd.isna(r.rows_returned) else int(r.rows_returned)
-                        held[int(r.step_index)] = [int(r.step_index), r.action, r.action_key, bool(r.ok), rows]
-                    last_ms = max(last_ms, int(r.ms))
-            while next_step in held:
-                take(held.pop(next_step))
-                next_step += 1
-            if next_step > low + size:
-                state.remove()
-            else:
-                state.update((next_step, json.dumps(recent), json.dumps(held), last_ms))
-                state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(done, columns=["task_id", "step_index", "action", *FLAGS])
-
-    timed = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    sliced = step_slices(timed, "step_index", REACH, size).withColumn("ms", F.unix_millis("ts"))
-    return sliced.groupBy("task_id", "_part").applyInPandasWithState(
-        run, out, STATE, "append", GroupStateTimeout.EventTimeTimeout
+COLUMNS = ("task_id", "step_index", "action", "action_key", "ok", "rows_returned")
+CLOSED = 2**62
+
+
+def _earlier(spark: SparkSession, folder: str, kind: str, epoch: int, schema, last_only: bool) -> DataFrame:
+    """What earlier micro-batches wrote: the newest of them, or all."""
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{kind}")
+    before = rows.filter(F.col("epoch") < epoch)
+    if not last_only:
+        return before.drop("epoch")
+    newest = before.agg(F.max("epoch").alias("e"))
+    return before.filter(F.col("epoch") == newest.scalar()).drop("epoch")
+
+
+def advance(batch: DataFrame, folder: str, epoch: int, size: int, close: bool = False) -> None:
+    """Take in one micro-batch. Steps that were judged already are ignored."""
+    spark = batch.sparkSession
+    new = step_slices(batch.select(*COLUMNS), "step_index", REACH, size).withColumn("_told", F.lit(False))
+    kept = new.schema.add("epoch", "long")
+    named = new.select("task_id", "_part").schema.add("epoch", "long")
+    done = _earlier(spark, folder, "done", epoch, named, last_only=False)
+    rows = new.join(done, ["task_id", "_part"], "left_anti").unionByName(
+        _earlier(spark, folder, "open", epoch, kept, last_only=True)
+    )
+    # A step that came twice counts once; one that was told before stays told.
+    step = Window.partitionBy("task_id", "_part", "step_index").orderBy(F.desc("_told"))
+    rows = rows.withColumn("_i", F.row_number().over(step)).filter("_i = 1").drop("_i")
+    slice_ = Window.partitionBy("task_id", "_part")
+    first = F.when(F.col("_part") == 0, 1).otherwise(F.col("_part") * size - REACH + 1)
+    dense = F.row_number().over(slice_.orderBy("step_index")) == F.col("step_index") - first + 1
+    seen = judged(rows).withColumn("_ready", F.lit(True) if close else dense)
+    seen = seen.withColumn("_full", F.count_if(F.col("_own") & F.col("_ready")).over(slice_) == size)
+    seen = seen.withColumn("_full", F.lit(True) if close else F.col("_full"))
+    at = f"{folder}/{{}}/epoch={epoch}"
+    # Written first with its marks, so that flags, open rows and names come from one result.
+    seen.write.mode("overwrite").parquet(at.format("step"))
+    seen = spark.read.schema(seen.schema).parquet(at.format("step"))
+    seen.filter("_own AND _ready AND NOT _told").select("task_id", "step_index", "action", *FLAGS).write.mode(
+        "overwrite"
+    ).parquet(at.format("flags"))
+    seen.filter("NOT _full").withColumn("_told", F.col("_told") | (F.col("_own") & F.col("_ready"))).select(
+        *rows.columns
+    ).write.mode("overwrite").parquet(at.format("open"))
+    seen.filter("_full").select("task_id", "_part").distinct().write.mode("overwrite").parquet(at.format("done"))
+
+
+def monitor(steps: DataFrame, folder: str, checkpoint: str, size: int = 512):
+    """Start the stream over what is available; results gather below ``folder``."""
+    # Empty first folders, so that every micro-batch finds something to read.
+    spark = steps.sparkSession
+    empty = step_slices(spark.createDataFrame([], steps.select(*COLUMNS).schema), "step_index", REACH, size)
+    empty = empty.withColumn("_told", F.lit(False))
+    empty.write.mode("overwrite").parquet(f"{folder}/open/epoch=-1")
+    empty.select("task_id", "_part").write.mode("overwrite").parquet(f"{folder}/done/epoch=-1")
+    return (
+        steps.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, epoch: advance(batch, folder, epoch, size)).start()
     )
+
+
+def close(steps: DataFrame, folder: str, size: int = 512) -> None:
+    """Judge what still waits for a lost predecessor, in the order of its steps.
+
+    ``steps`` gives the schema only; call it when the stream has ended.
+    """
+    spark = steps.sparkSession
+    advance(spark.createDataFrame([], steps.select(*COLUMNS).schema), folder, CLOSED, size, close=True)
+
+
+def flags(spark: SparkSession, folder: str) -> DataFrame:
+    """All flags so far."""
+    return spark.read.parquet(f"{folder}/flags").drop("epoch")

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def counts(done: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Completed, succeeded and failed per window; rows later than ``late`` are dropped."""
-    timed = done.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def counts(done: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Completed, succeeded and failed per window.
+
+    Without ``late`` every row counts, however late it comes; the state is one row per
+    window. With it, windows older than that are closed and later rows are lost.
+    """
+    timed = done.withColumn("ts", F.col("ts").cast("timestamp"))
+    if late is not None:
+        timed = timed.withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width).alias("w")).agg(
         F.count(F.lit(1)).alias("completed"), F.count_if("ok").alias("succeeded"),
         F.count_if(~F.col("ok")).alias("failed"),

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from questloom.functions import groups as G
 from questloom.operators import traces as R
 from questloom.operators import verify as V
+from questloom.plans.catalogue import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,7 +69,7 @@ def test_identical_columns_need_equal_sets(spark):
 
 def test_plans_hold_no_cross_join_and_no_python(spark):
     found = {}
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         if name.startswith("stream_"):
             continue
         plan = fn(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
@@ -80,22 +80,84 @@ def test_plans_hold_no_cross_join_and_no_python(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = entry.queries()["q_text_fn"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["q_text_fn"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan
 
 
+def feed_of(spark, steps, folder, files):
+    steps.orderBy(F.rand(5)).repartition(files).write.parquet(folder)
+    return spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+COLS = ["task_id", "step_index", "action", *R.FLAGS]
+
+
 def test_stream_out_of_order_equals_batch(spark, tmp_path):
     from questloom.streaming import monitor as MO
 
-    steps = hot_steps(spark, 1500)
-    folder = str(tmp_path / "feed")
-    steps.orderBy(F.rand(5)).repartition(6).write.parquet(folder)
-    feed = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    steps = hot_steps(spark, 600)
+    twice = steps.union(steps.filter("step_index % 50 = 3"))  # some steps come again
     out = str(tmp_path / "out")
-    run = (
-        MO.monitor(feed, size=64, late="30 days").writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    cols = ["task_id", "step_index", "action", *MO.FLAGS]
-    assert rows(spark.read.parquet(out).select(*cols)) == rows(R.step_flags(steps).select(*cols))
+    MO.monitor(feed_of(spark, twice, str(tmp_path / "feed"), 6), out, str(tmp_path / "cp"), size=64).awaitTermination()
+    assert rows(MO.flags(spark, out).select(*COLS)) == rows(R.step_flags(steps).select(*COLS))
+
+
+def test_stream_waits_for_a_lost_step_until_closed(spark, tmp_path):
+    from questloom.streaming import monitor as MO
+
+    steps = hot_steps(spark, 60)
+    lost = steps.filter("step_index <> 20")
+    out = str(tmp_path / "out")
+    feed = feed_of(spark, lost, str(tmp_path / "feed"), 3)
+    MO.monitor(feed, out, str(tmp_path / "cp"), size=64).awaitTermination()
+    early = MO.flags(spark, out).select(*COLS)
+    assert rows(early) == rows(R.step_flags(steps).filter("step_index < 20").select(*COLS))
+    MO.close(lost, out, size=64)
+    assert rows(MO.flags(spark, out).select(*COLS)) == rows(R.step_flags(lost).select(*COLS))
+
+
+def test_progress_counts_late_rows(spark, tmp_path):
+    from questloom.streaming import progress as PR
+
+    done = spark.range(600).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id / 20 AS int)) AS ts", "id % 3 > 0 AS ok")
+    feed = feed_of(spark, done, str(tmp_path / "feed"), 6)
+    PR.write_updates(PR.counts(feed), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = PR.latest(spark, str(tmp_path / "out")).agg(F.sum("completed"), F.count("*"), F.sum("succeeded")).first()
+    assert tuple(got) == (600, 30, 400)
+
+
+def test_evidence_of_short_lines_is_cut_with_a_note(spark):
+    parts = spark.range(1000).selectExpr("1 AS task_id", "id + 1 AS step_index", "0 AS part_no", "'ab' AS part")
+    text = R.evidence_summary(parts, "part", max_chars=1500, size=64).first()["summary"]
+    whole = "\n".join(["ab"] * 1000)
+    assert text == whole[:1500] + f"\n... <{len(whole) - 1500} more chars truncated>"
+    assert R.evidence_summary(parts, "part").first()["summary"] == whole
+
+
+def test_cases_of_the_first_verdict(spark):
+    from questloom.operators import answers as A
+    from questloom.operators import patterns as P
+    from questloom.operators import profile as PF
+    from questloom.sources import files as S
+
+    docs = spark.createDataFrame([('{"AVOID":1,"VARIANT_ID":"x","a b: VOID":null,"n":[{"OBJECT":[]}]}',)], "v string")
+    doc = S.parse_json(docs, "v").select("doc.*")
+    assert doc.columns == ["AVOID", "VARIANT_ID", "a b: VOID", "n"] and doc.first()["VARIANT_ID"] == "x"
+    text_dates = spark.createDataFrame([("201305",), ("201201",), ("2013-07-01",)], "d string")
+    assert text_dates.filter(P.in_year(text_dates, "d", 2013)).count() == 2
+    days = text_dates.selectExpr("to_date(left(d, 4), 'yyyy') AS d")
+    assert days.filter(P.in_year(days, "d", 2013)).count() == 2
+    runs = spark.createDataFrame([("task_2", True, None, 4), ("task_1", False, "abc", 1), ("task_9", False, "abc", 1)], "task_id string, succeeded boolean, failure_reason string, total_steps int")
+    assert tuple(R.case_pick(runs).first()) == ("task_2", "task_1")
+    cells = spark.createDataFrame([(1, 0, 0, "b"), (1, 0, 0, "a"), (1, 0, 1, "c")], "task_id int, row_idx int, col_idx int, v string")
+    assert [r.v for r in A.normalise_cells(cells).orderBy("col_idx").collect()] == ["a", "c"]
+    deep = "1"
+    for i in range(7):
+        deep = f'{{"k{i}":{deep}}}'
+    wide = "{" + ",".join(f'"p{i}":1' for i in range(60)) + "}"
+    both = spark.createDataFrame([(deep,), (wide,)], "v string")
+    paths = {r.path for r in PF.json_key_paths(both, "v").collect()}
+    assert "$.k6.k5.k4.k3.k2.k1.k0" in paths and all(f"$.p{i}" in paths for i in range(60))
+    heads = spark.createDataFrame([(1, "\n".join(f"# h{i}" for i in range(25)))], "doc_id int, text string")
+    assert PF.doc_headings(heads, "doc_id", "text").count() == 25
+    assert PF.doc_headings(heads, "doc_id", "text", limit=20).count() == 20

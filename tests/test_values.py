@@ -3,10 +3,11 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
 from questloom.functions import values as V
 from questloom.operators.answers import sanitise, split_full_name
-from questloom.operators.query import is_read_only, json_path_of
-from questloom.sources.tables import safe_name
+from questloom.operators.query import json_path_of, read_only_query
+from questloom.sources.tables import unique_names
 
 
 def test_two_decimals_follow_the_exact_binary_value(spark):
@@ -48,10 +49,22 @@ def test_split_name(spark):
     assert [(r.first_name, r.last_name) for r in rows] == [("Ann", "Lee Oz"), ("Bo", ""), ("", "")]
 
 
-def test_names_and_read_only():
-    assert safe_name("csv/9 Sales-2024.csv") == "csv__9_sales_2024"
-    assert safe_name("9.csv") == "t_9"
-    assert safe_name("__.md") == "table"
+def test_view_names(spark):
+    paths = ["csv/9 Sales-2024.csv", "9.csv", "__.md", "a.csv", "a.json", "a_2.csv", "x" * 120 + ".csv", "x" * 120 + ".json"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r.path: r.view_name for r in unique_names(df, "path").collect()}
+    assert [got[p] for p in paths[:6]] == ["csv__9_sales_2024", "t_9", "table", "a", "a_2", "a_2_2"]
+    assert [got[p] for p in paths[6:]] == ["x" * 96, "x" * 90 + "_2"]
+    assert len(set(got.values())) == len(paths)
+
+
+def test_paths():
     assert json_path_of("a.b.0.c") == "$.a.b[0].c"
-    assert is_read_only("/* x */ -- y\n WITH a AS (SELECT 1) SELECT * FROM a")
-    assert not is_read_only("DROP TABLE x -- select")
+
+
+def test_read_only(spark):
+    assert read_only_query(spark, "/* x */ -- y\n WITH a AS (SELECT 1) SELECT * FROM a -- end").count() == 1
+    assert read_only_query(spark, "(SELECT 1);").count() == 1
+    for bad in ("DROP TABLE x -- select", "WITH c AS (SELECT 1 AS a) INSERT INTO t SELECT * FROM c", "CREATE VIEW v AS SELECT 1"):
+        with pytest.raises(ValueError):
+            read_only_query(spark, bad)
