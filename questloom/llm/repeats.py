@@ -28,7 +28,7 @@ _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
 _M = np.uint64(0xFF51AFD7ED558CCD)
 #: Segments of one anchor that a single task sorts; more of them are counted by hash.
-BLOCK = 32_768
+BLOCK = 65_536
 
 
 class Roller:
@@ -138,11 +138,13 @@ def repeated_starts(segs: list[bytes], lefts: list[int], group: np.ndarray, n: i
     """
     reach, width = n - GRAM, 2 * n - GRAM
     count = len(segs)
-    cols = np.full((width, count), 256, np.int64)  # 256: outside the text
-    flat = np.full((count, width), 256, np.uint16)
-    for i, (s, left) in enumerate(zip(segs, lefts, strict=True)):
-        flat[i, reach - left : reach - left + len(s)] = np.frombuffer(s, np.uint8)
-    cols = np.ascontiguousarray(flat.T)
+    cols = np.empty((width, count), np.uint16)
+    for a in range(0, count, 4096):  # in pieces, so that only one matrix is held
+        part = np.full((min(4096, count - a), width), 256, np.uint16)  # 256: outside the text
+        for i in range(len(part)):
+            begin = reach - lefts[a + i]
+            part[i, begin : begin + len(segs[a + i])] = np.frombuffer(segs[a + i], np.uint8)
+        cols[:, a : a + len(part)] = part.T
     out = np.zeros((reach + 1, count), bool)
     order = np.argsort(group, kind="stable")
     base = group[order].astype(np.int64) * 257  # groups stay together, so this never moves
@@ -257,8 +259,20 @@ def _hashed_cover(groups: DataFrame, n: int) -> DataFrame:
     )
     again = grams.groupBy("h", "at", "g", "g2").agg(F.sum("n").alias("m")).filter("m > 1").drop("m")
     hit = grams.join(again, ["h", "at", "g", "g2"]).groupBy("h", "sh").agg(F.collect_set("at").alias("at"))
-    one = F.transform("at", lambda x: F.struct((x - reach).alias("s"), (x - reach + n).alias("e")))
-    return hit.select("h", "sh", one.alias("cover"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            covers = []
+            for at in b.column(2).to_pylist():
+                starts = np.zeros(reach + 1, bool)
+                starts[at] = True
+                covers.append(_runs(starts, n))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(covers, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))],
+                names=["h", "sh", "cover"],
+            )
+
+    return hit.select("h", "sh", "at").mapInArrow(runs, _COVER)
 
 
 def repeated_spans(docs: DataFrame, n: int = 400, block: int = BLOCK) -> DataFrame:

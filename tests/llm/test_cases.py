@@ -223,7 +223,7 @@ def test_language_needs_letters(spark):
     assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and got[None].held_out is False
 
 
-@pytest.mark.parametrize("block", [1, 3, 32_768])
+@pytest.mark.parametrize("block", [1, 3, 65_536])
 def test_repeats_in_every_way(spark, block):
     rnd = random.Random(4)
     make = lambda k: "".join(rnd.choices("abcde é", k=k))
