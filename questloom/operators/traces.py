@@ -401,9 +401,9 @@ def attempt_same(cells: DataFrame) -> DataFrame:
 
 
 def evidence_summary(
-    parts: DataFrame, text: str, max_chars: int | None = None, size: int = 512
+    parts: DataFrame, text: str, max_chars: int | None = 1500, size: int = 512
 ) -> DataFrame:
-    """Evidence lines of a task in step order, joined; ``max_chars`` cuts them with a note.
+    """Evidence lines of a task in step order, joined; cut at ``max_chars`` with a note, or whole.
 
     Only lines that begin up to the cut are gathered. Where a line begins comes from the
     lengths of earlier slices of ``size`` steps and a running length inside its slice, so
