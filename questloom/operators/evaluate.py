@@ -89,14 +89,29 @@ def jaccard_pairs(values: DataFrame, columns: DataFrame | None = None) -> DataFr
     )
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
+def greedy_match(pairs: DataFrame, rounds: int = 3) -> DataFrame:
     """One-to-one matches by falling similarity, ties by gold then predicted column.
 
-    The array per task is bounded by the number of column pairs, not by rows.
+    A pair that is the best of both its columns is always chosen, so ``rounds`` times such
+    pairs are taken and the other pairs of their columns put aside, by windows over a
+    column. Only pairs that are open after that are folded in order, in an array per task.
     """
-    best_first = F.sort_array(
-        F.collect_list(F.struct((-F.col("similarity")).alias("s"), "g", "p"))
-    )
+    rank = F.struct((-F.col("similarity")).alias("s"), "g", "p")
+    over_g, over_p = Window.partitionBy("task_id", "g"), Window.partitionBy("task_id", "p")
+    state = pairs.select("task_id", "g", "p", "similarity", F.lit("open").alias("_state"))
+    is_open = F.col("_state") == "open"
+    for _ in range(rounds):
+        best = F.when(is_open, rank)
+        state = state.withColumn("_g", F.min(best).over(over_g)).withColumn("_p", F.min(best).over(over_p))
+        state = state.withColumn("_sure", is_open & (F.col("_g") == rank) & (F.col("_p") == rank))
+        state = state.withColumn("_g", F.max("_sure").over(over_g)).withColumn("_p", F.max("_sure").over(over_p))
+        state = state.withColumn(
+            "_state",
+            F.when(F.col("_sure"), F.lit("taken"))
+            .when(is_open & (F.col("_g") | F.col("_p")), F.lit("beaten"))
+            .otherwise(F.col("_state")),
+        )
+    state = state.select("task_id", "g", "p", "similarity", "_state").filter(F.col("_state") != "beaten")
     start = F.expr(
         "named_struct('gs', cast(array() as array<int>), 'ps', cast(array() as array<int>),"
         " 'kept', cast(array() as array<struct<g:int,p:int,s:double>>))"
@@ -113,10 +128,14 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         )
         return F.when(free, taken).otherwise(acc)
 
-    return (
-        pairs.groupBy("task_id").agg(best_first.alias("_pairs"))
-        .select("task_id", F.explode(F.aggregate("_pairs", start, step)["kept"]).alias("m"))
-        .select("task_id", "m.g", "m.p", F.col("m.s").alias("similarity"))
+    # One row per task: the chosen pairs as they are, the open ones in order.
+    parts = state.groupBy("task_id").agg(
+        F.collect_list(F.when(F.col("_state") == "taken", F.struct("g", "p", F.col("similarity").alias("s")))).alias("_taken"),
+        F.sort_array(F.collect_list(F.when(is_open, rank))).alias("_open"),
+    )
+    every = F.concat("_taken", F.aggregate("_open", start, step)["kept"])
+    return parts.select("task_id", F.explode(every).alias("m")).select(
+        "task_id", "m.g", "m.p", F.col("m.s").alias("similarity")
     )
 
 

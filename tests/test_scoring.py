@@ -95,3 +95,19 @@ def test_evidence_text_is_cut_at_the_limit(spark):
     want = whole[:1500] + f"\n... <{len(whole) - 1500} more chars truncated>"
     assert R.evidence_summary(df, "part").first().summary == want
     assert F is not None
+
+
+def test_greedy_match_of_many_columns(spark):
+    import random
+
+    rnd = random.Random(6)
+    pairs = [(1, g, p, rnd.randint(1, 9) / 10) for g in range(120) for p in range(120) if rnd.random() < 0.4]
+    left, right, want = set(), set(), set()
+    for s, g, p in sorted((-s, g, p) for _, g, p, s in pairs):
+        if g not in left and p not in right:
+            left.add(g)
+            right.add(p)
+            want.add((g, p, -s))
+    df = spark.createDataFrame(pairs, "task_id int, g int, p int, similarity double")
+    for rounds in (0, 1, 3):
+        assert {(r.g, r.p, r.similarity) for r in E.greedy_match(df, rounds).collect()} == want
