@@ -23,6 +23,8 @@ DIM = 1 << BITS
 SCALE = 10.0
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: What the weights of all languages may take when sent to the executors: 2,048 languages.
+MODEL_BYTES = 512 << 20
 
 
 def _letters() -> np.ndarray:
@@ -131,6 +133,8 @@ def fit(
     if not sizes:
         return None
     labels = sorted(sizes)
+    if DIM * len(labels) * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(labels)} languages need a model of over {MODEL_BYTES} bytes")
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / len(labels) / n))])
     draw = F.pmod("_k2", F.lit(1 << 30)) / float(1 << 30)
     chosen = docs.filter(draw < F.try_element_at(share, F.col(lang)))

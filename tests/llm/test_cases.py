@@ -167,6 +167,14 @@ def test_kneser_ney_sums_to_one():
         assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
 
 
+def test_languages_in_several_passes(spark, odd):
+    docs = odd.select("doc_id", "text", "lang")
+    one = quality.measure(docs).collect()
+    many = quality.measure(docs, most=1).collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, one)) == sorted(map(key, many))
+
+
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_repeated_words(words):
