@@ -20,6 +20,7 @@ is ordered later than it could be, alike in every document, so no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +47,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class WordHashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes; word hashes are kept for reuse."""
 
     def __init__(self, n: int = 5, kept: int = 300_000) -> None:
-        self.n, self.kept, self.words = n, kept, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > self.kept:
-            known.clear()
-        get = known.get
-        hashes = [get(w) or self._new(w) for w in words]
-        h = np.array(hashes, np.uint64)
-        n = min(self.n, len(h))
+        self.n, self.kept, self.words = n, kept, WordHashes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The set of each text. All texts are hashed as one run of words, then cut apart."""
+        if len(self.words) > self.kept:
+            self.words.clear()
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+        whole = self._hash(flat, self.n) if len(flat) >= self.n else flat[:0]
+        out = []
+        for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            begin = end - size
+            if size >= self.n:
+                out.append(np.unique(whole[begin : end - self.n + 1]))
+            elif size:
+                out.append(self._hash(flat[begin:end], size))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        return out
+
+    @staticmethod
+    def _hash(h: np.ndarray, n: int) -> np.ndarray:
         m = len(h) - n + 1
         s = np.full(m, np.uint64(n))
         with np.errstate(over="ignore"):
             for k in range(n):
                 s = mix(s * np.uint64(31) + h[k : k + m])
-        return np.unique(s)
+        return s
+
+
+#: Words of 64 bits in a sketch, and the columns that hold them.
+SKETCH = 8
+BITS = tuple(f"s{i}" for i in range(SKETCH))
 
-    def _new(self, w: bytes) -> int:
-        h = self.words[w] = xxhash.xxh64_intdigest(w)
-        return h
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """512 parity bits of a set. Sets that differ in d members differ in at most d bits."""
+    bit = (s >> np.uint64(7)) & np.uint64(64 * SKETCH - 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -132,8 +159,7 @@ def profile(docs: DataFrame, n: int, text: str = "text", id_col: str = "doc_id",
         held = 0
         for b in small_batches(batches):
             sizes, sets = [], []
-            for t in texts_of(b, "_text"):
-                s = shingle(t)
+            for s in shingle(texts_of(b, "_text")):
                 sizes.append(len(s))
                 sets.append(set_id(s) if len(s) else None)
                 if len(s) and sets[-1] not in seen:
@@ -202,7 +228,9 @@ def _class_of(s: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sent: Broadcast, n: int, percent: int, k: int, text: str = "text") -> DataFrame:
-    """``(token, id, n)``: the extended prefix of each set, less shingles of one document.
+    """``(token, id, n, *sketch)``: the extended prefix of each set, less shingles of one document.
+
+    The sketch stands in the first row of a set only.
 
     ``sent`` holds the class bitmaps.
     """
@@ -210,28 +238,41 @@ def prefixes(docs: DataFrame, sent: Broadcast, n: int, percent: int, k: int, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, maps = Shingler(n), set(), sent.value
         for b in small_batches(batches):
-            tokens, ids, sizes = [], [], []
-            for t in texts_of(b, "_text"):
-                s = shingle(t)
+            tokens, ids, sizes, marks = [], [], [], []
+            sets = shingle(texts_of(b, "_text"))
+            classes = _class_of(np.concatenate(sets), maps) if sets else None
+            end = 0
+            for s in sets:
+                end += len(s)
                 if not len(s) or (who := set_id(s)) in seen:
                     continue
                 seen.add(who)
                 if len(seen) > 1_000_000:
                     seen.clear()
+                c = classes[end - len(s) : end]
                 length = min(len(s), len(s) - -(-percent * len(s) // 100) + k)
-                c = _class_of(s, maps)
                 first = np.argsort(c, kind="stable")[:length]
                 first = first[c[first] > 0]
-                tokens.append(s[first])
-                ids.append(np.full(len(first), who))
-                sizes.append(np.full(len(first), len(s)))
+                if len(first):
+                    tokens.append(s[first])
+                    ids.append(np.full(len(first), who))
+                    sizes.append(np.full(len(first), len(s)))
+                    marks.append(sketch(s))
             if tokens:
+                # A set's sketch goes with its first row only.
+                at = np.repeat(-1, sum(map(len, tokens)))
+                at[np.cumsum([0, *map(len, tokens[:-1])])] = np.arange(len(tokens))
+                which = pa.array(at, pa.int32(), mask=at < 0)
+                marked = np.stack(marks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
-                    names=["token", "id", "n"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)),
+                     *[pa.array(marked[:, i]).take(which) for i in range(SKETCH)]],
+                    names=["token", "id", "n", *BITS],
                 )
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "token bigint, id bigint, n bigint")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(
+        run, "token bigint, id bigint, n bigint, " + ", ".join(f"{b} bigint" for b in BITS)
+    )
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,18 +316,29 @@ def _close(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _near(a: str, b: str, percent: int):
+    """Sketches that similar sets can have: they differ in at most as many bits as members."""
+    differ = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in BITS)
+    return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
 def first_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Each member of a list with the least id of its size class and of the class below."""
+    """Each member of a list with the most central one of its size class and of the class below.
+
+    Central is the member with the largest share of its prefix in lists: an original has few
+    shingles of its own, while each of its copies brings some.
+    """
     step = float(np.log(100 / percent))
     sized = index.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    heads = sized.groupBy("token", "c").agg(F.min(F.struct("id", "n")).alias("h"))
+    listed = index.groupBy("id").agg((F.count(F.lit(1)) / F.max("n")).alias("w"))
+    heads = sized.join(listed, "id").groupBy("token", "c").agg(F.max(F.struct("w", "id", "n")).alias("h"))
     at = sized.withColumn("c", F.explode(F.array(F.col("c"), F.col("c") - 1)))
     met = at.join(heads, ["token", "c"]).filter((F.col("id") != F.col("h.id")))
     met = met.withColumn("hn", F.col("h.n")).filter(_close("n", "hn", percent))
     return met.select(F.least("id", F.col("h.id")).alias("a"), F.greatest("id", F.col("h.id")).alias("b")).distinct()
 
 
-def later_pairs(index: DataFrame, labels: DataFrame, percent: int, few: int) -> DataFrame:
+def later_pairs(index: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, few: int) -> DataFrame:
     """Pairs across components that share an indexed shingle, or two frequent ones."""
     named = written(
         index.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "index-labels"
@@ -298,8 +350,8 @@ def later_pairs(index: DataFrame, labels: DataFrame, percent: int, few: int) ->
         .filter(F.col("all") > F.col("top.m"))
         .select("token", F.col("top.label").alias("most"), (F.col("all") - F.col("top.m")).alias("rest"))
     )
-    member = named.join(open_, "token")
-    apart = (F.col("l.label") != F.col("r.label")) & _close("l.n", "r.n", percent)
+    member = named.join(open_, "token").join(sketches, "id")
+    apart = (F.col("l.label") != F.col("r.label")) & _close("l.n", "r.n", percent) & _near("l", "r", percent)
     pair = [F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")]
     light = member.filter(F.col("rest") <= few)
     direct = (
@@ -307,9 +359,9 @@ def later_pairs(index: DataFrame, labels: DataFrame, percent: int, few: int) ->
         .join(light.alias("r"), F.col("l.token") == F.col("r.token"))
         .filter(apart).select(*pair)
     )
-    heavy = member.filter(F.col("rest") > few).select("token", "id", "n", "label")
+    heavy = member.filter(F.col("rest") > few).select("token", "id", "n", "label", *BITS)
     two = heavy.alias("x").join(heavy.alias("y"), F.col("x.id") == F.col("y.id")).filter("x.token < y.token").select(
-        F.col("x.token").alias("t1"), F.col("y.token").alias("t2"), "x.id", "x.n", "x.label"
+        F.col("x.token").alias("t1"), F.col("y.token").alias("t2"), "x.id", "x.n", "x.label", *[f"x.{b}" for b in BITS]
     )
     combined = (
         two.alias("l").join(two.alias("r"), (F.col("l.t1") == F.col("r.t1")) & (F.col("l.t2") == F.col("r.t2")) & (F.col("l.id") < F.col("r.id")))
@@ -332,14 +384,17 @@ def near_duplicates(
     profiled = written(profile(docs, n, text, id_col), "shingle-profile")
     rows = profiled.filter(F.col("piece").isNull()).select("doc_id", "n", "id")
     sent = docs.sparkSession.sparkContext.broadcast(class_bitmaps(profiled))
-    index = written(prefixes(docs, sent, n, percent, k, text).distinct(), "prefix-index")
+    indexed = written(prefixes(docs, sent, n, percent, k, text).distinct(), "prefix-index")
     sent.destroy()  # what it served is written
-    index = written(index.join(index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"), "token"), "prefix-lists")
+    sketches = indexed.filter(F.col(BITS[0]).isNotNull()).select("id", *BITS)
+    index = indexed.select("token", "id", "n")
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    index = written(index.join(shared, "token"), "prefix-lists")
     sets = _sets(docs, index.select("id").distinct(), n, text)
     one = written(first_pairs(index, percent), "pairs")
     linked = written(verify(one, sets, percent), "linked")
     labels = components(linked)
-    two = later_pairs(index, labels, percent, few).join(one, ["a", "b"], "left_anti")
+    two = later_pairs(index, labels, sketches, percent, few).join(one, ["a", "b"], "left_anti")
     two = written(two, "more-pairs")
     more = written(verify(two, sets, percent), "more-linked")
     if not more.isEmpty():
@@ -378,8 +433,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
         shingle, seen, maybe = Shingler(n), set(), sent.value
         for b in small_batches(batches):
             ids, sets = [], []
-            for t in texts_of(b, "_text"):
-                s = shingle(t)
+            for s in shingle(texts_of(b, "_text")):
                 if not len(s):
                     continue
                 who = set_id(s)
