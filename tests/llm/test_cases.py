@@ -244,6 +244,24 @@ def test_repeats_in_every_way(spark, block):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.repeats(rows)
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_sketches_never_differ_more_than_sets(a, b, common):
+    a, b = a | common, b | common
+    bits = [neardup.sketch(np.array(sorted(x), np.uint64)) for x in (a, b)]
+    differ = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+    assert differ <= len(a ^ b)
+
+
+@given(st.lists(st.text(alphabet="ab \n", max_size=30), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_shingles_do_not_depend_on_the_batch(texts):
+    together = neardup.Shingler()(texts)
+    for t, s in zip(texts, together, strict=True):
+        alone = neardup.Shingler()([t])[0]
+        assert (s == alone).all() and len(s) == len(brute.shingles(t))
+
+
 @pytest.mark.parametrize("few", [0, 64])
 def test_near_duplicates_of_every_kind(spark, few):
     rnd = random.Random(9)
