@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
 
