@@ -1,9 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds of a test item are its rarer n-grams: those found in no more documents than its
-median n-gram, counted over the whole corpus. A document that holds a seed is aligned with
-the item around the seed; the local alignment scores matches, changes and gaps of words,
-so edited and shortened copies still score. Test items are taken in blocks of bounded size,
+Seeds of a test item are its rarer n-grams: those found in no more documents than the
+median of its n-grams that occur, counted over the whole corpus. A document that holds a
+seed is aligned with the item around the seed first, then around every other n-gram the
+two share, so a document without a seed is judged too. What is left out is proven: an
+alignment scores at most its matches, and no more words match than the stretch holds. The
+local alignment scores matches, changes and gaps of words, so edited and shortened copies
+still score. Test items are taken in blocks of bounded size,
 and each block meets all documents, so nothing that is sent to the executors grows.
 """
 
@@ -11,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -78,15 +83,15 @@ class Block:
         return at[hit], codes[hit]
 
     def choose_seeds(self, df: dict[int, int]) -> None:
-        """Keep as seeds the n-grams of each item up to its median document count."""
+        """Keep as seeds the n-grams of each item up to the median document count of those that occur."""
         counts = np.array([df.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        order = np.lexsort((counts, self.owner))
+        found = np.flatnonzero(counts)
+        order = found[np.lexsort((counts[found], self.owner[found]))]
         first = np.flatnonzero(np.append(True, np.diff(self.owner[order]) > 0)) if len(order) else order
         size = np.diff(np.append(first, len(order)))
-        middle = counts[order[first + (size - 1) // 2]] if len(order) else counts
         limit = np.zeros(len(self.items), np.int64)
-        limit[self.owner[order[first]]] = middle
-        self.seed = counts <= limit[self.owner]
+        limit[self.owner[order[first]]] = counts[order[first + (size - 1) // 2]]
+        self.seed = (counts > 0) & (counts <= limit[self.owner])
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -105,6 +110,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def stretches(places: list[tuple[int, int]], size: int, slack: int, end: int) -> list[tuple[int, int]]:
+    """Parts of a text of ``end`` words around shared n-grams ``(place in text, place in item)``."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((max(0, p - q - slack), min(end, p - q + size + slack)) for p, q in places):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
 def matches(block: Block, text: str, least: float, memory: dict) -> list[tuple[int, float]]:
     """``(item, score)`` of each item that the text holds; 1 is the whole item unchanged."""
     numbers = block.number(text)
@@ -112,31 +128,32 @@ def matches(block: Block, text: str, least: float, memory: dict) -> list[tuple[i
     if not len(at):
         return []
     low, high = np.searchsorted(block.grams, codes), np.searchsorted(block.grams, codes, "right")
-    windows: dict[int, list[list[int]]] = {}
-    for p, lo, hi in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-        for g in range(lo, hi):
-            if not block.seed[g]:
-                continue
-            i, q = int(block.owner[g]), int(block.place[g])
-            size = len(block.items[i])
-            slack = size // 2 + 4
-            s, e = max(0, p - q - slack), min(len(numbers), p + size - q + slack)
-            known = windows.setdefault(i, [])
-            if known and s <= known[-1][1]:
-                known[-1][1] = max(known[-1][1], e)
-                known[-1][0] = min(known[-1][0], s)
-            else:
-                known.append([s, e])
+    many = high - low
+    grams = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+    shared = sorted(zip(block.owner[grams].tolist(), np.repeat(at, many).tolist(), block.place[grams].tolist(), block.seed[grams].tolist(), strict=True))
+    held = np.zeros(len(block.words) + 1, bool)
+    held[numbers] = True
+    held[0] = False
     out = []
-    for i, spans in windows.items():
+    for i, group in groupby(shared, itemgetter(0)):
         item, top = block.items[i], 0.0
-        for s, e in spans:
-            key = (i, numbers[s:e].tobytes())
-            if key not in memory:
-                if len(memory) > 50_000:
-                    memory.clear()
-                memory[key] = align(item, numbers[s:e])[0] / (MATCH * len(item))
-            top = max(top, memory[key])
+        if held[item].sum() < least * len(item):
+            continue
+        # An alignment that scores ``least`` leaves out at most so many words of the text.
+        slack = int(MATCH * max(0.0, 1 - least) * len(item)) // GAP + 1
+        places = [(p, q, seed) for _, p, q, seed in group]
+        for chosen in ([x[:2] for x in places if x[2]], [x[:2] for x in places]):
+            for s, e in stretches(chosen, len(item), slack, len(numbers)):
+                part = numbers[s:e]
+                most = np.isin(item, part).sum() / len(item)
+                if most < least or most <= top:
+                    continue
+                key = (i, part.tobytes())
+                if key not in memory:
+                    if len(memory) > 50_000:
+                        memory.clear()
+                    memory[key] = align(item, part)[0] / (MATCH * len(item))
+                top = max(top, memory[key])
         if top >= least:
             out.append((i, top))
     return out
@@ -189,7 +206,8 @@ def find_contaminated(
 ) -> DataFrame:
     """``(id_col, item_id, score)``: every document row that holds a test item.
 
-    ``score`` is the alignment score over that of the whole unchanged item. Items of fewer
+    ``score`` is the alignment score over that of the whole unchanged item, the best around
+    any n-gram that the two share; without a shared n-gram there is no row. Items of fewer
     than ``n`` words and null items match nothing; null and empty texts hold nothing.
     Repeated rows and items are reported each. No documents or no items give no rows.
     """

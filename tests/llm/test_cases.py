@@ -212,6 +212,43 @@ def test_edited_test_items_are_found(spark):
         assert {r.doc_id for r in decontam.decontaminate(docs, bench, size=size).collect()} == {4, 5}
 
 
+def test_edited_copies_alone_are_found(spark):
+    rnd = random.Random(11)
+    vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ab", "ere", "ion", "ust", "all")]
+    item = rnd.choices(vocab, k=40)
+    other = lambda k: " ".join(rnd.choices(vocab, k=k))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    copies = [[w if i % k else "changed" for i, w in enumerate(item)] for k in (5, 6, 7)]
+    for copy in [*copies, item[:22]]:
+        docs = spark.createDataFrame([(1, " ".join(copy)), (2, other(90))], "doc_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontam.find_contaminated(docs, bench).collect()] == [(1, 7)]
+        assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_items_against_plain_alignment(spark):
+    """Also where all n-grams of a copy are common ones and no seeds."""
+    rnd = random.Random(12)
+    vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ab", "ere", "ion", "ust", "all")]
+    items = [(i, rnd.choices(vocab, k=rnd.randint(12, 50))) for i in range(6)]
+    texts = []
+    for _, words in items:
+        texts += [words[: len(words) * 3 // 5]] * 3 + [words]
+        for k in (2, 3, 5, 7, 9):
+            copy = [w if rnd.randrange(k) else rnd.choice(vocab) for w in words]
+            texts.append(rnd.choices(vocab, k=30) + copy[: rnd.randint(6, 50)] + ["between"] * rnd.randint(0, 9) + copy[20:])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    number = {w: i + 1 for i, w in enumerate([*vocab, "between"])}
+    coded = lambda words: np.array([number[w] for w in words])
+    grams = lambda words: {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+    want = {
+        (d, i): decontam.align(coded(w), coded(t))[0] / (2 * len(w))
+        for d, t in enumerate(texts) for i, w in items if grams(w) & grams(t)
+    }
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find_contaminated(docs, bench).collect()}
+    assert got == {k: x for k, x in want.items() if x >= 0.5} and len(got) > 30
+
+
 def test_alignment_against_a_plain_table():
     rnd = random.Random(8)
     for _ in range(60):
