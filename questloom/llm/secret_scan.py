@@ -34,10 +34,14 @@ CLASSES = (
     ("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_=-])", 3.2),
     ("entropy_text", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 3.9),
 )
-#: Never secret: identifiers with a fixed layout, integrity sums with a name, sample keys, paths.
+#: Never secret, each with its whole layout after leading separators: identifiers, integrity
+#: sums with a name, sample keys (a name may be joined to them), paths and names made of words.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^sha(1|256|384|512)-|EXAMPLE|example|^[/_=-]|^[A-Za-z]+([_/=-]+[A-Za-z]+[0-9]{0,4})*$"
+    r"^[/_=-]*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    r"|^[/_=-]*sha(1-([A-Za-z0-9+/]{27}=?|[0-9a-f]{40})|256-([A-Za-z0-9+/]{43}=?|[0-9a-f]{64})"
+    r"|384-([A-Za-z0-9+/]{64}|[0-9a-f]{96})|512-([A-Za-z0-9+/]{86}(==)?|[0-9a-f]{128}))$"
+    r"|^([A-Za-z_-]+=+|[/_=-]+)?(A[KS]IA[A-Z0-9]{9}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY)$"
+    r"|^[/_=-]*[A-Za-z]+([_/=-]+[A-Za-z]+[0-9]{0,4})*$"
 )
 #: A candidate must mix letters and digits; words and numbers alone are not keys.
 MIXED = r"(?s)(?=.*[0-9])(?=.*[A-Za-z])"
@@ -120,11 +124,32 @@ def _random_enough(bits: float):
     return lambda x: top_entropy(x["hit"]) >= F.lit(bits)
 
 
+def _outside(x: Column, base: Column) -> Column:
+    """The parts of a candidate that no base match covers; ``base`` by start."""
+
+    def part(start: Column, end: Column) -> Column:
+        hit = F.substr(x["hit"], (start - x["start"] + 1).cast("int"), (end - start).cast("int"))
+        return F.array(F.struct(x["kind"].alias("kind"), start.alias("start"), end.alias("end"), hit.alias("hit")))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(b["start"] > acc["at"], F.concat(acc["out"], part(acc["at"], b["start"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    zero = F.struct(x["start"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.aggregate(
+        touching, zero, step,
+        lambda acc: F.when(acc["at"] < x["end"], F.concat(acc["out"], part(acc["at"], x["end"]))).otherwise(acc["out"]),
+    )
+
+
 def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(id_col, base, added, spans, n_*)`` per row: arrays of ``(kind, start, end, hit)``.
 
     ``base`` holds the pattern matches by start and kind as listed; ``added`` the strings
-    of high entropy that touch no base match; ``spans`` both, in the same order. Null and empty texts have none; texts of any
+    of high entropy, without what base matches cover; ``spans`` both, in the same order. Null and empty texts have none; texts of any
     length are read whole; repeated rows and null ids are rows like any other.
     """
     none = F.array().cast(f"array<{_SPAN}>")
@@ -135,16 +160,6 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         quick = F.col("_t").contains("AKIA") if kind == "access" else F.col("_t").rlike(pattern)
         all_found = F.when(quick, spans(F.col("_t"), kind, pattern)).otherwise(none)
         found = found.withColumn(f"_{kind}", F.filter(all_found, _long_enough(pattern, group, least)))
-    for kind, pattern, bits in CLASSES:
-        quick = F.col("_t").rlike(pattern)
-        candidates = F.filter(
-            F.when(quick, spans(F.col("_t"), kind, pattern)).otherwise(none),
-            lambda x: x["hit"].rlike(MIXED) & ~x["hit"].rlike(ALLOW),
-        )
-        found = found.withColumn(f"_c_{kind}", candidates).withColumn(
-            f"_{kind}",
-            F.filter(f"_c_{kind}", _random_enough(bits)),
-        )
     order = F.array(*[F.lit(k) for k, *_ in (*BASE, *CLASSES)])
 
     def by_start(*cols: str) -> Column:
@@ -155,14 +170,21 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         return F.transform(F.array_sort(keyed), lambda y: y["x"])
 
     found = found.withColumn("base", by_start("_assign", "_access", "_hex"))
+    for kind, pattern, bits in CLASSES:
+        quick = F.col("_t").rlike(pattern)
+        whole = F.when(quick, spans(F.col("_t"), kind, pattern)).otherwise(none)
+        candidates = F.filter(
+            F.flatten(F.transform(whole, lambda x: _outside(x, F.col("base")))),
+            lambda x: (F.length(x["hit"]) >= WINDOW) & x["hit"].rlike(MIXED) & ~x["hit"].rlike(ALLOW),
+        )
+        found = found.withColumn(f"_c_{kind}", candidates).withColumn(
+            f"_{kind}",
+            F.filter(f"_c_{kind}", _random_enough(bits)),
+        )
     extra = [f"_{k}" for k, *_ in CLASSES]
-    apart = F.filter(
-        by_start(*extra),
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
     # A string of hex digits is a candidate of both classes: keep it once.
     once = F.filter(
-        apart,
+        by_start(*extra),
         lambda x: (x["kind"] == CLASSES[0][0])
         | ~F.exists("_entropy_hex", lambda h: (h["start"] < x["end"]) & (x["start"] < h["end"])),
     )

@@ -367,6 +367,22 @@ def test_secret_places(spark):
     assert not got[5].added and not got[1].added
 
 
+def test_secrets_beside_separators_names_and_base_matches(spark):
+    key = "q7Zr2LxV9bT4mK8sWc3NpHd6"
+    found = {1: "/" + key, 2: "_" + key, 3: "-" + key, 4: "--flag==" + key, 5: "example_" + key, 6: "EXAMPLE=" + key}
+    found |= {7: f"{key}/password=abcdefgh1234"}
+    allowed = {
+        20: "/usr/local/share/python3/examples", 21: "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        22: "aws_secret=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 23: "=123e4567-e89b-12d3-a456-426614174000",
+        24: "sha256-" + "q7Zr2LxV9bT4mK8sWc3NpHd6q7Zr2LxV9bT4mK8sWc3" + "=",
+    }
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in (found | allowed).items()], "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end, x.hit) for x in r.added] for r in secret_scan.find_secrets(docs).collect()}
+    assert all(len(got[i]) == 1 and key in got[i][0][2] for i in found)
+    assert got[7] == [(4, 4 + len(key) + 1, key + "/")]
+    assert not any(got[i] for i in allowed if i != 22)
+
+
 def test_entropy_of_every_window(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choices("abcdefgh0123", k=k)) for k in (19, 20, 21, 60, 3000)]
