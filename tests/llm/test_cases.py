@@ -212,28 +212,6 @@ def test_edited_test_items_are_found(spark):
         assert {r.doc_id for r in decontam.decontaminate(docs, bench, size=size).collect()} == {4, 5}
 
 
-def test_thin_classes_have_bands(spark):
-    rnd = random.Random(21)
-    vocab = ["".join(rnd.choices("aeinrst", k=rnd.randint(2, 7))) for _ in range(400)]
-    junk = lambda k: " ".join("".join(rnd.choices("bcdfghjkmpqvwxz", k=6)) for _ in range(k))
-    prose = lambda k: " ".join(rnd.choices(vocab, k=k))
-    rows = [(i, prose(60), "en") for i in range(120)] + [(200, junk(1000), "en"), (201, prose(1000), "en")]
-    rows += [(300 + i, prose(60), "rare") for i in range(6)] + [(310, junk(15), "rare")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    kept = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
-    assert not kept[200] and kept[201]
-    assert not kept[310] and all(kept[300 + i] for i in range(6))
-    assert sum(kept[i] for i in range(120)) >= 118
-
-
-def test_bands_of_every_class(spark):
-    rows = [("a", 3, x / 100) for x in range(180, 221)] + [("a", 5, 2.0), ("b", 2, 3.0), (None, 2, 1.0)]
-    got = {(r.lang, r._class): (r.low, r.high) for r in quality.bands(spark.createDataFrame(rows, "lang string, _class int, log_ppl double"), 4.0, 0.02, 30).collect()}
-    assert set(got) == {("a", 3), ("a", 5), ("b", 2), (None, 2)}
-    assert all(low is not None and high is not None and low < high for low, high in got.values())
-    assert got["a", 5] == pytest.approx((1.48, 2.56), abs=0.1)
-
-
 def test_edited_copies_alone_are_found(spark):
     rnd = random.Random(11)
     vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ab", "ere", "ion", "ust", "all")]
