@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import decontam, langid, lines, mixing, neardup, pii, quality, repeats, secret_scan, tokens
+from questloom.llm import (
+    conversations, decontam, langid, lines, mixing, neardup, neighbours, pii, quality, repeats, secret_scan, spelling, tokens,
+)
 from questloom.llm.registry import query, table
 
 
@@ -91,3 +93,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_decontamination")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_summary(conversations.damage(table(spark, folder, "conversations")))
