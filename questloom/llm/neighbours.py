@@ -33,11 +33,11 @@ def _tail(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Codebooks:
-    """Centroids of both halves and the variance per dimension round them."""
+    """Centroids of both halves and, for each, the variance per dimension round it."""
 
     first: np.ndarray
     second: np.ndarray
-    spread: tuple[float, float]
+    spread: tuple[np.ndarray, np.ndarray]
 
     @property
     def cells(self) -> int:
@@ -52,10 +52,10 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T - 0.5 * (centroids * centroids).sum(1), 1)
 
 
-def _centroids(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, float]:
+def _centroids(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Lloyd's k-means from random distinct rows; a half without columns is one point."""
     if not x.shape[1]:
-        return np.zeros((1, 0)), 0.0
+        return np.zeros((1, 0)), np.zeros(1)
     rows = np.unique(x, axis=0)
     now = rows[np.random.default_rng(1).permutation(len(rows))[:k]]
     for _ in range(rounds):
@@ -64,8 +64,12 @@ def _centroids(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, float]:
         np.add.at(sums, at, x)
         many = np.bincount(at, minlength=len(now))
         now = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], now)
-    rest = x - now[_nearest(x, now)]
-    return now, float((rest * rest).mean()) if rest.size else 0.0
+    at = _nearest(x, now)
+    rest, many = ((x - now[at]) ** 2).mean(1), np.bincount(at, minlength=len(now))
+    # A centroid of few rows borrows from the mean of all centroids.
+    own = np.bincount(at, rest, len(now))
+    usual = (own / np.maximum(many, 1))[many > 1].mean() if (many > 1).any() else 0.0
+    return now, (own + 8 * usual) / (many + 8)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -99,7 +103,7 @@ def fit(rows: DataFrame, vector: str, id_col: str, k: int = 32, sample: int = 16
         out = []
         for half, y in enumerate((x[:, :cut], x[:, cut:])):
             found, spread = _centroids(y, k, rounds)
-            out += [(half, spread, c.tolist()) for c in found]
+            out += [(half, float(s), c.tolist()) for s, c in zip(spread, found, strict=True)]
         return pa.table(
             {"half": pa.array([h for h, *_ in out], pa.int32()), "spread": pa.array([s for _, s, _ in out]),
              "c": pa.array([c for *_, c in out], pa.list_(pa.float64()))}
@@ -108,7 +112,7 @@ def fit(rows: DataFrame, vector: str, id_col: str, k: int = 32, sample: int = 16
     taken = rows.filter(drawn).select(F.col(vector).alias("vec")).limit(sample).withColumn("one", F.lit(0))
     got = taken.groupBy("one").applyInArrow(train, "half int, spread double, c array<double>").collect()
     halves = [[r for r in got if r.half == h] for h in (0, 1)]
-    return Codebooks(*[np.array([r.c for r in h]).reshape(len(h), -1) for h in halves], tuple(h[0].spread for h in halves))
+    return Codebooks(*[np.array([r.c for r in h]).reshape(len(h), -1) for h in halves], tuple(np.array([r.spread for r in h]) for h in halves))
 
 
 def cell_counts(rows: DataFrame, vector: str, books: Codebooks) -> np.ndarray:
@@ -149,9 +153,10 @@ def cells_to_visit(q: np.ndarray, books: Codebooks, counts: np.ndarray, k: int,
     cut = books.first.shape[1]
     first, second = q[:, :cut] @ books.first.T, q[:, cut:] @ books.second.T
     sums = (first[:, :, None] + second[:, None, :]).reshape(len(q), -1)
-    wide = np.sqrt((q[:, :cut] ** 2).sum(1) * books.spread[0] + (q[:, cut:] ** 2).sum(1) * books.spread[1])
-    wide = np.maximum(wide, 1e-12)[:, None]
-    lo, hi = sums.min(1, keepdims=True) - 6 * wide, sums.max(1, keepdims=True) + 6 * wide
+    long = [(part**2).sum(1)[:, None] for part in (q[:, :cut], q[:, cut:])]
+    wide = np.sqrt((long[0] * books.spread[0])[:, :, None] + (long[1] * books.spread[1])[:, None, :]).reshape(len(q), -1)
+    wide = np.maximum(wide, 1e-12)
+    lo, hi = (sums - 6 * wide).min(1, keepdims=True), (sums + 6 * wide).max(1, keepdims=True)
     for _ in range(24):  # the score that about k entries are expected to reach
         mid = (lo + hi) / 2
         above = (counts * _tail((mid - sums) / wide)).sum(1, keepdims=True) >= k + 1
@@ -307,7 +312,7 @@ def _ask(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, cells: np.ndarray
 
 
 def nearest_neighbours(
-    rows: DataFrame, asks: Column, k: int = 20, miss: float = 0.04, vector: str = "embedding", id_col: str = "vec_id",
+    rows: DataFrame, asks: Column, k: int = 20, miss: float = 0.05, vector: str = "embedding", id_col: str = "vec_id",
     centroids: int = 32, sample: int = 16_384, shard_rows: int = 262_144, least_shards: int = 16,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row that ``asks``.

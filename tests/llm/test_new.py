@@ -110,7 +110,8 @@ def test_neighbours_of_clusters_visit_few_cells(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(64, 32))
     x = centres[rng.integers(0, 64, 6000)] + rng.normal(scale=0.05, size=(6000, 32))
-    books = A.Codebooks(A._centroids(x[:, :16], 32, 12)[0], A._centroids(x[:, 16:], 32, 12)[0], (0.0025, 0.0025))
+    (first, a), (second, b) = A._centroids(x[:, :16], 32, 12), A._centroids(x[:, 16:], 32, 12)
+    books = A.Codebooks(first, second, (a, b))
     counts = np.bincount(books.cell_of(x), minlength=books.cells)
     visits = A.cells_to_visit(x[:50], books, counts, 20, 0.04, 320)
     assert np.mean([counts[v].sum() for v in visits]) < 0.25 * len(x)
