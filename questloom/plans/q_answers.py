@@ -171,7 +171,7 @@ def eval_jaccard_pairs(t: Tables):
 
 
 def _matches(t: Tables):
-    return E.greedy_match(E.jaccard_pairs(E.value_sets(t.answer_cells)))
+    return E.match_columns(E.value_sets(t.answer_cells))
 
 
 @query("eval_greedy_match", f"WITH RECURSIVE {_MATCH} SELECT task_id, g, p, round(similarity, 6) AS similarity FROM m", ["eval_pairs"])

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import atexit
 import functools
+import itertools
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -49,3 +51,30 @@ def _local_folder() -> str:
     folder = tempfile.mkdtemp(prefix="questloom-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
+
+
+_numbers = itertools.count()
+
+
+@functools.cache
+def _own_folder(spark: SparkSession, app: str) -> str:
+    """A folder of this application in the shared one, removed when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/tables-{app}-{uuid.uuid4().hex[:8]}"
+
+    def remove() -> None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+    atexit.register(remove)
+    return folder
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, and a recovery point."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark, spark.sparkContext.applicationId)}/{next(_numbers):04d}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
