@@ -72,9 +72,14 @@ def _own_folder(spark: SparkSession, app: str) -> str:
     return folder
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_own_folder(spark, spark.sparkContext.applicationId)}/{next(_numbers):04d}-{name}"
+
+
+def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and a recovery point."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark, spark.sparkContext.applicationId)}/{next(_numbers):04d}-{name}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
