@@ -5,7 +5,7 @@ Every rule works inside the row that holds the text; only merging by entity shuf
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +31,25 @@ def squeeze(c: Column, n: int) -> Column:
     return F.substring(trimmed(F.regexp_replace(c, r"\s+", " ")), 1, n)
 
 
-def search(df: DataFrame, doc: str, text: str, query: str, first: int = 5) -> DataFrame:
-    """First paragraphs per document that contain the query, case ignored."""
+def search(
+    df: DataFrame, doc: str, text: str, query: str, first: int | None = None, excerpt_chars: int | None = None
+) -> DataFrame:
+    """Paragraphs that contain the query, case ignored: all and whole, unless limits are given.
+
+    ``truncated`` tells that a limit left out paragraphs of the document or a part of this one.
+    """
     parts = F.filter(
         F.transform(F.split(F.col(text), "\n\n"), lambda p: trimmed(p)), lambda p: p != ""
     )
     numbered = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
     hits = F.filter(numbered, lambda n: F.lower(n["p"]).contains(query.lower()))
-    return df.select(doc, F.explode(F.slice(hits, 1, first)).alias("h")).select(
-        doc, F.col("h.i").alias("paragraph_index"), F.substring("h.p", 1, 500).alias("excerpt")
+    found = df.select(doc, hits.alias("_h"))
+    shown, more = (F.col("_h"), F.lit(False)) if first is None else (F.slice("_h", 1, first), F.size("_h") > first)
+    excerpt, cut = F.col("h.p"), F.lit(False)
+    if excerpt_chars is not None:
+        excerpt, cut = F.substring("h.p", 1, excerpt_chars), F.char_length("h.p") > excerpt_chars
+    return found.select(doc, more.alias("_more"), F.explode(shown).alias("h")).select(
+        doc, F.col("h.i").alias("paragraph_index"), excerpt.alias("excerpt"), (F.col("_more") | cut).alias("truncated")
     )
 
 
@@ -63,7 +73,7 @@ def entity_id_any(p: Column, hint: str) -> Column:
 
 def best_sentence(p: Column, term: str) -> Column:
     """Last sentence that names the term, better with a number and without a doubt word."""
-    t = R.term(term)
+    t = R.searched(term)
 
     def choose(named: Column) -> Column:
         sure = F.filter(named, lambda s: ~any_contains(F.lower(s), R.INVALID_WORDS))
@@ -79,7 +89,7 @@ def best_sentence(p: Column, term: str) -> Column:
 
 def metric_number(s: Column, term: str) -> Column:
     """Number after a metric: corrected values first (last one), then plain wording."""
-    t = R.term(term)
+    t = R.searched(term)
     fixed = [_last(s, x) for x in R.corrected_number(t)]
     plain = [_hit(s, x) for x in R.simple_number(t)]
     return F.when(s.rlike("[0-9]"), _number(F.coalesce(*fixed, *plain)))
@@ -87,7 +97,7 @@ def metric_number(s: Column, term: str) -> Column:
 
 def metric_year(s: Column, term: str) -> Column:
     """Year within 180 characters of the metric."""
-    tail = F.substring(F.regexp_extract(s, rf"(?is){R.term(term)}.*", 0), 1, 180)
+    tail = F.substring(F.regexp_extract(s, rf"(?is){R.searched(term)}.*", 0), 1, 180)
     return F.regexp_extract(tail, R.YEAR, 0).try_cast("bigint")
 
 
@@ -96,7 +106,7 @@ def records(df: DataFrame, doc: str, text: str, terms: Sequence[str], hint: str)
     p = F.col("paragraph")
     found = []
     for term in (t.strip() for t in terms if t.strip()):
-        found.append(F.when(p.rlike(f"(?i){R.term(term)}"), _record(p, term)))
+        found.append(F.when(p.rlike(f"(?i){R.searched(term)}"), _record(p, term)))
     return (
         paragraphs(df, text, keep=[doc])
         .select(doc, "paragraph_index", entity_id(p, hint).alias("entity_id"), F.explode(F.array_compact(F.array(*found))).alias("r"))
@@ -114,9 +124,12 @@ def _record(p: Column, term: str) -> Column:
     return bound(best_sentence(p, term), build)
 
 
-def field_value(s: Column, field: str) -> Column:
-    """``struct(confidence, value)`` of a field in a sentence; NULL when there is none."""
-    terms = R.field_terms(field)
+def field_value(s: Column, names: Sequence[str]) -> Column:
+    """``struct(confidence, value)`` of a field in a sentence; NULL when there is none.
+
+    ``names`` are all names of the field; a longer one is tried before one it may contain.
+    """
+    terms = sorted(set(names), key=lambda n: (-len(n), n))
     low = F.lower(s)
     fixed = F.when(any_contains(low, R.CORRECTIONS), 8).otherwise(0)
     held = F.when(low.contains("placeholder") & low.contains("field"), 5).otherwise(0)
@@ -125,10 +138,10 @@ def field_value(s: Column, field: str) -> Column:
         if name in R.PLACEHOLDER_FIELDS:
             tries.append((_hit(s, R.placeholder_field(name)), F.lit(80) + held))
     for name in terms:
-        for pattern in R.corrected_field(R.field_term(name)):
+        for pattern in R.corrected_field(R.worded(name)):
             tries.append((_last(s, pattern), F.lit(90) + fixed))
     for name in terms:
-        for pattern in R.direct_field(R.field_term(name), name):
+        for pattern in R.direct_field(R.worded(name), name):
             tries.append((_hit(s, pattern), F.lit(60) + fixed))
     tries.append((_last(s, f"({R.NUMBER})"), F.lit(20) + fixed))
 
@@ -137,11 +150,11 @@ def field_value(s: Column, field: str) -> Column:
             v.isNotNull(), F.struct(conf.alias("confidence"), v.try_cast("double").alias("value"))
         )
 
-    named = "(?i)" + "|".join(R.field_term(n) for n in terms)
+    named = "(?i)" + "|".join(R.worded(n) for n in terms)
     return F.when(s.rlike(named), F.coalesce(*[packed(v, c) for v, c in tries]))
 
 
-def _best_field(p: Column, field: str) -> Column:
+def _best_field(p: Column, names: Sequence[str]) -> Column:
     """Best sentence of a paragraph for a field: highest confidence, earliest sentence."""
     sentences = F.filter(
         F.transform(F.split(p, R.SENTENCE_GAP), lambda x: trimmed(x)), lambda x: x != ""
@@ -149,7 +162,7 @@ def _best_field(p: Column, field: str) -> Column:
     scored = F.transform(
         sentences,
         lambda s, i: bound(
-            field_value(s, field),
+            field_value(s, names),
             lambda fv: F.when(
                 fv.isNotNull(),
                 F.struct(
@@ -162,11 +175,11 @@ def _best_field(p: Column, field: str) -> Column:
     return F.array_max(F.array_compact(scored))
 
 
-def field_values(df: DataFrame, doc: str, text: str, fields: Sequence[str], hint: str) -> DataFrame:
-    """Candidate values: one row per entity paragraph and field."""
+def field_values(df: DataFrame, doc: str, text: str, fields: Mapping[str, Sequence[str]], hint: str) -> DataFrame:
+    """Candidate values: one row per entity paragraph and field; ``fields`` gives all names of each."""
     p = F.col("paragraph")
     found = F.array(
-        *[F.struct(F.lit(field).alias("field"), _best_field(p, field).alias("b")) for field in fields]
+        *[F.struct(F.lit(field).alias("field"), _best_field(p, names).alias("b")) for field, names in fields.items()]
     )
     known = F.col("entity_id").isNotNull()
     return (

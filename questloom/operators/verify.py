@@ -27,27 +27,27 @@ MAX_WIDTH = 1000
 MANY_COLUMNS = 10
 
 
-def identical_columns(cells: DataFrame) -> DataFrame:
-    """Column pairs of a task with equal value sets.
+def equal_columns(cells: DataFrame) -> DataFrame:
+    """Classes of two or more columns of a task with equal value sets: ``(task_id, first, columns)``.
 
-    Size and an order-free hash select the few candidates; shared values prove them.
+    Size and two order-free hashes name a class; every member's values are then checked
+    against those of the class's first column, so work and result grow with the cells.
     """
     values = cells.select("task_id", "col_idx", F.coalesce("v", F.lit("")).alias("v")).distinct()
     marks = values.groupBy("task_id", "col_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("h")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("i")
     )
-    a = marks.select("task_id", "n", "h", F.col("col_idx").alias("a"))
-    b = marks.select("task_id", "n", "h", F.col("col_idx").alias("b"))
-    likely = a.join(b, ["task_id", "n", "h"]).filter(F.col("a") < F.col("b")).drop("h")
-    left = values.join(
-        likely.select("task_id", "n", F.col("a").alias("col_idx"), "b"), ["task_id", "col_idx"]
-    ).select("task_id", "n", F.col("col_idx").alias("a"), "b", "v")
-    right = values.select("task_id", F.col("col_idx").alias("b"), "v")
-    return (
-        left.join(right, ["task_id", "b", "v"]).groupBy("task_id", "a", "b", "n")
+    alike = Window.partitionBy("task_id", "n", "h", "i")
+    named = marks.select("task_id", "col_idx", "n", F.min("col_idx").over(alike).alias("first"), F.count(F.lit(1)).over(alike).alias("many"))
+    named = named.filter(F.col("many") > 1)
+    heads = named.select("task_id", "first").distinct()
+    firsts = values.withColumnRenamed("col_idx", "first").join(heads, ["task_id", "first"])
+    members = values.join(named, ["task_id", "col_idx"])
+    proved = (
+        members.join(firsts, ["task_id", "first", "v"]).groupBy("task_id", "first", "col_idx", "n")
         .agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") == F.col("n"))
-        .select("task_id", "a", "b")
     )
+    return proved.groupBy("task_id", "first").agg(F.count(F.lit(1)).alias("columns")).filter(F.col("columns") > 1)
 
 
 def precheck(headers: DataFrame, cells: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def precheck(headers: DataFrame, cells: DataFrame) -> DataFrame:
         F.count_if(too_precise(F.col("v")) & to_number(F.col("v")).isNotNull()).alias("long_decimals"),
         F.count_if(trimmed(F.coalesce("v", F.lit(""))).rlike(NON_ISO_DATE)).alias("non_iso_dates"),
     )
-    same = identical_columns(cells).groupBy("task_id").agg(F.count(F.lit(1)).alias("same"))
+    pairs = F.col("columns") * (F.col("columns") - 1) / 2
+    same = equal_columns(cells).groupBy("task_id").agg(F.sum(pairs).cast("bigint").alias("same"))
     out = cols.join(seen, "task_id", "full").join(same, "task_id", "left")
     zero = F.lit(0)
     return out.select(

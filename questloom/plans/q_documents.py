@@ -73,7 +73,7 @@ def _entity_any(c: str, hint: str) -> str:
 
 
 def _best(c: str, term: str) -> str:
-    x = R.term(term)
+    x = R.searched(term)
     named = f"list_filter({_sent(c)}, lambda s: regexp_matches(s, '(?i){x}'))"
     sure = f"list_filter({named}, lambda s: NOT {D.any_contains('lower(s)', R.INVALID_WORDS)})"
     pool = f"CASE WHEN len({sure}) > 0 THEN {sure} ELSE {named} END"
@@ -82,17 +82,16 @@ def _best(c: str, term: str) -> str:
 
 
 def _metric(s: str, term: str) -> str:
-    x = R.term(term)
+    x = R.searched(term)
     parts = [_last(s, p) for p in R.corrected_number(x)] + [_ex(s, p) for p in R.simple_number(x)]
     return _num(f"coalesce({', '.join(parts)})")
 
 
 def _year(s: str, term: str) -> str:
-    return f"TRY_CAST(regexp_extract(substr(regexp_extract({s}, '(?is){R.term(term)}.*'), 1, 180), '{R.YEAR}') AS BIGINT)"
+    return f"TRY_CAST(regexp_extract(substr(regexp_extract({s}, '(?is){R.searched(term)}.*'), 1, 180), '{R.YEAR}') AS BIGINT)"
 
 
-@query("doc_search", f"""WITH {_par('prose')} SELECT doc_id, paragraph_index, substr(p, 1, 500) AS excerpt FROM par WHERE contains(lower(p), 'the ')
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 5""", ["prose"])
+@query("doc_search", f"""WITH {_par('prose')} SELECT doc_id, paragraph_index, p AS excerpt, FALSE AS truncated FROM par WHERE contains(lower(p), 'the ')""", ["prose"])
 def doc_search(t: Tables):
     return O.search(t.prose, "doc_id", "text", "The ")
 
@@ -130,7 +129,7 @@ def doc_metric_year(t: Tables):
 
 
 _REC = " UNION ALL ".join(
-    f"SELECT doc_id, paragraph_index, p, '{x}' AS matched_term, {_best('p', x)} AS s FROM par WHERE regexp_matches(p, '(?i){R.term(x)}')" for x in _TWO
+    f"SELECT doc_id, paragraph_index, p, '{x}' AS matched_term, {_best('p', x)} AS s FROM par WHERE regexp_matches(p, '(?i){R.searched(x)}')" for x in _TWO
 )
 
 
@@ -141,18 +140,18 @@ def doc_records(t: Tables):
     return O.records(t.both_docs, "doc_id", "text", _TWO, "client")
 
 
-_FIELDS = ("height", "weight", "publisher affiliation", "balance")
+_FIELDS = {f: (f, *R.FIELD_ALIASES.get(f, ())) for f in ("height", "weight", "publisher affiliation", "balance")}
 
 
 def _field(s: str, field: str) -> str:
-    terms = R.field_terms(field)
+    terms = sorted(set(_FIELDS[field]), key=lambda n: (-len(n), n))
     fixed = f"CASE WHEN {D.any_contains(f'lower({s})', R.CORRECTIONS)} THEN 8 ELSE 0 END"
     held = f"CASE WHEN contains(lower({s}), 'placeholder') AND contains(lower({s}), 'field') THEN 5 ELSE 0 END"
     tries = [(_ex(s, R.placeholder_field(n)), f"80 + {held}") for n in terms if n in R.PLACEHOLDER_FIELDS]
-    tries += [(_last(s, p), f"90 + {fixed}") for n in terms for p in R.corrected_field(R.field_term(n))]
-    tries += [(_ex(s, p), f"60 + {fixed}") for n in terms for p in R.direct_field(R.field_term(n), n)]
+    tries += [(_last(s, p), f"90 + {fixed}") for n in terms for p in R.corrected_field(R.worded(n))]
+    tries += [(_ex(s, p), f"60 + {fixed}") for n in terms for p in R.direct_field(R.worded(n), n)]
     tries.append((_last(s, f"({R.NUMBER})"), f"20 + {fixed}"))
-    named = "|".join(R.field_term(n) for n in terms)
+    named = "|".join(R.worded(n) for n in terms)
     whens = " ".join(f"WHEN {v} IS NOT NULL THEN {{'c': {c}, 'v': TRY_CAST({v} AS DOUBLE)}}" for v, c in tries)
     return f"CASE WHEN NOT regexp_matches({s}, '(?i){named}') THEN NULL {whens} END"
 

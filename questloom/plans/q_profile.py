@@ -40,12 +40,15 @@ def profile_columns(t: Tables):
     return P.profile_columns(t.messy_cells)
 
 
-@query("profile_columns_fact", " UNION ALL ".join(
-    _col(n, f"CAST({n} AS VARCHAR)", x, i, "(SELECT l_orderkey, l_quantity, l_discount, l_returnflag FROM lineitem)")
-    for i, (n, x) in enumerate([("l_orderkey", "CAST(l_orderkey AS DOUBLE)"), ("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_returnflag", D.num("l_returnflag"))])
-))
+_FACT = {
+    **{n: f"CAST({n} AS DOUBLE)" for n in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+    **{n: D.num(f"CAST({n} AS VARCHAR)") for n in ("l_returnflag", "l_linestatus", "l_shipdate")},
+}
+
+
+@query("profile_columns_fact", " UNION ALL ".join(_col(n, f"CAST({n} AS VARCHAR)", x, i, "lineitem") for i, (n, x) in enumerate(_FACT.items())))
 def profile_columns_fact(t: Tables):
-    return P.profile_columns(t.lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_returnflag"))
+    return P.profile_columns(t.lineitem)
 
 
 _ALL = (
@@ -64,11 +67,14 @@ def profile_row_counts(t: Tables):
     return P.row_counts(_tables(t))
 
 
-@query("profile_samples", """WITH h AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5))
-SELECT CAST(row_no AS INT) AS row_no, c."column", CASE c."column" WHEN 'o_orderkey' THEN CAST(o_orderkey AS VARCHAR) WHEN 'o_custkey' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS value
-FROM h, (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderpriority']) AS "column") c""")
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("profile_samples", f"""WITH h AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5))
+SELECT CAST(row_no AS INT) AS row_no, c."column", CASE c."column" {" ".join(f"WHEN '{x}' THEN CAST({x} AS VARCHAR)" for x in _ORDER_COLUMNS)} END AS value
+FROM h, (SELECT unnest({list(_ORDER_COLUMNS)}) AS "column") c""")
 def profile_samples(t: Tables):
-    return P.sample_values(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), ["o_orderkey"])
+    return P.sample_values(t.orders, ["o_orderkey"])
 
 
 @query("json_key_paths", """WITH n AS (SELECT t.fullkey, t.type, t.value FROM mixed_json, json_tree(v) t WHERE NOT regexp_matches(t.fullkey, '\\[[1-9]\\d*\\]')),
@@ -208,27 +214,46 @@ def fact_column_choice(t: Tables):
     return P.fact_columns(t.task_columns, t.customer_questions.select("task_id", "question"), ["task_id"])
 
 
-_VALUES = (("customer", 0, "c_mktsegment", 4), ("nation", 1, "n_name", 1), ("part", 2, "p_type", 3), ("orders", 3, "o_orderstatus", 2))
+#: Every text column of the catalogue: table, its order, column, its place.
+_VALUES = tuple(
+    (table, order, column, place)
+    for order, (table, columns) in enumerate((
+        ("region", {"r_name": 1}), ("nation", {"n_name": 1}), ("customer", {"c_name": 1, "c_mktsegment": 4}), ("supplier", {"s_name": 1}),
+        ("part", {"p_name": 1, "p_brand": 2, "p_type": 3}), ("orders", {"o_orderstatus": 2, "o_orderpriority": 5}),
+        ("lineitem", {"l_returnflag": 8, "l_linestatus": 9}), ("events", {"event_type": 3, "props": 5}),
+        ("documents", {"text": 1, "lang": 2, "source": 3}), ("pages", {"url": 1, "html": 2}), ("benchmark", {"text": 1}),
+        ("conversations", {"role": 2, "text": 3}),
+    ))
+    for column, place in columns.items()
+)
 
 
 @query("filter_value_discovery", "WITH v AS (" + " UNION ALL ".join(
     f"SELECT DISTINCT '{a}' AS table_name, {b} AS table_order, '{c}' AS column_name, {d} AS ordinal, trim({c}) AS value FROM {a}" for a, b, c, d in _VALUES) + f"""),
+long AS (SELECT max(length(question)) AS m FROM customer_questions),
+v0 AS (SELECT *, {_NW.format('value')} AS nv FROM v WHERE length(value) <= 4 * (SELECT m FROM long)),
+qs AS (SELECT DISTINCT question FROM customer_questions),
+m AS (SELECT question, nv FROM qs JOIN (SELECT DISTINCT nv FROM v0 WHERE nv <> '') ON contains(' ' || {_NW.format('question')} || ' ', ' ' || nv || ' ')),
 h AS (SELECT q.task_id, v.*, 10 + CASE WHEN table_name <> 'orders' THEN 2 ELSE 0 END + CASE WHEN regexp_replace(column_name, '^.*_', '') IN ('segment', 'category', 'type', 'status') THEN 3 ELSE 0 END AS score
-FROM customer_questions q JOIN v ON {_NW.format('v.value')} <> '' AND contains(' ' || {_NW.format('q.question')} || ' ', ' ' || {_NW.format('v.value')} || ' ') WHERE length(v.value) >= 1)
+FROM customer_questions q JOIN m ON m.question = q.question JOIN v0 v ON v.nv = m.nv)
 SELECT task_id, table_name, column_name, value, CAST(score AS INT) AS score FROM h QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY score DESC, table_order, ordinal, value) = 1""", ["customer_questions"])
 def filter_value_discovery(t: Tables):
     d = P.value_dictionary([(a, b, c, o, getattr(t, a)) for a, b, c, o in _VALUES])
     return P.filter_values(d, t.customer_questions, "task_id", "orders")
 
 
-_TERMS = ("Price", "total amount", "year month", "white blood cells")
+# Terms and their forms.
+_TERMS = {
+    "Price": ["price"], "total amount": ["total amount", "totalamount", "ta"], "year month": ["year month", "yearmonth", "ym"],
+    "white blood cells": ["white blood cells", "whitebloodcells", "whitebloodcell", "wbc"],
+}
 
 
 @query("term_column_match", f"""WITH v AS (SELECT *, list_distinct([regexp_replace(lower(column_name), '[^a-z0-9]+', '', 'g'), lower(column_name),
 CASE WHEN len(regexp_extract_all(column_name, '[A-Za-z]+')) > 1 THEN lower(array_to_string(list_transform(regexp_extract_all(column_name, '[A-Za-z]+'), lambda p: p[1]), '')) ELSE '' END]) AS vs FROM task_columns),
-m AS (SELECT *, list_filter([{', '.join(f"CASE WHEN list_has_any(vs, {P.spellings(x)}) THEN '{x}' END" for x in _TERMS)}], lambda x: x IS NOT NULL) AS ts FROM v)
+m AS (SELECT *, list_filter([{', '.join(f"CASE WHEN list_has_any(vs, {forms}) THEN '{x}' END" for x, forms in _TERMS.items())}], lambda x: x IS NOT NULL) AS ts FROM v)
 SELECT task_id, table_name, column_name, array_to_string(ts, '|') AS matched_terms FROM m WHERE len(ts) > 0""", ["task_columns"])
 def term_column_match(t: Tables):
-    return P.match_terms(t.task_columns, _TERMS).select(
+    return P.match_terms(t.task_columns, list(_TERMS)).select(
         "task_id", "table_name", "column_name", F.array_join("matched_terms", "|").alias("matched_terms")
     )

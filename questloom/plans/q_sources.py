@@ -151,14 +151,14 @@ def paged_read_bounded(t: Tables):
 
 @query("page_search", f"""WITH {_PAGES}, h AS (SELECT doc_id, page_no, text, instr(lower(text), 'the') - 1 AS a FROM p WHERE contains(lower(text), 'the')),
 e AS (SELECT doc_id, page_no, {D.trimmed('substr(text, greatest(a - 180, 0) + 1, least(a + 323, length(text)) - greatest(a - 180, 0))')} AS excerpt FROM h)
-SELECT doc_id, CAST(page_no AS INT) AS page_no, excerpt FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 10""")
+SELECT doc_id, CAST(page_no AS INT) AS page_no, excerpt FROM e""")
 def page_search(t: Tables):
     return P.search(doc_pages(t), "doc_id", " The".strip())
 
 
-@query("page_tables", """WITH t AS (SELECT page_id, unnest(l) AS body, generate_subscripts(l, 1) AS table_index FROM (SELECT page_id, (regexp_extract_all(html, '(?is)<ul(?:\\s[^>]*)?>(.*?)</ul>', 1))[1:10] AS l FROM pages)),
+@query("page_tables", """WITH t AS (SELECT page_id, unnest(l) AS body, generate_subscripts(l, 1) AS table_index FROM (SELECT page_id, (regexp_extract_all(html, '(?is)<ul(?:\\s[^>]*)?>(.*?)</ul>', 1)) AS l FROM pages)),
 r AS (SELECT page_id, table_index, regexp_extract_all(body, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1) AS rows FROM t),
-x AS (SELECT page_id, table_index, len(rows) AS row_count, len(rows) > 50 AS truncated, generate_subscripts(rows[1:50], 1) - 1 AS row_index, unnest(rows[1:50]) AS row FROM r)
+x AS (SELECT page_id, table_index, len(rows) AS row_count, FALSE AS truncated, generate_subscripts(rows, 1) - 1 AS row_index, unnest(rows) AS row FROM r)
 SELECT page_id, CAST(table_index AS INT) AS table_index, CAST(row_count AS INT) AS row_count, truncated, CAST(row_index AS INT) AS row_index,
 array_to_string(list_transform(regexp_extract_all(row, '(?is)<a(?:\\s[^>]*)?>(.*?)</a>', 1), lambda c: trim(regexp_replace(c, '<[^>]*>', '', 'g'))), '|') AS cells FROM x""")
 def page_tables(t: Tables):

@@ -83,18 +83,16 @@ def band_flags(t: Tables):
 
 
 _TERMS = ("balance", "white blood cell")
+# Their forms.
+_FORMS = ("balance", "white blood cell", "whitebloodcell", "wbc")
 
 
 def _snippets() -> str:
-    from questloom.operators.profile import spellings
-
-    vs = sorted({v for x in _TERMS for v in spellings(x)})
     flat = "regexp_replace(lower(p.p), '[^a-z0-9]+', '', 'g')"
     return f"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {D.trimmed('x')}), lambda x: x <> '') AS ps FROM notes),
 p AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS i, unnest(ps) AS p FROM d)
-SELECT doc_id, CAST(i AS INT) AS paragraph_index, array_to_string((regexp_extract_all(p.p, '{R.SIGNED}'))[1:8], '|') AS numbers, substr(p.p, 1, 700) AS excerpt FROM p
-WHERE {D.any_contains(flat, vs)} AND regexp_matches(p.p, '{R.THRESHOLD_WORD}') AND regexp_matches(p.p, '{R.SIGNED}')
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 10"""
+SELECT doc_id, CAST(i AS INT) AS paragraph_index, array_to_string(regexp_extract_all(p.p, '{R.SIGNED}'), '|') AS numbers, p.p AS excerpt, FALSE AS truncated FROM p
+WHERE {D.any_contains(flat, _FORMS)} AND regexp_matches(p.p, '{R.THRESHOLD_WORD}') AND regexp_matches(p.p, '{R.SIGNED}')"""
 
 
 fx.define("notes", "SELECT doc_id, text FROM ward_notes UNION ALL SELECT 1000000000 + doc_id, text FROM narratives UNION ALL SELECT -1 - doc_id, text FROM documents", ("ward_notes", "narratives", "documents"))

@@ -12,9 +12,6 @@ from questloom.functions.values import trimmed
 PAGE_CHARS = 2000
 TOTAL_CHARS = 8000
 MAX_PAGES = 5
-MAX_MATCHES = 10
-MAX_TABLES = 10
-MAX_ROWS = 50
 BEFORE, AFTER = 180, 320
 
 
@@ -25,7 +22,7 @@ def split_pages(df: DataFrame, doc: str, text: str, mark: str) -> DataFrame:
 
 
 def read_bounded(
-    pages: DataFrame, doc: str, max_pages: int = MAX_PAGES, total: int = TOTAL_CHARS
+    pages: DataFrame, doc: str, max_pages: int = MAX_PAGES, total: int = TOTAL_CHARS, page_chars: int = PAGE_CHARS
 ) -> DataFrame:
     """First pages of each document within a character budget.
 
@@ -33,7 +30,7 @@ def read_bounded(
     """
     counts = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("page_count"))
     w = Window.partitionBy(doc).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.least(F.length("text"), F.lit(PAGE_CHARS))
+    size = F.least(F.length("text"), F.lit(page_chars))
     head = (
         pages.filter(F.col("page_no") <= max_pages)
         .withColumn("_left", F.lit(total) - F.coalesce(F.sum(size).over(w), F.lit(0)))
@@ -46,8 +43,8 @@ def read_bounded(
     )
 
 
-def search(pages: DataFrame, doc: str, query: str, max_matches: int = MAX_MATCHES) -> DataFrame:
-    """First hit on each page with its surroundings; first pages per document."""
+def search(pages: DataFrame, doc: str, query: str, max_matches: int | None = None) -> DataFrame:
+    """First hit on each page with its surroundings; all pages, or the first ``max_matches``."""
     q = query.lower().strip()
     at = F.instr(F.lower("text"), q) - 1
     start = F.greatest(at - BEFORE, F.lit(0))
@@ -55,18 +52,22 @@ def search(pages: DataFrame, doc: str, query: str, max_matches: int = MAX_MATCHE
     hits = pages.filter(F.lower("text").contains(q)).select(
         doc, "page_no", trimmed(F.substring(F.col("text"), start + 1, end - start)).alias("excerpt")
     )
-    return first_per_group(hits, [doc], [F.col("page_no")], max_matches).drop("rn")
+    return hits if max_matches is None else first_per_group(hits, [doc], [F.col("page_no")], max_matches).drop("rn")
 
 
 def html_tables(
     df: DataFrame, doc: str, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]",
-    max_tables: int = MAX_TABLES, max_rows: int = MAX_ROWS,
+    max_tables: int | None = None, max_rows: int | None = None,
 ) -> DataFrame:
-    """Rows of the tables inside each page; all work stays within the page's own row."""
+    """Rows of the tables inside each page; all work stays within the page's own row.
+
+    All tables and rows, unless limits are given; ``truncated`` then marks cut tables.
+    """
     def tag(name: str) -> str:
         return rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>"
 
-    tables = F.slice(F.regexp_extract_all(F.col(html), F.lit(tag(table)), F.lit(1)), 1, max_tables)
+    tables = F.regexp_extract_all(F.col(html), F.lit(tag(table)), F.lit(1))
+    tables = tables if max_tables is None else F.slice(tables, 1, max_tables)
     one = df.select(doc, F.posexplode(tables).alias("_t", "_body")).withColumn(
         "_rows", F.regexp_extract_all("_body", F.lit(tag(row)), F.lit(1))
     )
@@ -74,10 +75,10 @@ def html_tables(
         F.regexp_extract_all("_row", F.lit(tag(cell)), F.lit(1)),
         lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")),
     )
+    shown, cut = (F.col("_rows"), F.lit(False)) if max_rows is None else (F.slice("_rows", 1, max_rows), F.size("_rows") > max_rows)
     return one.select(
         doc, (F.col("_t") + 1).alias("table_index"), F.size("_rows").alias("row_count"),
-        (F.size("_rows") > max_rows).alias("truncated"),
-        F.posexplode(F.slice("_rows", 1, max_rows)).alias("row_index", "_row"),
+        cut.alias("truncated"), F.posexplode(shown).alias("row_index", "_row"),
     ).select(
         doc, "table_index", "row_count", "truncated", "row_index",
         F.array_join(cells, "|").alias("cells"),

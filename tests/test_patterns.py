@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from questloom.operators import documents as O
 from questloom.operators import patterns as A
 from questloom.operators import thresholds as T
+from questloom.rules import documents as D
 
 
 def test_linked_total_uses_the_entity_type(spark):
@@ -64,7 +65,7 @@ def test_evidence_prefers_the_corrected_value(spark):
         "The hero registered under identifier 7 has publisher affiliation 13."
     )
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    v = O.field_values(df, "doc_id", "text", ["height", "publisher affiliation"], "operative")
+    v = O.field_values(df, "doc_id", "text", {f: (f, *D.FIELD_ALIASES[f]) for f in ("height", "publisher affiliation")}, "operative")
     row = O.evidence_table(v, "doc_id", ["height", "publisher affiliation"]).first()
     assert (row.entity_id, row.height, row["publisher affiliation"]) == ("7", 181.0, 13.0)
     assert row.height_evidence.confidence == 98

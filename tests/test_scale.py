@@ -9,6 +9,7 @@ from questloom.functions import groups as G
 from questloom.operators import traces as R
 from questloom.operators import verify as V
 from questloom.plans.catalogue import QUERIES
+from questloom.sources import tables as TB
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,8 +64,26 @@ def test_quantiles_are_exact(spark, kind):
 
 def test_identical_columns_need_equal_sets(spark):
     data = [(1, r, c, v) for r in range(4) for c, v in ((0, f"a{r}"), (1, f"a{3 - r}"), (2, f"a{min(r, 2)}"))]
+    data += [(2, 0, c, "same") for c in range(2000)]
     df = spark.createDataFrame(data, "task_id int, row_idx int, col_idx int, v string")
-    assert [(r.a, r.b) for r in V.identical_columns(df).collect()] == [(0, 1)]
+    assert sorted((r.task_id, r["first"], r["columns"]) for r in V.equal_columns(df).collect()) == [(1, 0, 2), (2, 0, 2000)]
+
+
+def test_view_names_of_many_files(spark):
+    plain = spark.range(100_000).select(F.format_string("data/part_%05d.csv", "id").alias("path"))
+    assert TB.unique_names(plain, "path").select("view_name").distinct().count() == 100_000
+    same = spark.range(20_000).select(F.format_string("x/a%s.csv", F.repeat(F.lit("-"), F.col("id").cast("int") % 200 + 1)).alias("path"), "id")
+    same = same.select(F.concat("path", F.lit("?"), F.col("id").cast("string")).alias("path"))
+    names = TB.unique_names(same, "path")
+    assert names.select("view_name").distinct().count() == 20_000
+
+
+def test_view_names_take_the_first_free_number(spark):
+    paths = ["a.csv", "a.json", "a.md", "a_2.csv", "a_2.json", "b.csv"]
+    got = TB.unique_names(spark.createDataFrame([(p,) for p in paths], "path string"), "path")
+    assert {r.path: r.view_name for r in got.collect()} == {
+        "a.csv": "a", "a.json": "a_2", "a.md": "a_3", "a_2.csv": "a_2_2", "a_2.json": "a_2_3", "b.csv": "b",
+    }
 
 
 def test_plans_hold_no_cross_join_and_no_python(spark):
