@@ -6,8 +6,10 @@ at most its size plus the reach of the rules, and a task with very many steps is
 over many keys. Nothing is dropped by time: a step waits until its predecessors come or
 until ``close`` is called.
 
-Folders: ``flags`` (results), ``open`` (rows of unfinished slices) and ``done`` (names of
-finished slices), one subfolder per micro-batch. A retried micro-batch writes its own again.
+Folders: ``flags`` (results), ``open`` (rows of unfinished slices) and ``done`` (finished
+slices, as intervals that are merged with their neighbours), one subfolder per micro-batch.
+A micro-batch reads what the last one left and nothing older, so its cost follows the tasks
+and not the history; older subfolders are removed. A retried micro-batch writes its own again.
 """
 
 from __future__ import annotations
@@ -23,26 +25,45 @@ COLUMNS = ("task_id", "step_index", "action", "action_key", "ok", "rows_returned
 CLOSED = 2**62
 
 
-def _earlier(spark: SparkSession, folder: str, kind: str, epoch: int, schema, last_only: bool) -> DataFrame:
-    """What earlier micro-batches wrote: the newest of them, or all."""
-    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{kind}")
-    before = rows.filter(F.col("epoch") < epoch)
-    if not last_only:
-        return before.drop("epoch")
-    newest = before.agg(F.max("epoch").alias("e"))
-    return before.filter(F.col("epoch") == newest.scalar()).drop("epoch")
+def _left_by(spark: SparkSession, folder: str, kind: str, epoch: int, schema) -> DataFrame:
+    """What micro-batch ``epoch`` wrote."""
+    return spark.read.schema(schema).parquet(f"{folder}/{kind}/epoch={epoch}")
+
+
+def _files(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _forget(spark: SparkSession, folder: str, epoch: int) -> None:
+    """Remove the state of a micro-batch that no retry can ask for any more."""
+    for kind in ("open", "done", "step"):
+        path, files = _files(spark, f"{folder}/{kind}/epoch={epoch}")
+        files.delete(path, True)
+
+
+def _last_epoch(spark: SparkSession, folder: str) -> int:
+    path, files = _files(spark, f"{folder}/done")
+    return max(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(path) if "=" in f.getPath().getName())
+
+
+def merged(intervals: DataFrame) -> DataFrame:
+    """``(task_id, lo, hi)`` with overlapping and adjacent intervals of a task joined."""
+    by_lo = Window.partitionBy("task_id").orderBy("lo", "hi")
+    before = F.max("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, -1))
+    starts = intervals.withColumn("_new", F.coalesce(F.col("lo") > before + 1, F.lit(True)).cast("int"))
+    grouped = starts.withColumn("_g", F.sum("_new").over(by_lo.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("task_id", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
 
 
 def advance(batch: DataFrame, folder: str, epoch: int, size: int, close: bool = False) -> None:
     """Take in one micro-batch. Steps that were judged already are ignored."""
     spark = batch.sparkSession
+    last = _last_epoch(spark, folder) if close else epoch - 1
     new = step_slices(batch.select(*COLUMNS), "step_index", REACH, size).withColumn("_told", F.lit(False))
-    kept = new.schema.add("epoch", "long")
-    named = new.select("task_id", "_part").schema.add("epoch", "long")
-    done = _earlier(spark, folder, "done", epoch, named, last_only=False)
-    rows = new.join(done, ["task_id", "_part"], "left_anti").unionByName(
-        _earlier(spark, folder, "open", epoch, kept, last_only=True)
-    )
+    done = _left_by(spark, folder, "done", last, _intervals(new).schema)
+    over = (new["task_id"] == done["task_id"]) & new["_part"].between(done["lo"], done["hi"])
+    rows = new.join(done, over, "left_anti").unionByName(_left_by(spark, folder, "open", last, new.schema))
     # A step that came twice counts once; one that was told before stays told.
     step = Window.partitionBy("task_id", "_part", "step_index").orderBy(F.desc("_told"))
     rows = rows.withColumn("_i", F.row_number().over(step)).filter("_i = 1").drop("_i")
@@ -62,7 +83,15 @@ def advance(batch: DataFrame, folder: str, epoch: int, size: int, close: bool =
     seen.filter("NOT _full").withColumn("_told", F.col("_told") | (F.col("_own") & F.col("_ready"))).select(
         *rows.columns
     ).write.mode("overwrite").parquet(at.format("open"))
-    seen.filter("_full").select("task_id", "_part").distinct().write.mode("overwrite").parquet(at.format("done"))
+    ended = _intervals(seen.filter("_full"))
+    merged(done.unionByName(ended)).write.mode("overwrite").parquet(at.format("done"))
+    if not close:
+        _forget(spark, folder, epoch - 2)
+
+
+def _intervals(slices: DataFrame) -> DataFrame:
+    part = F.col("_part").cast("long")
+    return slices.select("task_id", part.alias("lo"), part.alias("hi")).distinct()
 
 
 def monitor(steps: DataFrame, folder: str, checkpoint: str, size: int = 512):
@@ -72,7 +101,7 @@ def monitor(steps: DataFrame, folder: str, checkpoint: str, size: int = 512):
     empty = step_slices(spark.createDataFrame([], steps.select(*COLUMNS).schema), "step_index", REACH, size)
     empty = empty.withColumn("_told", F.lit(False))
     empty.write.mode("overwrite").parquet(f"{folder}/open/epoch=-1")
-    empty.select("task_id", "_part").write.mode("overwrite").parquet(f"{folder}/done/epoch=-1")
+    _intervals(empty).write.mode("overwrite").parquet(f"{folder}/done/epoch=-1")
     return (
         steps.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda batch, epoch: advance(batch, folder, epoch, size)).start()
