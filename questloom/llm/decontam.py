@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from questloom.llm.common import small_batches, texts_of, unclashed, written
 
@@ -184,7 +185,9 @@ def document_counts(docs: DataFrame, block: Block, text: str) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["g", "n"])
 
     parts = docs.select(F.col(text).alias("_text")).mapInArrow(run, "g bigint, n bigint")
-    return {r["g"]: r["n"] for r in parts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["g"]: r["n"] for r in parts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    sent.destroy()
+    return counts
 
 
 def prepared(docs: DataFrame, bench: DataFrame, n: int, size: int, text: str, item: str, bench_text: str) -> Iterator[Block]:
@@ -213,14 +216,15 @@ def find_contaminated(
     """
     docs = unclashed(docs, id_col, text)
     kinds = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item} {bench.schema[item].dataType.simpleString()}, score double"
+    kind = to_arrow_type(bench.schema[item].dataType)
     out = None
     for block in prepared(docs, bench, n, size, text, item, bench_text):
-        part = docs.select(id_col, F.col(text).alias("_text")).mapInArrow(_finder(docs, block, least, id_col, item), kinds)
+        part = docs.select(id_col, F.col(text).alias("_text")).mapInArrow(_finder(docs, block, least, id_col, item, kind), kinds)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], kinds) if out is None else out
 
 
-def _finder(docs: DataFrame, block: Block, least: float, id_col: str, item: str):
+def _finder(docs: DataFrame, block: Block, least: float, id_col: str, item: str, kind: pa.DataType):
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +237,7 @@ def _finder(docs: DataFrame, block: Block, least: float, id_col: str, item: str)
                     items.append(b.ids[i])
                     scores.append(score)
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(items), pa.array(scores, pa.float64())] if items else [ids, pa.nulls(0, pa.int64()), pa.array([], pa.float64())], names=[id_col, item, "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(items, kind), pa.array(scores, pa.float64())], names=[id_col, item, "score"])
 
     return run
 

@@ -8,11 +8,11 @@ on a held-back part of that sample calibrates the scores.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from questloom.llm.common import row_key, small_batches, texts_of, unclashed
 BITS = 16
 DIM = 1 << BITS
 SCALE = 10.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: What the weights of all languages may take when sent to the executors: 2,048 languages.
 MODEL_BYTES = 512 << 20

@@ -7,7 +7,8 @@ broadcast is checked against the bound. N-grams are held as sorted arrays of has
 packed symbols, which no two n-grams share) and found by binary search.
 
 A document is rejected if its log perplexity lies outside the band of its language. Bands
-come from exact order statistics of all documents of the language and length class.
+come from exact order statistics of all documents of the language and length class, or of
+the nearest class where it is thin.
 """
 
 from __future__ import annotations
@@ -269,24 +270,29 @@ def text_rules(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def measure(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MODEL_BYTES) -> DataFrame:
+def measure(
+    docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MODEL_BYTES, sent: list | None = None
+) -> DataFrame:
     """``docs`` with the rule figures and ``log_ppl`` (null without text or model).
 
     Models are sent to the executors for as many languages at a time as ``most`` bytes
     hold; each document is scored in the pass of its language. The figures' names must be
-    free; ``judge`` and ``accept`` see to that.
+    free; ``judge`` and ``accept`` see to that. What was sent is added to ``sent``, to be
+    destroyed once the result is written.
     """
     models = train(docs, text, lang)
     groups = language_groups(models, most) or [[]]
     later = [_speaks(lang, g) for g in groups[1:]]
-    out = _score(docs.filter(~reduce(Column.__or__, later)) if later else docs, models.filter(_speaks("lang", groups[0])), text, lang)
+    sent = [] if sent is None else sent
+    out = _score(docs.filter(~reduce(Column.__or__, later)) if later else docs, models.filter(_speaks("lang", groups[0])), text, lang, sent)
     for names, mine in zip(groups[1:], later, strict=True):
-        out = out.unionByName(_score(docs.filter(mine), models.filter(_speaks("lang", names)), text, lang))
+        out = out.unionByName(_score(docs.filter(mine), models.filter(_speaks("lang", names)), text, lang, sent))
     return out
 
 
-def _score(docs: DataFrame, some: DataFrame, text: str, lang: str) -> DataFrame:
+def _score(docs: DataFrame, some: DataFrame, text: str, lang: str, sent: list) -> DataFrame:
     models = docs.sparkSession.sparkContext.broadcast(load(some))
+    sent.append(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang = models.value
@@ -312,56 +318,86 @@ def _score(docs: DataFrame, some: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.mapInArrow(run, schema.add("log_ppl", "double"))
 
 
-def bands(
-    measured: DataFrame, wide: float, least: float, min_docs: int, lang: str = "lang"
-) -> DataFrame:
-    """``(lang, _class, low, high)``: the median of log perplexity and ``wide`` deviations.
+_STEP = 1000.0
+
+
+def _cuts(bins: DataFrame, by: list[str], **at: float) -> DataFrame:
+    """Number of documents and order statistics of ``_bin`` (steps of 1/1000) per group."""
+    upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    share = bins.withColumn("_share", F.sum("_n").over(upto) / F.sum("_n").over(Window.partitionBy(*by)))
+    cut = [(F.min(F.when(F.col("_share") >= q, F.col("_bin"))) / _STEP).alias(name) for name, q in at.items()]
+    return share.groupBy(*by).agg(F.sum("_n").alias("_docs"), *cut)
+
 
-    The deviation is the larger of ``least`` and the distance from the median to the 16th
-    or 84th percentile of that side. Figures are counted in steps of 1/1000 first, so a
-    window sees at most a few thousand rows per language and class.
+def centres(measured: DataFrame, min_docs: int, lang: str = "lang") -> DataFrame:
+    """``(lang, _class, _from, mid)``: the class whose band a length class takes, and its median.
+
+    A class of ``min_docs`` documents is its own; a thinner one takes the nearest such class
+    of its language, the longer of two. A language without one (``_from`` null) has the median
+    of all its documents. Figures are counted in steps of 1/1000 first, so a window sees at
+    most a few thousand rows per language and class.
     """
-    step = 1000.0
     bins = (
         measured.filter(F.col("log_ppl").isNotNull())
-        .groupBy(F.col(lang).alias("lang"), "_class", F.round(F.col("log_ppl") * step).alias("_bin"))
+        .groupBy(F.col(lang).alias("lang"), "_class", F.round(F.col("log_ppl") * _STEP).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    group = Window.partitionBy("lang", "_class")
-    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    share = bins.withColumn("_share", F.sum("_n").over(upto) / F.sum("_n").over(group))
+    bins = written(bins, "bins")
+    classes = _cuts(bins, ["lang", "_class"], mid=0.5)
+    full = classes.filter(F.col("_docs") >= min_docs).select(F.col("lang").alias("_l"), F.col("_class").alias("_from"), "mid")
+    near = F.struct(F.abs(F.col("_class") - F.col("_from")).alias("far"), (-F.col("_from")).alias("of"), F.col("mid"))
+    chosen = (
+        classes.select("lang", "_class").join(full, F.col("lang").eqNullSafe(F.col("_l")), "left")
+        .groupBy("lang", "_class").agg(F.min(F.when(F.col("_from").isNotNull(), near)).alias("b"))
+    )
+    whole = _cuts(bins.groupBy("lang", "_bin").agg(F.sum("_n").alias("_n")), ["lang"], all=0.5).select(F.col("lang").alias("_l"), "all")
+    return chosen.join(whole, F.col("lang").eqNullSafe(F.col("_l"))).select(
+        "lang", "_class", (-F.col("b.of")).alias("_from"), F.coalesce("b.mid", "all").alias("mid")
+    )
 
-    def at(q: float):
-        return F.min(F.when(F.col("_share") >= q, F.col("_bin"))) / step
 
-    cut = share.groupBy("lang", "_class").agg(
-        F.sum("_n").alias("_docs"), at(0.16).alias("_lo"), at(0.5).alias("_mid"), at(0.84).alias("_hi")
-    )
-    return cut.filter(F.col("_docs") >= min_docs).select(
-        "lang", "_class",
-        (F.col("_mid") - wide * F.greatest(F.col("_mid") - F.col("_lo"), F.lit(least))).alias("low"),
-        (F.col("_mid") + wide * F.greatest(F.col("_hi") - F.col("_mid"), F.lit(least))).alias("high"),
+def bands(placed: DataFrame, least: float) -> DataFrame:
+    """``(lang, _from, low, high)``: deviations ``away`` down to the 16th and up to the 84th percentile.
+
+    Each is at least ``least``.
+    """
+    own = placed.filter(F.col("_class") == F.col("_from"))
+    bins = own.groupBy("lang", "_from", F.round(F.col("away") * _STEP).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    return _cuts(bins, ["lang", "_from"], low=0.16, high=0.84).select(
+        "lang", "_from", F.greatest(-F.col("low"), F.lit(least)).alias("low"), F.greatest(F.col("high"), F.lit(least)).alias("high")
     )
 
 
+def _beside(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], salts: int) -> DataFrame:
+    """``rows`` with the columns of a small table; a hot key's rows are dealt over ``salts``."""
+    salt = F.pmod(F.xxhash64("log_ppl", "n_words", "word_chars"), F.lit(salts)).cast("int")
+    copies = table.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in on], F.col("_salt") == F.col("_s"))
+    return rows.withColumn("_salt", salt).join(copies, same, "left").drop("_salt", "_s")
+
+
 def _verdicts(
     docs: DataFrame, text: str, lang: str, wide: float, least: float, min_docs: int, salts: int, slim: bool
 ) -> DataFrame:
     kind = F.floor(F.log2(F.greatest(F.length(F.col(text)), F.lit(1))) / 2).cast("int")
-    measured = measure(docs, text, lang).withColumn("_class", F.coalesce(kind, F.lit(0)))
+    sent: list = []
+    measured = measure(docs, text, lang, sent=sent).withColumn("_class", F.coalesce(kind, F.lit(0))).withColumn("_len", F.length(F.col(text)))
     measured = written(measured.drop(text) if slim else measured, "measured")
-    limits = bands(measured, wide, least, min_docs, lang).select(
-        F.col("lang").alias("_lang"), F.col("_class").alias("_c"), "low", "high",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"),
-    )
-    salt = F.pmod(F.xxhash64("log_ppl", "n_words", "word_chars"), F.lit(salts)).cast("int")
-    joined = measured.withColumn("_salt", salt).join(
-        limits,
-        F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")),
-        "left",
-    )
+    for models in sent:
+        models.destroy()
+    centre = centres(measured, min_docs, lang).select(F.col("lang").alias("_at_lang"), F.col("_class").alias("_at_class"), "_from", "mid")
+    placed = _beside(measured, centre, [(lang, "_at_lang"), ("_class", "_at_class")], salts)
+    # The figure of a short text strays further: deviations count by the fourth root of its length.
+    scale = F.pow(F.col("_len") / F.pow(F.lit(4.0), F.coalesce("_from", "_class") + 0.5), F.lit(0.25))
+    placed = placed.withColumn("away", (F.col("log_ppl") - F.col("mid")) * scale)
+    limits = bands(placed.select(F.col(lang).alias("lang"), "_class", "_from", "away"), least)
+    usual = limits.agg(F.avg("low").alias("u_low"), F.avg("high").alias("u_high"))
+    limits = limits.select(F.col("lang").alias("_in_lang"), F.col("_from").alias("_in_class"), "low", "high")
+    joined = _beside(placed, limits, [(lang, "_in_lang"), ("_from", "_in_class")], salts)
+    low = F.coalesce("low", usual.select("u_low").scalar())
+    high = F.coalesce("high", usual.select("u_high").scalar())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    outside = F.coalesce((F.col("log_ppl") < F.col("low")) | (F.col("log_ppl") > F.col("high")), F.lit(False))
+    outside = F.coalesce((F.col("away") < -wide * low) | (F.col("away") > wide * high), F.lit(False))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~outside).withColumn(
         "perplexity", F.exp("log_ppl")
     )
@@ -381,13 +417,16 @@ def judge(
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated
     windows. ``kept``: not failed and inside the band of its language and length class
-    (powers of four of the number of characters); a class of under ``min_docs`` documents
-    has no band and rejects nothing. A null language is a language of its own. Null and
+    (powers of four of the number of characters): ``wide`` deviations round the median. A
+    class of under ``min_docs`` documents takes the band of the nearest class of its
+    language; a language without one is judged round its own median by the mean deviations
+    of all bands; where no class of any language is full, nothing is rejected. A null
+    language is a language of its own. Null and
     empty texts have 0 words and fail. Repeated rows are judged alike; an empty table gives
     an empty one; other columns are not read.
     """
-    docs = unclashed(docs, id_col, text, lang).toDF("_id", "_text", "_of")
-    out = _verdicts(docs, "_text", "_of", wide, least, min_docs, salts, slim=True)
+    docs = unclashed(docs, id_col, text, lang).toDF("_id", "_text", "_lang")
+    out = _verdicts(docs, "_text", "_lang", wide, least, min_docs, salts, slim=True)
     return out.select(F.col("_id").alias(id_col), *FIGURES, "base_failed", "kept", "perplexity")
 
 

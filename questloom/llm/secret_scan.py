@@ -9,6 +9,8 @@ but are not secret. Nothing is shuffled; only texts that hold a candidate are ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,26 @@ BASE = (
 )
 
 WINDOW = 20
-#: Candidate class, its pattern, and the entropy in bits that a window must reach.
+#: Shortest candidate; one shorter than a window is a window of its own.
+LEAST = 16
+#: Candidate class, its pattern, and the entropy in bits that a window must reach; a shorter
+#: one must reach the same share of what its length allows.
 CLASSES = (
-    ("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_=-])", 3.2),
-    ("entropy_text", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 3.9),
+    ("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{16,}+(?![A-Za-z0-9+/_=-])", 3.2),
+    ("entropy_text", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+", 3.9),
 )
 #: Never secret, each with its whole layout after leading separators: identifiers, integrity
-#: sums with a name, sample keys (a name may be joined to them), paths and names made of words.
+#: sums with a name, sample keys (a name may be joined to them).
 ALLOW = (
-    r"^[/_=-]*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[/_=-]*sha(1-([A-Za-z0-9+/]{27}=?|[0-9a-f]{40})|256-([A-Za-z0-9+/]{43}=?|[0-9a-f]{64})"
-    r"|384-([A-Za-z0-9+/]{64}|[0-9a-f]{96})|512-([A-Za-z0-9+/]{86}(==)?|[0-9a-f]{128}))$"
-    r"|^([A-Za-z_-]+=+|[/_=-]+)?(A[KS]IA[A-Z0-9]{9}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY)$"
-    r"|^[/_=-]*[A-Za-z]+([_/=-]+[A-Za-z]+[0-9]{0,4})*$"
+    r"^[/_=-]*+[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+    r"|^[/_=-]*+sha(?:1-(?:[A-Za-z0-9+/]{27}=?|[0-9a-f]{40})|256-(?:[A-Za-z0-9+/]{43}=?|[0-9a-f]{64})"
+    r"|384-(?:[A-Za-z0-9+/]{64}|[0-9a-f]{96})|512-(?:[A-Za-z0-9+/]{86}(?:==)?|[0-9a-f]{128}))$"
+    r"|^(?:[A-Za-z_-]++=++|[/_=-]++)?(?:A[KS]IA[A-Z0-9]{9}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY)$"
 )
-#: A candidate must mix letters and digits; words and numbers alone are not keys.
+#: Parts of paths and names: a word in one case or with capitals at its joints, then a number.
+JOINT = r"[/_=-]++"
+WORDLIKE = r"^(?:[A-Z]?[a-z]++|[A-Z]++|(?:[A-Z]?[a-z]{2,}+)++)[0-9]{0,4}$"
+#: A candidate shorter than a window must mix letters and digits.
 MIXED = r"(?s)(?=.*[0-9])(?=.*[A-Za-z])"
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint,hit:string>"
@@ -79,10 +86,11 @@ def _weight(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def top_entropy(s: Column, window: int = WINDOW, piece: int = 1024) -> Column:
+def top_entropy(s: Column, window: int = WINDOW, piece: int = 256) -> Column:
     """The highest entropy of any window of ``s``; null if ``s`` is shorter than a window.
 
-    Long strings are slid over in pieces that overlap by a window less one.
+    Long strings are slid over in pieces that overlap by a window less one, each cut out
+    once, so the time grows with the length.
     """
     w = F.lit(window)
 
@@ -108,8 +116,15 @@ def top_entropy(s: Column, window: int = WINDOW, piece: int = 1024) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.length(p)), zero, step, lambda acc: acc["best"])
 
     starts = F.sequence(F.lit(1), F.length(s) - (window - 1), F.lit(piece - window + 1))
-    best = F.array_max(F.transform(starts, lambda i: slide(F.substr(s, i, F.lit(piece)))))
-    return F.when(F.length(s) >= w, best)
+    cut = F.transform(starts, lambda i: F.substr(s, i, F.lit(piece)))
+    return F.when(F.length(s) >= w, F.array_max(F.transform(cut, slide)))
+
+
+def whole_entropy(s: Column) -> Column:
+    """The entropy of a short string as one window."""
+    times = F.transform(F.array_distinct(F.split(s, "")), lambda ch: F.length(s) - F.length(F.replace(s, ch, F.lit(""))))
+    total = F.aggregate(times, F.lit(0.0), lambda acc, c: acc + _weight(c))
+    return F.log2(F.length(s).cast("double")) - total / F.length(s)
 
 
 def _long_enough(pattern: str, group: int, least: int):
@@ -121,7 +136,19 @@ def _long_enough(pattern: str, group: int, least: int):
 
 
 def _random_enough(bits: float):
-    return lambda x: top_entropy(x["hit"]) >= F.lit(bits)
+    share = bits / math.log2(WINDOW)
+
+    def test(x: Column) -> Column:
+        s = x["hit"]
+        short = whole_entropy(s) >= F.log2(F.length(s).cast("double")) * share
+        return F.when(F.length(s) < WINDOW, short).otherwise(top_entropy(s) >= bits)
+
+    return test
+
+
+def _harmless(hit: Column) -> Column:
+    """A known layout, or a path or name made of words alone."""
+    return hit.rlike(ALLOW) | F.forall(F.split(hit, JOINT), lambda part: (part == "") | part.rlike(WORDLIKE))
 
 
 def _outside(x: Column, base: Column) -> Column:
@@ -175,7 +202,8 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         whole = F.when(quick, spans(F.col("_t"), kind, pattern)).otherwise(none)
         candidates = F.filter(
             F.flatten(F.transform(whole, lambda x: _outside(x, F.col("base")))),
-            lambda x: (F.length(x["hit"]) >= WINDOW) & x["hit"].rlike(MIXED) & ~x["hit"].rlike(ALLOW),
+            lambda x: (F.length(x["hit"]) >= LEAST)
+            & ((F.length(x["hit"]) >= WINDOW) | x["hit"].rlike(MIXED)) & ~_harmless(x["hit"]),
         )
         found = found.withColumn(f"_c_{kind}", candidates).withColumn(
             f"_{kind}",

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from questloom.llm import conversations as C
+from questloom.llm import decontam, langid, quality
 from questloom.llm import neighbours as A
+from questloom.llm import secret_scan as X
 from questloom.llm import spelling as S
 from questloom.llm import queries  # noqa: F401
 from questloom.llm.registry import QUERIES
@@ -219,3 +221,51 @@ def test_least_audit_among_equal_costs():
     # Two user rows: deleting either and putting one in costs 7; D then K then I is least.
     edits, _ = C.least_paths(np.array([1, 1]), np.array([0, 0]), runs, False, None)
     assert "".join(edits) == "KR"
+
+
+# Mended operators -----------------------------------------------------------------
+
+def added(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [x.hit for x in r.added] for r in X.find_secrets(docs).collect()}
+
+
+def test_secret_candidates_of_any_length(spark):
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    path = "/".join("".join(rnd.choice(letters) for _ in range(7)) for _ in range(12))
+    keys = ["".join(rnd.choice(letters + "0123456789") for _ in range(16)) + "7q", "".join(rnd.sample(letters, 30)), path]
+    plain = ["ab-cd_" * 1000 + "q1", "some/Plain/path_of/httpRequestHandlers/words12", "x" * 1_000_000, "9" * 40, "UPPER_CASE_NAME_WITH_WORDS"]
+    got = added(spark, [f"see {k} there" for k in keys + plain])
+    assert [got[i] for i in range(3)] == [[k] for k in keys] and all(got[i] == [] for i in range(3, 8))
+
+
+def test_secret_scan_is_linear(spark):
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1_000_000))
+    assert added(spark, [long])[0] == [long]
+
+
+def test_digits_in_other_scripts_are_no_letters(spark):
+    rows = [(i, "the words of a text in one language", "en") for i in range(40)] + [(99, "²½ 123", None), (100, "漢", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[99] == "und" and got[100] == "en"
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_item_ids_of_any_type(spark, kind):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([("7", text)], "item_id string, text string").select(F.col("item_id").cast(kind), "text")
+    docs = spark.createDataFrame([(1, f"a {text} b")], "doc_id long, text string")
+    assert [str(r.item_id) for r in decontam.find_contaminated(docs, bench).collect()] == ["7"]
+
+
+def test_thin_classes_have_bands(spark):
+    rnd = random.Random(9)
+    words = ["harbor", "lantern", "meadow", "river", "stone", "winter", "garden", "window", "market", "silver"]
+    prose = lambda n: " ".join(rnd.choice(words) + str(rnd.choice("aeiou")) for _ in range(n))
+    junk = lambda n: " ".join("".join(rnd.choice("qxzjkvwy") for _ in range(7)) for _ in range(n))
+    rows = [(i, prose(60 + i % 20), "en") for i in range(200)] + [(900 + i, prose(900), "en") for i in range(3)]
+    rows += [(950, junk(900), "en"), (951, junk(900), None), (960, prose(900), None)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[950] and sum(got[i] for i in range(200)) >= 198 and all(got[900 + i] for i in range(3))
