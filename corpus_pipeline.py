@@ -6,6 +6,8 @@ it decides is gone for the next one. The last returns how often the mix takes a
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,4 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, name)
+            gc.collect()  # lets go of the plans of the stage, which the driver holds through Python
     return docs
