@@ -5,6 +5,7 @@ from __future__ import annotations
 from questloom.plans import (  # noqa: F401
     q_answers,
     q_classify,
+    q_context,
     q_documents,
     q_patterns,
     q_profile,

@@ -44,7 +44,7 @@ def catalogue(spark: SparkSession, root: str, max_depth: int | None = None) -> D
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Typed CSV scan; malformed rows are dropped. Give the schema once it is known."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED")
+    reader = spark.read.option("header", True).option("escape", '"').option("mode", "DROPMALFORMED")
     reader = reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
     if schema:
         return reader.schema(schema).csv(path)
@@ -56,7 +56,7 @@ def rejected_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Lines equal to the header are headers of part files.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+    options = {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": "_bad", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
     head = spark.read.option("header", True).csv(path).columns
     lines = spark.read.text(path).filter(F.col("value") != F.lit(",".join(head)))
     parsed = F.from_csv("value", F.lit(f"{schema}, _bad string"), options)
@@ -69,7 +69,7 @@ def scan_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     ``multi_line`` allows line breaks inside cells, at the price of one task per file.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", multi_line)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         .option("mode", "PERMISSIVE").csv(path)
     )
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
@@ -139,7 +139,8 @@ def paragraphs(df: DataFrame, text: str, gap: str = "\n\n", keep: Sequence[str]
 
 
 def write_answer_csv(df: DataFrame, folder: str, by: Sequence[str] = ()) -> None:
-    writer = df.write.option("header", True).mode("overwrite")
+    # A quote inside a cell is doubled, as other CSV readers expect.
+    writer = df.write.option("header", True).option("escape", '"').mode("overwrite")
     (writer.partitionBy(*by) if by else writer).csv(folder)
 
 
