@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from questloom.operators import context as X
 from questloom.plans import duck as D
 from questloom.plans import fixtures as fx
 from questloom.plans.registry import Tables, query
@@ -74,11 +75,11 @@ def scan_csv_typed(t: Tables):
     return S.scan_csv(t.spark, folder, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
 
-@query("scan_csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("scan_csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def scan_csv_inferred(t: Tables):
     folder = scratch(t, "csv")
-    S.write_answer_csv(t.orders.drop("o_orderdate"), folder)
-    return S.scan_csv(t.spark, folder)
+    S.write_answer_csv(t.orders, folder)
+    return X.scan_csv_voted(t.spark, folder)
 
 
 @query("scan_csv_raw", "SELECT CAST(task_id AS VARCHAR) AS task_id, CASE WHEN row_idx % 3 = 0 THEN '' ELSE 'x' END AS mark, trim(v) AS v FROM messy_cells", ["messy_cells"])

@@ -155,3 +155,11 @@ def test_written_cells_come_back(spark, tmp_path):
         assert [(int(k), v) for k, v in list(csv.reader(f))[1:]] == rows
     assert sorted(map(tuple, S.scan_csv(spark, folder, "k long, v string").collect())) == rows
     assert sorted(map(tuple, X.scan_csv_voted(spark, folder).collect())) == rows
+
+
+def test_repeated_keys_and_odd_json(spark):
+    rows = [("a", '{"k":1,"k":2}'), ("b", "[]"), ("c", '{"records":[]}'), ("d", ""), ("e", "[null,3]")]
+    df = spark.createDataFrame(rows, "path string, value string")
+    got = Counter(r.path for r in X.json_cells(df, "path", "value").collect())
+    assert set(got) <= {"a"} and got["a"] >= 1
+    assert {r.path: r.hint for r in X.json_hints(df, "path", "value").collect()}["c"] == "records"
