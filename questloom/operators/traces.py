@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from questloom.functions.groups import first_per_group, step_slices
 from questloom.functions.values import any_contains
+from questloom.operators.verify import gather
 from questloom.rules import traces as R
 from questloom.rules import wording as W
 
@@ -211,57 +212,59 @@ def error_classes(df: DataFrame, error: str) -> DataFrame:
     return df.withColumn("_h", hit).select(*df.columns, "_h.pattern", "_h.severity", "_h.hint")
 
 
-def failure_signals(tasks: DataFrame, report: DataFrame, semantic: DataFrame) -> DataFrame:
+OWN = ("failure_reason", "answer_present", "budget_exhausted", "intents", "filled_cells", "numeric_cells")
+
+
+def failure_signals(tasks: DataFrame, review: DataFrame) -> DataFrame:
     """One row per task and signal code; the earlier source wins.
 
-    ``tasks``: task_id, failure_reason, answer_present, budget_exhausted, intents,
-    filled_cells, numeric_cells.
+    ``tasks``: task_id, failure_reason, answer_present, budget_exhausted, intents and, where
+    the counts of the review shall not be used, filled_cells and numeric_cells. ``review``
+    holds the checks, risks and cell counts of a task in one row, so its signals are
+    judged inside that row.
     """
     codes = F.create_map(*[F.lit(x) for pair in R.CHECK_CODES for x in pair])
-    failed = report.filter(~F.col("passed")).select(
-        "task_id", F.lit(0).alias("source"), F.coalesce(F.try_element_at(codes, F.col("check")), F.lit("verification_error")).alias("code"),
-        F.lit("error").alias("severity"),
+    given = [c for c in OWN if c in tasks.columns]
+    df = gather(own=tasks.select("task_id", *given), seen=review.select("task_id", "checks", "risks", "filled_cells", "numeric_cells"))
+
+    def own(name: str) -> Column:
+        return F.col(f"own.{name}") if name in given else F.coalesce(F.col(f"seen.{name}"), F.lit(0))
+
+    def signal(source: Column, code: Column, severity: Column) -> Column:
+        return F.struct(source.cast("int").alias("source"), severity.alias("severity"), code.alias("code"))
+
+    def one(source: int, code: Column | str, severity: str, cond: Column) -> Column:
+        return F.when(cond, signal(F.lit(source), F.lit(code) if isinstance(code, str) else code, F.lit(severity)))
+
+    failed = F.transform(
+        F.filter("seen.checks", lambda c: ~c["passed"]),
+        lambda c: signal(F.lit(0), F.coalesce(F.try_element_at(codes, c["check"]), F.lit("verification_error")), F.lit("error")),
     )
-    reason = F.lower(F.trim(F.coalesce("failure_reason", F.lit(""))))
+    reason = F.lower(F.trim(F.coalesce(own("failure_reason"), F.lit(""))))
     why = (
         F.when(reason.contains("timeout"), F.lit("runtime_timeout"))
         .when(reason.contains("max_steps"), F.lit("budget_exhaustion"))
         .when(reason != "", F.lit("runner_failure"))
     )
-    numeric = F.arrays_overlap("intents", F.array(*[F.lit(i) for i in R.NUMERIC_INTENTS]))
-
-    def one(source: int, code: Column, severity: str, cond: Column) -> Column:
-        return F.when(
-            cond, F.struct(F.lit(source).alias("source"), code.alias("code"), F.lit(severity).alias("severity"))
+    numeric = F.arrays_overlap(own("intents"), F.array(*[F.lit(i) for i in R.NUMERIC_INTENTS]))
+    told = F.array_compact(
+        F.array(
+            one(1, why, "error", why.isNotNull()), one(2, "no_grounded_answer", "error", ~own("answer_present")),
+            one(3, "budget_exhaustion", "warning", own("budget_exhausted")),
+            one(4, "numeric_grounding_error", "warning", numeric & (own("filled_cells") > 0) & (own("numeric_cells") == 0)),
         )
-
-    own = tasks.select(
-        "task_id",
-        F.inline(
-            F.array_compact(
-                F.array(
-                    one(1, why, "error", why.isNotNull()),
-                    one(2, F.lit("no_grounded_answer"), "error", ~F.col("answer_present")),
-                    one(3, F.lit("budget_exhaustion"), "warning", F.col("budget_exhausted")),
-                    one(4, F.lit("numeric_grounding_error"), "warning", numeric & (F.col("filled_cells") > 0) & (F.col("numeric_cells") == 0)),
-                    one(9, F.lit("passed_no_obvious_risk"), "info", F.lit(True)),
-                )
-            )
-        ),
-    )
-    risks = semantic.filter(~(F.col("code").isin(*R.INFO_ONLY) & (F.col("severity") == "info"))).select(
-        "task_id", (F.col("check_no") + 10).alias("source"), "code", "severity"
-    )
-    every = failed.unionByName(own).unionByName(risks)
-    best = every.groupBy("task_id", "code").agg(F.min(F.struct("source", "severity")).alias("b"))
-    # A task has at most one entry per known code; the closing signal stays only when alone.
-    per_task = best.groupBy("task_id").agg(
-        F.collect_list(F.struct("code", "b.source", "b.severity")).alias("all")
-    )
-    real = F.filter("all", lambda x: x["code"] != "passed_no_obvious_risk")
-    return per_task.select(
-        "task_id", F.inline(F.when(F.size(real) > 0, real).otherwise(F.col("all")))
-    ).select("task_id", "code", "source", "severity")
+    )
+    numbered = F.transform("seen.risks", lambda r, i: signal(i + 10, r["code"], r["severity"]))
+    risks = F.filter(numbered, lambda r: ~(r["code"].isin(*R.INFO_ONLY) & (r["severity"] == "info")))
+    none = F.expr("cast(array() as array<struct<source: int, severity: string, code: string>>)")
+    every = F.array_sort(F.concat(F.coalesce(failed, none), F.coalesce(told, none), F.coalesce(risks, none)))
+    named = df.select("task_id", "has_own", every.alias("_all")).withColumn("_codes", F.transform("_all", lambda s: s["code"]))
+    first = F.filter("_all", lambda s, i: F.array_position("_codes", s["code"]) == i + 1)
+    quiet = (F.size("_all") == 0) & F.col("has_own")
+    closing = F.array(signal(F.lit(9), F.lit("passed_no_obvious_risk"), F.lit("info")))
+    return named.select("task_id", F.inline(F.when(quiet, closing).otherwise(first))).select(
+        "task_id", "code", "source", "severity"
+    )
 
 
 def signal_notes(signals: DataFrame) -> DataFrame:

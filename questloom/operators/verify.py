@@ -8,6 +8,7 @@ Answers are long cells ``(task_id, row_idx, col_idx, v)`` with a header table
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,23 +53,17 @@ def equal_columns(cells: DataFrame) -> DataFrame:
 
 def precheck(headers: DataFrame, cells: DataFrame) -> DataFrame:
     """Warnings before an answer is submitted; ``ok`` is false without columns."""
-    cols = headers.groupBy("task_id").agg(F.count(F.lit(1)).alias("columns"))
-    seen = cells.groupBy("task_id").agg(
-        F.count_distinct("row_idx").alias("rows"),
-        F.count_if(too_precise(F.col("v")) & to_number(F.col("v")).isNotNull()).alias("long_decimals"),
-        F.count_if(trimmed(F.coalesce("v", F.lit(""))).rlike(NON_ISO_DATE)).alias("non_iso_dates"),
-    )
     pairs = F.col("columns") * (F.col("columns") - 1) / 2
-    same = equal_columns(cells).groupBy("task_id").agg(F.sum(pairs).cast("bigint").alias("same"))
-    out = cols.join(seen, "task_id", "full").join(same, "task_id", "left")
+    same = equal_columns(cells).groupBy("task_id").agg(F.sum(pairs).cast("bigint").alias("pairs"))
+    df = gather(head=header_facts(headers), body=cell_facts(cells), same=same)
     zero = F.lit(0)
-    return out.select(
-        "task_id", F.coalesce("columns", zero).alias("columns"), F.coalesce("rows", zero).alias("rows"),
-        F.coalesce("same", zero).alias("redundant_pairs"),
-        F.coalesce("long_decimals", zero).alias("long_decimals"),
-        F.coalesce("non_iso_dates", zero).alias("non_iso_dates"),
-        (F.coalesce("columns", zero) > MANY_COLUMNS).alias("many_columns"),
-        (F.coalesce("columns", zero) > 0).alias("ok"),
+    columns = F.coalesce("head.width", zero).cast("bigint")
+    return df.filter(F.col("has_head") | F.col("has_body")).select(
+        "task_id", columns.alias("columns"), F.coalesce("body.n_rows", zero).alias("rows"),
+        F.coalesce("same.pairs", zero).alias("redundant_pairs"),
+        F.coalesce("body.long_decimals", zero).alias("long_decimals"),
+        F.coalesce("body.non_iso_dates", zero).alias("non_iso_dates"),
+        (columns > MANY_COLUMNS).alias("many_columns"), (columns > 0).alias("ok"),
     )
 
 
@@ -100,48 +95,88 @@ def readability(
     return out.select(name, F.lit("readability_check").alias("check"), (detail == "readable").alias("passed"), detail.alias("detail"))
 
 
+def gather(**parts: DataFrame) -> DataFrame:
+    """One row per task with each part's columns as a struct, and ``has_<part>``.
+
+    The fields are null where a part lacks the task. Parts hold at most one row per task;
+    of repeated ones each field's greatest value stays. The rows meet in one grouped
+    shuffle, whatever the number of parts, and fields nobody reads are never worked out.
+    """
+    fields = {name: [c for c in df.columns if c != "task_id"] for name, df in parts.items()}
+    rows = [
+        df.select("task_id", F.lit(True).alias(f"has_{name}"), *[F.col(c).alias(f"{name}__{c}") for c in fields[name]])
+        for name, df in parts.items()
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    met = every.groupBy("task_id").agg(*[F.max(c).alias(c) for c in every.columns if c != "task_id"])
+    return met.select(
+        "task_id", *[F.coalesce(f"has_{name}", F.lit(False)).alias(f"has_{name}") for name in parts],
+        *[F.struct(*[F.col(f"{name}__{c}").alias(c) for c in cs]).alias(name) for name, cs in fields.items() if cs],
+    )
+
+
 def header_facts(headers: DataFrame) -> DataFrame:
-    """Width, names and faults of each header; the array is as long as the answer is wide."""
-    name = F.trim(F.coalesce("name", F.lit("")))
-    named = headers.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("width"), F.count_if(name != "").alias("named"),
-        F.count_distinct(F.when(name != "", name)).alias("names"),
-        F.count_if(F.length(name) > MAX_HEADER).alias("long_names"),
-        F.sort_array(F.collect_list(F.struct("col_idx", F.lower(squash_space(F.col("name"))).alias("n")))).alias("_h"),
+    """Width, names and faults of each header, from one array as long as the answer is wide."""
+    at = F.struct("col_idx", F.col("name").alias("raw"), F.lower(squash_space(F.col("name"))).alias("n"))
+    one = headers.groupBy("task_id").agg(F.sort_array(F.collect_list(at)).alias("_h")).select(
+        "task_id", "_h", F.transform("_h", lambda x: F.trim(F.coalesce(x["raw"], F.lit("")))).alias("_n")
+    )
+    filled = F.filter("_n", lambda n: n != "")
+
+    def some(words: Sequence[str]) -> Column:
+        return F.exists("_n", lambda n: any_contains(F.lower(n), words))
+
+    return one.select(
+        "task_id", F.size("_h").alias("width"), F.size(filled).alias("named"),
+        F.size(F.array_distinct(filled)).alias("names"),
+        F.size(F.filter("_n", lambda n: F.length(n) > MAX_HEADER)).alias("long_names"),
+        F.transform("_h", lambda x: x["n"]).alias("header"),
+        some(("text", "comment")).alias("h_text"), some(("id",)).alias("h_id"), some(R.URL_WORDS).alias("h_url"),
     )
-    return named.withColumn("header", F.transform("_h", lambda x: x["n"])).drop("_h")
 
 
 def cell_facts(cells: DataFrame) -> DataFrame:
-    """Row widths, emptiness, repetition and suspicious cells per task, in one pass.
+    """All that any check asks of the cells, per task: cells are shuffled once, by answer row.
 
     The array below holds the cells of one answer row.
     """
     s = trimmed(F.coalesce("v", F.lit("")))
+    number = to_number(F.col("v")).isNotNull()
+    counts = {
+        "filled_cells": s != "", "numeric_cells": number, "long_cells": F.length(s) > MAX_CELL,
+        "error_cells": any_contains(F.lower(s), R.SUSPICIOUS), "long_decimals": too_precise(F.col("v")) & number,
+        "non_iso_dates": s.rlike(NON_ISO_DATE),
+    }
+    flags = {
+        "packed": (F.col("col_idx") == 0) & F.col("v").rlike(R.PACKED_CELL),
+        "v_url": s.rlike(R.URL), "v_percent": s.endswith("%"),
+    }
     rows = cells.groupBy("task_id", "row_idx").agg(
         F.count(F.lit(1)).alias("w"), F.max(s != "").alias("filled"),
-        F.count_if(F.length(s) > MAX_CELL).alias("long_cells"),
-        F.count_if(any_contains(F.lower(s), R.SUSPICIOUS)).alias("error_cells"),
+        *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.max(c).alias(n) for n, c in flags.items()],
         F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("col_idx", "v")))), 256).alias("mark"),
     )
     return rows.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("w").alias("narrowest"), F.max("w").alias("widest"),
         F.count_if(~F.col("filled")).alias("empty"), F.count_distinct("mark").alias("unique"),
-        F.sum("long_cells").alias("long_cells"), F.sum("error_cells").alias("error_cells"),
+        *[F.sum(n).alias(n) for n in counts], *[F.max(n).alias(n) for n in flags],
     )
 
 
-def _gather(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
-    return tasks.select("task_id").join(header_facts(headers), "task_id", "left").join(
-        cell_facts(cells), "task_id", "left"
-    )
+CONTRACT = ("expected_columns", "expected_column_count", "min_rows", "max_rows", "exact_columns")
 
 
-def _with_contracts(df: DataFrame, contracts: DataFrame) -> DataFrame:
-    """``contracts``: task_id, expected_columns, expected_column_count, min_rows, max_rows, exact_columns."""
-    return df.join(contracts.withColumn("_has", F.lit(True)), "task_id", "left").withColumn(
-        "_want", F.transform("expected_columns", lambda x: F.lower(squash_space(x)))
-    )
+def _checked(tasks: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame | None = None, **more: DataFrame) -> DataFrame:
+    """Facts of tasks, flat; ``asked`` and further parts as structs; ``has_asked`` marks ``tasks``."""
+    parts = {"asked": tasks, "head": header_facts(headers), "body": cell_facts(cells), **more}
+    if contracts is not None:
+        parts["contract"] = contracts.select("task_id", F.lit(True).alias("_has"), *CONTRACT)
+    df = gather(**parts)
+    flat = [n for n in ("head", "body", "contract") if n in parts]
+    df = df.select("task_id", "has_asked", *(["asked"] if len(tasks.columns) > 1 else []), *more, *[f"has_{n}" for n in more], *[f"{n}.*" for n in flat])
+    if contracts is None:
+        return df
+    return df.withColumn("_want", F.transform("expected_columns", lambda x: F.lower(squash_space(x))))
 
 
 def _result(name: str, failures: Sequence[tuple[str, Column]]) -> Column:
@@ -211,23 +246,32 @@ def _shape() -> Column:
 
 def contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
     """Header present and distinct, not too long, every row as wide as the header."""
-    return _gather(tasks, headers, cells).select("task_id", F.inline(F.array(_contract())))
+    df = _checked(tasks.select("task_id"), headers, cells).filter("has_asked")
+    return df.select("task_id", F.inline(F.array(_contract())))
 
 
 def task_contract_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame) -> DataFrame:
     """Column count, names in order and row limits of the task's contract."""
-    df = _with_contracts(_gather(tasks, headers, cells), contracts)
+    df = _checked(tasks.select("task_id"), headers, cells, contracts).filter("has_asked")
     return df.select("task_id", F.inline(F.array(_task_contract())))
 
 
 def sanity_check(tasks: DataFrame, cells: DataFrame) -> DataFrame:
     """Plausible data: rows present, not mostly empty or repeated, no error text."""
-    df = tasks.select("task_id").join(cell_facts(cells), "task_id", "left")
-    return df.select("task_id", F.inline(F.array(_sanity())))
+    df = gather(asked=tasks.select("task_id"), body=cell_facts(cells)).filter("has_asked")
+    return df.select("task_id", "body.*").select("task_id", F.inline(F.array(_sanity())))
 
 
 def shape_check(tasks: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
-    return _gather(tasks, headers, cells).select("task_id", F.inline(F.array(_shape())))
+    df = _checked(tasks.select("task_id"), headers, cells).filter("has_asked")
+    return df.select("task_id", F.inline(F.array(_shape())))
+
+
+def _checks() -> Column:
+    """Results of all layers; an unreadable answer gets no further checks, one not asked for none."""
+    first = F.struct("asked.check", "asked.passed", "asked.detail")
+    every = F.array(first, _contract(), _task_contract(), _sanity(), _shape())
+    return F.when(F.col("asked.passed"), every).when(F.col("has_asked"), F.array(first))
 
 
 def full_report(
@@ -238,12 +282,25 @@ def full_report(
     ``readable`` is the readability check keyed by task_id; an unreadable answer gets no
     further checks.
     """
-    df = readable.select("task_id", F.struct("check", "passed", "detail").alias("_r"))
-    df = df.join(header_facts(headers), "task_id", "left").join(cell_facts(cells), "task_id", "left")
-    df = _with_contracts(df, contracts)
-    every = F.array(F.col("_r"), _contract(), _task_contract(), _sanity(), _shape())
+    df = _checked(readable.select("task_id", "check", "passed", "detail"), headers, cells, contracts)
+    return df.select("task_id", F.inline(_checks()))
+
+
+def review(
+    readable: DataFrame, headers: DataFrame, cells: DataFrame, contracts: DataFrame,
+    wording: DataFrame, question: str, evidence: DataFrame,
+) -> DataFrame:
+    """Report and semantic risks of a task as two arrays, with its cell counts.
+
+    One row per task of any input: headers, cells and steps are each aggregated once and
+    meet in one shuffle. ``wording`` is the semantic contract, ``evidence`` the trace's.
+    """
+    df = _checked(
+        readable.select("task_id", "check", "passed", "detail"), headers, cells, contracts,
+        wording=_wording(wording, question), evidence=evidence,
+    )
     return df.select(
-        "task_id", F.inline(F.when(F.col("_r.passed"), every).otherwise(F.array(F.col("_r"))))
+        "task_id", _checks().alias("checks"), _risks().alias("risks"), "n_rows", "filled_cells", "numeric_cells"
     )
 
 
@@ -268,7 +325,8 @@ def repair_plan(report: DataFrame, triggers: DataFrame, first: int = 5) -> DataF
     asked = triggers.select(
         "task_id", "priority", "action_type", F.lit("question wording").alias("detail"), "blocking"
     )
-    every = failed.unionByName(asked).groupBy("task_id", "action_type", "detail").agg(
+    # A task has a handful of actions: one shuffle serves their grouping and their order.
+    every = failed.unionByName(asked).repartition("task_id").groupBy("task_id", "action_type", "detail").agg(
         F.min("priority").alias("priority"), F.max("blocking").alias("blocking")
     )
     order = [F.col("priority"), F.col("action_type"), F.col("detail")]
@@ -302,44 +360,31 @@ def trace_evidence(steps: DataFrame, text: str, last: int = 12) -> DataFrame:
     )
 
 
-def answer_facts(headers: DataFrame, cells: DataFrame) -> DataFrame:
-    """Width, rows and the few facts about headers and cells the checks need."""
-    low = F.lower(F.trim("name"))
-    head = headers.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("width"),
-        F.max(any_contains(low, ("text", "comment"))).alias("h_text"),
-        F.max(low.contains("id")).alias("h_id"),
-        F.max(any_contains(low, R.URL_WORDS)).alias("h_url"),
+def _wording(contracts: DataFrame, question: str) -> DataFrame:
+    return contracts.select(
+        "task_id", F.col(question).alias("question"), "aggregation", "requested_fields", "risk_codes"
     )
-    s = trimmed(F.coalesce("v", F.lit("")))
-    body = cells.groupBy("task_id").agg(
-        F.count_distinct("row_idx").alias("data_rows"),
-        F.max((F.col("col_idx") == 0) & F.col("v").rlike(R.PACKED_CELL)).alias("packed"),
-        F.max(s.rlike(R.URL)).alias("v_url"), F.max(s.endswith("%")).alias("v_percent"),
-    )
-    return head.join(body, "task_id", "full")
 
 
-def semantic_checks(contracts: DataFrame, question: str, facts: DataFrame, evidence: DataFrame) -> DataFrame:
+def _risks() -> Column:
     """Risk codes with a severity, from the wording, the answer and the trace."""
-    df = contracts.join(facts, "task_id", "left").join(evidence, "task_id", "left")
-    q = F.col(question)
+    q = F.col("wording.question")
     low = F.lower(q)
     no = F.lit(False)
 
     def ev(name: str) -> Column:
-        return F.coalesce(F.col(f"e_{name}"), no)
+        return F.coalesce(F.col(f"evidence.e_{name}"), no)
 
     def fact(name: str) -> Column:
         return F.coalesce(F.col(name), no)
 
-    width, rows = F.coalesce("width", F.lit(0)), F.coalesce("data_rows", F.lit(0))
+    width, rows = F.coalesce("width", F.lit(0)), F.coalesce("n_rows", F.lit(0))
     has_rows = rows > 0
     packed = has_rows & (width == 1) & fact("packed")
-    wanted = F.size("requested_fields")
+    wanted = F.size("wording.requested_fields")
 
     def risk(code: str) -> Column:
-        return F.array_contains("risk_codes", code)
+        return F.array_contains("wording.risk_codes", code)
 
     def check(code: str, when: Column, severity: Column | str) -> Column:
         level = F.lit(severity) if isinstance(severity, str) else severity
@@ -363,12 +408,22 @@ def semantic_checks(contracts: DataFrame, question: str, facts: DataFrame, evide
         check("target_field_semantic_risk", any_contains(low, R.URL_WORDS) & ~fact("h_url") & ~fact("v_url"), "warning"),
         check("target_field_semantic_risk", low.contains("final score") & any_contains(low, ("home", "away", "between")) & packed, "warning"),
         check("scalar_format_semantic_risk", any_contains(low, R.PERCENT_WORDS) & fact("v_percent"), "warning"),
-        check("population_filter_semantic_risk", (F.col("aggregation") == "average") & q.rlike(r"(?i)\ball\b") & ev("filters"), "warning"),
+        check("population_filter_semantic_risk", (F.col("wording.aggregation") == "average") & q.rlike(r"(?i)\ball\b") & ev("filters"), "warning"),
         check("field_attachment_risk", risk("field_attachment_risk"), level(~q.rlike(R.GROUPING) & (rows > 1))),
         check("entity_identity_risk", risk("entity_identity_risk"), "info"),
         check("long_doc_metric_risk", risk("long_doc_metric_risk"), level(~ev("doc_tool"))),
     ]
-    return df.select("task_id", F.posexplode(F.array_compact(F.array(*checks))).alias("check_no", "c")).select(
+    return F.when(F.col("has_wording"), F.array_compact(F.array(*checks)))
+
+
+def semantic_checks(
+    contracts: DataFrame, question: str, headers: DataFrame, cells: DataFrame, evidence: DataFrame
+) -> DataFrame:
+    """Risk codes with a severity, from the wording, the answer and the trace."""
+    df = gather(
+        wording=_wording(contracts, question), head=header_facts(headers), body=cell_facts(cells), evidence=evidence
+    ).select("task_id", "has_wording", "wording", "evidence", "head.*", "body.*")
+    return df.select("task_id", F.posexplode(_risks()).alias("check_no", "c")).select(
         "task_id", "check_no", "c.code", "c.severity"
     )
 

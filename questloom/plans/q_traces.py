@@ -9,7 +9,7 @@ from questloom.operators import mining as M
 from questloom.operators import traces as R
 from questloom.plans import duck as D
 from questloom.plans import fixtures as fx
-from questloom.plans.q_verify import REPORT_SQL, SEM_CHECKS_SQL, SEM_USES, report, semantic_checks
+from questloom.plans.q_verify import REPORT_SQL, SEM_CHECKS_SQL, SEM_USES, review
 from questloom.plans.registry import Tables, query
 from questloom.rules import traces as X
 from questloom.rules import wording as W
@@ -187,7 +187,7 @@ SIGNAL_USES = ["check_cells", "check_headers", "check_tasks", "check_contracts",
 
 def _signals(t: Tables):
     tasks = t.signal_tasks.withColumn("intents", C.intents(F.col("question")))
-    return R.failure_signals(tasks, report(t), semantic_checks(t))
+    return R.failure_signals(tasks, review(t))
 
 
 @query("failure_signals", f"WITH {SIGNALS_SQL} SELECT task_id, code, severity, CAST(source AS INT) AS source FROM sg", SIGNAL_USES)

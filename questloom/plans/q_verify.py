@@ -118,13 +118,23 @@ rd AS (SELECT task_id, 'readability_check' AS "check", CASE WHEN task_id >= 3000
 rp AS (SELECT * FROM rd UNION ALL SELECT x.* FROM (SELECT * FROM cc UNION ALL SELECT * FROM tc UNION ALL SELECT * FROM sc UNION ALL SELECT * FROM sh) x WHERE x.task_id < 3000000)"""
 
 
-def report(t: Tables):
+def _readable(t: Tables):
     gone = F.col("task_id") >= 3000000
-    readable = t.check_tasks.select(
+    return t.check_tasks.select(
         "task_id", F.lit("readability_check").alias("check"), (~gone).alias("passed"),
         F.when(gone, F.lit("missing")).otherwise(F.lit("ok")).alias("detail"),
     )
-    return V.full_report(readable, t.check_headers, t.check_cells, _contracts(t))
+
+
+def report(t: Tables):
+    return V.full_report(_readable(t), t.check_headers, t.check_cells, _contracts(t))
+
+
+def review(t: Tables):
+    return V.review(
+        _readable(t), t.check_headers, t.check_cells, _contracts(t),
+        C.semantic_contract(t.mixed_questions, "question"), "question", V.trace_evidence(t.trace_texts, "text"),
+    )
 
 
 @query("verification_report", f"WITH {REPORT_SQL} {_out('rp')}", [*_BASE, "check_contracts"])
@@ -201,7 +211,7 @@ SEM_USES = ["mixed_questions", "check_cells", "check_headers", "trace_texts"]
 def semantic_checks(t: Tables):
     contracts = C.semantic_contract(t.mixed_questions, "question")
     return V.semantic_checks(
-        contracts, "question", V.answer_facts(t.check_headers, t.check_cells), V.trace_evidence(t.trace_texts, "text")
+        contracts, "question", t.check_headers, t.check_cells, V.trace_evidence(t.trace_texts, "text")
     )
 
 
