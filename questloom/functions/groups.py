@@ -80,68 +80,77 @@ def _slice_of(df: DataFrame, borders: str, value: str, name: str, steps: int) ->
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], steps: int = 8
+    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], steps: int = 8, rounds: int = 1,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key: ``(*keys, q, at)``; ``keys`` may be empty.
 
-    Equal values are counted first. Approximate quantiles then only choose ``2**steps - 1``
-    slice borders, the slice counts place the wanted ranks, and just the slices that hold
-    one are ranked. No task ever holds a whole key, and the result does not depend on the
+    Equal values are counted first, unless ``weight`` names the counts of distinct ones.
+    Approximate quantiles then only choose ``2**steps - 1`` slice borders, the slice counts
+    place the wanted ranks, and just the slices that hold one go on: to be sliced again in
+    the next of the ``rounds``, or to be ranked. No task ever ranks more than a
+    ``2**(steps * rounds)``-th of a key's values, and the result does not depend on the
     borders. Rank: ``(n - 1) * q``, as in ``percentile`` and ``quantile_cont``.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.filter(F.col(value).isNotNull())
+    if weight is None:
+        open_ = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        open_ = known.select(*keys, value, F.col(weight).alias("_n"))
+    figures = None
+    group = list(keys)
+    for i in range(rounds):
+        sliced = _sliced(open_, group, value, steps)
+        totals = sliced.groupBy(*group, "_s").agg(F.sum("_n").alias("_sn"))
+        # At most 2**steps rows per group reach these windows.
+        over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+        upto = over.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        lead = F.coalesce(F.sum("_sn").over(upto), F.lit(0))
+        if i == 0:
+            placed = totals.select(*keys, "_s", "_sn", lead.alias("_before"), F.sum("_sn").over(over).alias("_total"))
+            figures = placed.select(*keys, "_total").groupBy(*keys).agg(F.max("_total").alias("_total"))
+            ranks = F.array_distinct(F.flatten(F.array(*[_ranks(F.col("_total"), q) for q in qs])))
+        else:
+            placed = totals.join(figured, group).withColumn("_before", F.col("_before") + lead)
+            ranks = F.col("_ranks")
+        end = F.col("_before") + F.col("_sn")
+        here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < end))
+        figured = placed.select(*group, F.col("_s").alias(f"_g{i}"), "_before", here.alias("_ranks")).filter(F.size("_ranks") > 0)
+        group = [*group, f"_g{i}"]
+        named = sliced.withColumnRenamed("_s", f"_g{i}")
+        open_ = named.join(figured.select(*group), group, "left_semi").select(*group, value, "_n")
+    inside = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = open_.join(figured, group).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
+    # At most two ranks per quantile are left of a key.
+    at = ranked.select(*keys, F.explode(hit).alias("_r"), F.col(value).alias("_v")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_set(F.struct("_r", "_v"))).alias("_at")
     )
+    both = at.join(figures, keys) if keys else at.withColumn("_total", figures.select("_total").scalar())
+    one = both.select(*keys, "_at", "_total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    pos = (F.col("_total") - 1) * F.col("q")
+    lo = F.try_element_at("_at", F.floor(pos))
+    hi = F.try_element_at("_at", F.least(F.floor(pos) + 1, F.col("_total") - 1))
+    return one.select(*keys, "q", (lo + (hi - lo) * (pos - F.floor(pos))).alias("at"))
+
+
+def _ranks(total: Column, q: float) -> Column:
+    low = F.floor((total - 1) * q)
+    return F.array(low, F.least(low + 1, total - 1))
+
+
+def _sliced(rows: DataFrame, keys: Sequence[str], value: str, steps: int) -> DataFrame:
+    """Rows with the number of their slice, ``_s``, among ``2**steps`` of their key."""
     cuts = 2**steps
     grid = ", ".join(str(i / cuts) for i in range(1, cuts))
     chosen = F.expr(f"percentile_approx({value}, array({grid}), 20000)").alias("_b")
     if keys:
         # A key's values are spread over salts, each with its copy of the borders.
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-        borders = counted.groupBy(*keys).agg(chosen).select("*", salts)
-        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+        borders = rows.groupBy(*keys).agg(chosen).select("*", salts)
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
         bordered = salted.join(borders, [*keys, "_salt"]).drop("_salt")
     else:
-        bordered = counted.withColumn("_b", counted.agg(chosen).scalar())
-    sliced = _slice_of(bordered, "_b", value, "_s", steps).drop("_b")
-    totals = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn"))
-    # At most 2**steps rows per key reach these windows.
-    over_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    upto = over_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    placed = totals.select(
-        *keys, "_s", "_sn",
-        F.coalesce(F.sum("_sn").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_sn").over(over_key).alias("_total"),
-    )
-
-    def want(q: float) -> Column:
-        pos = (F.col("_total") - 1) * q
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, F.col("_total") - 1)
-        here = (hi >= F.col("_before")) & (lo < F.col("_before") + F.col("_sn"))
-        return F.when(
-            here,
-            F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi"), (pos - lo).alias("frac")),
-        )
-
-    wanted = placed.select(
-        *keys, "_s", "_before", F.array_compact(F.array(*[want(q) for q in qs])).alias("_w")
-    ).filter(F.size("_w") > 0)
-    in_slice = Window.partitionBy(*keys, "_s").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = (
-        sliced.join(wanted, [*keys, "_s"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(in_slice))
-        .select(*keys, F.col(value).alias("_v"), "_n", "_end", F.explode("_w").alias("w"))
-    )
-    start = F.col("_end") - F.col("_n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v")))
-
-    return ranked.groupBy(*keys, F.col("w.q").alias("q")).agg(
-        at(F.col("w.lo")).alias("_lo"), at(F.col("w.hi")).alias("_hi"), F.max("w.frac").alias("_f")
-    ).select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("at"))
-
+        bordered = rows.withColumn("_b", rows.agg(chosen).scalar())
+    return _slice_of(bordered, "_b", value, "_s", steps).drop("_b")

@@ -9,6 +9,7 @@ from questloom.plans import duck as D
 from questloom.plans import fixtures as fx
 from questloom.plans.registry import Tables, query
 from questloom.rules import documents as R
+from questloom.session import kept
 
 fx.define("lab_rows", """
 SELECT event_id, CAST(100 + user_id AS STRING) AS entity_id, value AS m1, CASE WHEN event_type = 'purchase' THEN value * 2 END AS m2,
@@ -64,6 +65,11 @@ def _normal(t: Tables):
     return T.normal_candidates(T.numeric_profile(t.metric_rows, ["k"], "x"), ["k"])
 
 
+@query("metric_profiles", f"""WITH r AS (SELECT 'm1' AS metric, m1 AS x FROM lab_rows UNION ALL SELECT 'm2', m2 FROM lab_rows) {_profile('r', 'metric')}""", ["lab_rows"])
+def metric_profiles(t: Tables):
+    return T.metric_profiles(t.lab_rows, ["m1", "m2"])
+
+
 @query("normal_candidates", f"WITH p AS ({_profile('metric_rows')}) {_bands('p')}", ["metric_rows"])
 def normal_candidates(t: Tables):
     return _normal(t)
@@ -135,14 +141,12 @@ g AS (SELECT s.source_type, s.source, n.n_pos, a.a_pos, n.normal_name, a.abnorma
  LEFT JOIN pr ON pr.entity_id = s.entity_id AND pr.n_pos = n.n_pos AND pr.a_pos = a.a_pos GROUP BY ALL)"""
 
 
-def _grid(t: Tables):
+def _grid(t: Tables, sources=None):
     lab = t.lab_rows
-
-    def bands(m: str):
-        return T.normal_candidates(T.numeric_profile(lab, [], m))
-
-    normal, abnormal = bands("m1"), T.abnormal_candidates(bands("m2"))
-    return T.probe_grid(lab, "entity_id", "m1", "m2", normal, abnormal, _sources(t))
+    bands = kept(T.normal_candidates(T.metric_profiles(lab, ["m1", "m2"]), ["metric"]), "metric_bands")
+    normal = bands.filter(F.col("metric") == "m1").drop("metric")
+    abnormal = T.abnormal_candidates(bands.filter(F.col("metric") == "m2").drop("metric"))
+    return T.probe_grid(lab, "entity_id", "m1", "m2", normal, abnormal, _sources(t) if sources is None else sources)
 
 
 @query("threshold_probe_grid", f"{_GRID} SELECT * FROM g", ["lab_rows", "ward_notes"])
@@ -162,4 +166,5 @@ def threshold_probe_rank(t: Tables):
 SELECT cov.*, normal_name, abnormal_name, best.entity_count AS candidate_count, same_row_count, normal_name IS NOT NULL AS recommended
 FROM cov LEFT JOIN best ON best.source_type = cov.source_type AND best.source = cov.source""", ["lab_rows", "ward_notes"])
 def threshold_recommendation(t: Tables):
-    return T.recommendation(T.rank_probes(_grid(t), 1), T.source_coverage(_sources(t)))
+    sources = kept(_sources(t), "population_sources")
+    return T.recommendation(T.rank_probes(_grid(t, sources), 1), T.source_coverage(sources))

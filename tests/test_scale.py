@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from questloom.functions import groups as G
 from questloom.operators import traces as R
+from questloom.operators import thresholds as T
 from questloom.operators import verify as V
 from questloom.plans.catalogue import QUERIES
 from questloom.sources import tables as TB
@@ -62,6 +63,40 @@ def test_quantiles_are_exact(spark, kind):
         assert got[q] == pytest.approx(np.quantile(x, q), rel=1e-12)
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_quantiles_by_repeated_slices(spark, rounds):
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(0, 5, 900), "b": np.round(np.exp(rng.normal(0, 2, 900)), 1), "c": np.array([7.0])}
+    rows = [(k, float(v)) for k, xs in data.items() for v in xs]
+    df = spark.createDataFrame([*rows, ("a", None), ("d", None)], "k string, x double")
+    counted = df.groupBy("k", "x").agg(F.count("*").alias("n"))
+    qs = [0.05, 0.5, 0.9]
+    plain = G.exact_quantiles(df, ["k"], "x", qs, steps=2, rounds=rounds).collect()
+    weighed = G.exact_quantiles(counted, ["k"], "x", qs, steps=2, rounds=rounds, weight="n").collect()
+    for rows in (plain, weighed):
+        got = {(r.k, r.q): r["at"] for r in rows}
+        assert set(got) == {(k, q) for k in data for q in qs}
+        for k, q in got:
+            assert got[k, q] == pytest.approx(np.quantile(data[k], q), rel=1e-12)
+
+
+def test_metrics_profiled_together(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(100, 5, 600), rng.integers(0, 9, 600)
+    df = spark.createDataFrame(
+        [(float(a), f"{b},000", "n/a") for a, b in zip(x, y)] + [(None, "", None), (float("inf"), "z", None)],
+        "x double, y string, z string",
+    )
+    monkeypatch.setattr(T, "RANKED", 1)
+    got = {r.metric: r for r in T.metric_profiles(df, ["x", "y", "z"]).collect()}
+    assert set(got) == {"x", "y"}
+    for name, v in (("x", x), ("y", y * 1000.0)):
+        r = got[name]
+        assert r["count"] == 600 and r["p90"] == pytest.approx(np.quantile(v, 0.9), abs=1e-5)
+        assert (r["mean"], r["std"], r["max"]) == pytest.approx((v.mean(), v.std(), v.max()), abs=1e-5)
+    assert T.metric_profiles(df.limit(0), ["x", "y"]).collect() == []
+
+
 def test_identical_columns_need_equal_sets(spark):
     data = [(1, r, c, v) for r in range(4) for c, v in ((0, f"a{r}"), (1, f"a{3 - r}"), (2, f"a{min(r, 2)}"))]
     data += [(2, 0, c, "same") for c in range(2000)]
