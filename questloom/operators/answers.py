@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.functions.values import (
@@ -17,13 +17,22 @@ from questloom.functions.values import (
 from questloom.rules import shapes as R
 
 
+#: Rows of an answer that meet the answer's figures in one task.
+SLICE = 1 << 16
+
+
+def _slice() -> Column:
+    return F.floor(F.col("row_idx") / SLICE).alias("_slice")
+
+
 def normalise_cells(cells: DataFrame) -> DataFrame:
     """Trim, blank the missing tokens and pad short rows to the task's width.
 
     The only per-row array holds the row's own cells. Of a cell given twice the least
-    value stays.
+    value stays. Rows meet the width by slices of an answer, so a long one is spread.
     """
-    width = cells.groupBy("task_id").agg((F.max("col_idx") + 1).alias("_w"))
+    slices = cells.groupBy("task_id", _slice()).agg((F.max("col_idx") + 1).alias("_w"))
+    width = slices.select("task_id", "_slice", F.max("_w").over(Window.partitionBy("task_id")).alias("_w"))
     once = cells.groupBy("task_id", "row_idx", "col_idx").agg(F.min("v").alias("v"))
     row = once.groupBy("task_id", "row_idx").agg(
         F.map_from_entries(
@@ -31,7 +40,7 @@ def normalise_cells(cells: DataFrame) -> DataFrame:
         ).alias("_m")
     )
     return (
-        row.join(width, "task_id")
+        row.withColumn("_slice", _slice()).join(width, ["task_id", "_slice"])
         .select("task_id", "row_idx", "_m", F.explode(F.expr("sequence(0, _w - 1)")).alias("col_idx"))
         .select(
             "task_id", "row_idx", "col_idx",
@@ -76,16 +85,17 @@ def split_full_name(df: DataFrame, column: str) -> DataFrame:
 def prune_to_column(cells: DataFrame, keep: DataFrame) -> DataFrame:
     """Keep one named column per task; a task whose header lacks it stays whole.
 
-    ``cells`` carries ``col_name``; ``keep`` is ``(task_id, keep_column)``.
+    ``cells`` carries ``col_name``; ``keep`` is ``(task_id, keep_column)``. Cells meet
+    their task's choice by slices of an answer, so a long one is spread.
     """
     named = F.lower(F.trim("col_name"))
     wanted = keep.select("task_id", F.lower(F.trim("keep_column")).alias("_keep"))
-    have = cells.select("task_id", named.alias("_keep")).distinct().join(
-        wanted, ["task_id", "_keep"]
-    )
+    seen = cells.select("task_id", _slice(), named.alias("_keep")).distinct()
+    found = seen.select("task_id", "_keep").distinct().join(wanted, ["task_id", "_keep"])
+    choice = seen.select("task_id", "_slice").distinct().join(found, "task_id")
     return (
-        cells.join(have, "task_id", "left")
-        .filter(F.col("_keep").isNull() | (named == F.col("_keep"))).drop("_keep")
+        cells.withColumn("_slice", _slice()).join(choice, ["task_id", "_slice"], "left")
+        .filter(F.col("_keep").isNull() | (named == F.col("_keep"))).select(*cells.columns)
     )
 
 
@@ -110,16 +120,18 @@ def strip_percent(cells: DataFrame) -> DataFrame:
 def shape_check(cells: DataFrame) -> DataFrame:
     """Rows per task, its width, and how many rows are not that wide.
 
-    ``row_idx`` -1 holds the header; without one the widest row is taken.
+    ``row_idx`` -1 holds the header; without one the widest row is taken. Rows of one
+    width are counted together before the task's figures are taken from them.
     """
+    body = F.col("row_idx") >= 0
     rows = cells.groupBy("task_id", "row_idx").agg(F.count(F.lit(1)).alias("w"))
-    width = rows.groupBy("task_id").agg(
-        F.coalesce(F.max(F.when(F.col("row_idx") < 0, F.col("w"))), F.max("w")).alias("width")
-    )
-    out = rows.filter(F.col("row_idx") >= 0).join(width, "task_id").groupBy("task_id", "width").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("w") != F.col("width")).alias("bad_rows")
+    alike = rows.groupBy("task_id", "w").agg(F.count_if(body).alias("n"), F.max(~body).alias("head"))
+    task = Window.partitionBy("task_id")
+    width = F.coalesce(F.max(F.when(F.col("head"), F.col("w"))).over(task), F.max("w").over(task))
+    out = alike.withColumn("width", width).groupBy("task_id", "width").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("w") != F.col("width"), F.col("n")).otherwise(0)).alias("bad_rows")
     )
-    return out.withColumn("ok", F.col("bad_rows") == 0)
+    return out.filter(F.col("rows") > 0).withColumn("ok", F.col("bad_rows") == 0)
 
 
 def requests_many_fields(q: Column) -> Column:

@@ -18,6 +18,7 @@ from questloom.functions.rules import squash_space
 from questloom.functions.values import any_contains, to_number, trimmed
 from questloom.operators.answers import too_precise
 from questloom.rules import wording as R
+from questloom.sources.files import file_sizes
 
 # Fixed values.
 NON_ISO_DATE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"
@@ -78,21 +79,30 @@ def readability(
     def file_name(c: Column) -> Column:
         return F.element_at(F.split(c, "/"), level)
 
-    sizes = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .groupBy(file_name(F.col("path")).alias(name)).agg(F.sum("length").alias("length"))
-    )
+    sizes = file_sizes(spark, folder).groupBy(file_name(F.col("path")).alias(name)).agg(F.sum("size").alias("length"))
     lines = (
         spark.read.option("recursiveFileLookup", "true").text(folder)
         .groupBy(file_name(F.col("_metadata.file_path")).alias(name))
         .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     )
     out = expected.select(name).join(sizes, name, "left").join(lines, name, "left")
+    return out.select(name, *_readable())
+
+
+def line_readability(lines: DataFrame, expected: DataFrame, name: str, value: str) -> DataFrame:
+    """``readability`` of answers kept many to a file: rows ``(name, value)``, one per line."""
+    seen = lines.groupBy(name).agg(
+        F.sum(F.octet_length(F.coalesce(value, F.lit("")))).alias("length"), F.bool_and(F.is_valid_utf8(value)).alias("utf8")
+    )
+    return expected.select(name).join(seen, name, "left").select(name, *_readable())
+
+
+def _readable() -> list[Column]:
     detail = (
         F.when(F.col("length").isNull(), F.lit("missing")).when(F.col("length") == 0, F.lit("empty"))
         .when(~F.col("utf8"), F.lit("not UTF-8")).otherwise(F.lit("readable"))
     )
-    return out.select(name, F.lit("readability_check").alias("check"), (detail == "readable").alias("passed"), detail.alias("detail"))
+    return [F.lit("readability_check").alias("check"), (detail == "readable").alias("passed"), detail.alias("detail")]
 
 
 def gather(**parts: DataFrame) -> DataFrame:

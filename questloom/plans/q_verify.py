@@ -52,13 +52,17 @@ def answer_precheck(t: Tables):
 @query("verify_readable", """SELECT DISTINCT 'task_id=' || task_id AS answer, 'readability_check' AS "check", TRUE AS passed, 'readable' AS detail FROM check_cells
 UNION ALL SELECT r_name, 'readability_check', FALSE, 'missing' FROM region""", _BASE)
 def verify_readable(t: Tables):
-    """Answers written one folder per task, and names that no answer has."""
+    """Answers written as lines of few files, each behind its name, and names that no answer has."""
     folder = scratch(t, "predictions")
-    rows = t.check_cells.select("task_id", F.concat_ws(",", "row_idx", "v").alias("value"))
-    rows.write.mode("overwrite").partitionBy("task_id").text(folder)
-    names = t.check_cells.select(F.concat(F.lit("task_id="), F.col("task_id").cast("string")).alias("answer")).distinct()
+    name = F.concat(F.lit("task_id="), F.col("task_id").cast("string"))
+    rows = t.check_cells.select(F.concat_ws("\t", name, F.concat_ws(",", "row_idx", "v")).alias("value"))
+    rows.write.mode("overwrite").text(folder)
+    lines = t.spark.read.text(folder).select(
+        F.substring_index("value", "\t", 1).alias("answer"), F.expr("substr(value, instr(value, '\t') + 1)").alias("line")
+    )
+    names = t.check_cells.select(name.alias("answer")).distinct()
     lost = t.region.select(F.col("r_name").alias("answer"))
-    return V.readability(t.spark, folder, names.unionByName(lost), "answer", level=-2)
+    return V.line_readability(lines, names.unionByName(lost), "answer", "line")
 
 
 _CONTRACT = """hn AS (SELECT task_id, trim(name) AS name, count(*) AS k FROM check_headers GROUP BY 1, 2),

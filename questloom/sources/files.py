@@ -25,12 +25,28 @@ def kind_of(path: Column) -> Column:
     return out
 
 
-def catalogue(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
-    """Files below ``root`` with relative path, kind and size; the content is never read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", F.col("length").alias("size"))
+def file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Path and size of every file below ``root``; the content is never read.
+
+    A scan leaves out files without bytes, so the paths come from the list that Spark's
+    file index holds on the driver anyway; the sizes come from the scan.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    jvm = spark.sparkContext._jvm
+    paths = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles())
+    listed = DataFrame(spark._jsparkSession.createDataset(paths, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # The list holds encoded addresses, the scan plain paths.
+    plain = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    one = lambda c: F.regexp_replace(c, "^([^:/]+):///", "$1:/")
+    sizes = scan.select(one(F.col("path")).alias("path"), "length")
+    return listed.select(one(plain).alias("path")).join(sizes, "path", "left").select(
+        "path", F.coalesce("length", F.lit(0)).alias("size")
     )
+
+
+def catalogue(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
+    """Files below ``root`` with relative path, kind and size, empty ones included."""
+    files = file_sizes(spark, root)
     base = root.rstrip("/") + "/"
     rel = F.substring_index("path", base, -1)
     return (

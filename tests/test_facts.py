@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from questloom.operators import answers as A
 from questloom.operators import traces as R
 from questloom.operators import verify as V
+from questloom.sources.files import catalogue
 
 REPORT = "task_id long, check string, passed boolean, detail string"
 CONTRACTS = "task_id long, expected_columns array<string>, expected_column_count long, min_rows long, max_rows long, exact_columns boolean"
@@ -90,3 +92,44 @@ def test_one_shuffle_of_cells_and_one_of_steps(spark):
     assert "Join" not in tree
     # Cells by row, rows by mark, rows by task; headers; steps; the meeting of all parts.
     assert exchanges(seen) == 6
+
+
+def test_readable_files_and_lines(spark, tmp_path):
+    for name, data in {"a": b"x,1\ny", "b": b"", "c": b"ok\n\xff\xfe"}.items():
+        (tmp_path / name).write_bytes(data)
+    expected = spark.createDataFrame([(n,) for n in "abcd"], "answer string")
+    want = {"a": "readable", "b": "empty", "c": "not UTF-8", "d": "missing"}
+    files = V.readability(spark, str(tmp_path), expected, "answer").collect()
+    assert {r.answer: r.detail for r in files} == want and [r.answer for r in files if r.passed] == ["a"]
+    lines = spark.read.text(str(tmp_path)).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("answer"), "value")
+    empty = spark.createDataFrame([("b", "")], "answer string, value string")
+    got = V.line_readability(lines.unionByName(empty), expected, "answer", "value").collect()
+    assert {r.answer: r.detail for r in got} == want
+
+
+def test_long_answers_meet_their_figures_by_slices(spark):
+    n = 3 * A.SLICE
+    rows = spark.range(0, n, A.SLICE // 2).select(F.lit(1).alias("task_id"), F.col("id").alias("row_idx"))
+    cells = rows.select("*", F.lit(0).alias("col_idx"), F.lit(" null ").alias("v")).unionByName(
+        spark.createDataFrame([(1, n - 1, 2, "x"), (2, 0, 0, "y"), (1, -1, 0, "h"), (1, -1, 1, "h")], "task_id int, row_idx long, col_idx int, v string")
+    )
+    got = A.normalise_cells(cells)
+    assert got.filter("task_id = 1").count() == 3 * 8 and got.filter("task_id = 2").collect()[0].v == "y"
+    assert got.filter("task_id = 1 and row_idx = 0").select("v").distinct().collect()[0].v == ""
+    named = cells.withColumn("col_name", F.concat(F.lit(" C"), "col_idx"))
+    keep = spark.createDataFrame([(1, "c2"), (2, "c9")], "task_id int, keep_column string")
+    kept = A.prune_to_column(named, keep)
+    assert kept.columns == named.columns
+    assert sorted((r.task_id, r.v) for r in kept.collect()) == [(1, "x"), (2, "y")]
+    shape = {r.task_id: (r.width, r.rows, r.bad_rows, r.ok) for r in A.shape_check(cells).collect()}
+    assert shape == {1: (2, 7, 7, False), 2: (1, 1, 0, True)}
+
+
+def test_catalogue_lists_empty_files_and_odd_names(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    for name, data in {"a b+c%d.csv": b"x", "none.json": b"", "sub dir/\u00e9.txt": b"yy"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path: (r.size, r.kind) for r in catalogue(spark, str(tmp_path)).collect()}
+    assert {p: s for p, (s, _) in got.items()} == {"a b+c%d.csv": 1, "none.json": 0, "sub dir/\u00e9.txt": 2}
+    (tmp_path / "nothing").mkdir()
+    assert catalogue(spark, str(tmp_path / "nothing")).count() == 0
