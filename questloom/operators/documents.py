@@ -55,10 +55,24 @@ def search(
 
 def entity_id(p: Column, hint: str) -> Column:
     """First id found by the ordered patterns around a hint word."""
+    return F.when(p.rlike("[0-9]"), bound(F.lower(p), lambda low: F.coalesce(*_id_tries(p, low, hint))))
+
+
+def _held(low: Column, words: Sequence[str]) -> Column:
+    """False where lower-case text holds none of the words; a word that is not ASCII counts as held.
+
+    Patterns that ignore case do so for ASCII letters only, so they fit no text this rules out.
+    """
+    return any_contains(low, words) if words and all(w.isascii() for w in words) else F.lit(True)
+
+
+def _id_tries(p: Column, low: Column, hint: str) -> list[Column]:
     import re
 
-    hinted = R.HINTED_ID.replace("{hint}", re.escape(hint.strip() or "patient"))
-    return F.when(p.rlike("[0-9]"), F.coalesce(*[_hit(p, x) for x in (hinted, *R.PLAIN_IDS)]))
+    said = hint.strip() or "patient"
+    hinted = R.HINTED_ID.replace("{hint}", re.escape(said))
+    every = [(hinted, (said.lower(),)), *zip(R.PLAIN_IDS, R.PLAIN_ID_WORDS, strict=True)]
+    return [F.when(_held(low, words), _hit(p, x)) for x, words in every]
 
 
 def entity_id_any(p: Column, hint: str) -> Column:
@@ -66,9 +80,13 @@ def entity_id_any(p: Column, hint: str) -> Column:
 
     Only the first pattern depends on the hint, so the others are tried once.
     """
-    others = [R.HINTED_ID.replace("{hint}", h) for h in R.ID_HINTS if h != hint]
-    more = [_hit(p, x) for x in (*others, R.COMPACT_ID)]
-    return F.when(p.rlike("[0-9]"), F.coalesce(entity_id(p, hint), *more))
+    others = [(R.HINTED_ID.replace("{hint}", h), (h,)) for h in R.ID_HINTS if h != hint]
+
+    def tried(low: Column) -> Column:
+        more = [F.when(_held(low, words), _hit(p, x)) for x, words in (*others, (R.COMPACT_ID, R.COMPACT_ID_WORDS))]
+        return F.coalesce(*_id_tries(p, low, hint), *more)
+
+    return F.when(p.rlike("[0-9]"), bound(F.lower(p), tried))
 
 
 def best_sentence(p: Column, term: str) -> Column:
@@ -129,45 +147,69 @@ def field_value(s: Column, names: Sequence[str]) -> Column:
 
     ``names`` are all names of the field; a longer one is tried before one it may contain.
     """
+    return bound(F.lower(s), lambda low: _field_value(s, low, names))
+
+
+def _field_value(s: Column, low: Column, names: Sequence[str]) -> Column:
+    """As :func:`field_value`. A pattern is tried only where the words it needs stand."""
     terms = sorted(set(names), key=lambda n: (-len(n), n))
-    low = F.lower(s)
-    fixed = F.when(any_contains(low, R.CORRECTIONS), 8).otherwise(0)
-    held = F.when(low.contains("placeholder") & low.contains("field"), 5).otherwise(0)
-    tries: list[tuple[Column, Column]] = []
-    for name in terms:
-        if name in R.PLACEHOLDER_FIELDS:
-            tries.append((_hit(s, R.placeholder_field(name)), F.lit(80) + held))
-    for name in terms:
-        for pattern in R.corrected_field(R.worded(name)):
-            tries.append((_last(s, pattern), F.lit(90) + fixed))
-    for name in terms:
-        for pattern in R.direct_field(R.worded(name), name):
-            tries.append((_hit(s, pattern), F.lit(60) + fixed))
-    tries.append((_last(s, f"({R.NUMBER})"), F.lit(20) + fixed))
+
+    def told(name: str) -> Column:
+        out = F.lit(True)
+        for word in name.lower().split():
+            out = out & _held(low, (word,))
+        return out
+
+    def tried(corrected: Column) -> Column:
+        fixed = F.when(corrected, 8).otherwise(0)
+        held = F.when(low.contains("placeholder") & low.contains("field"), 5).otherwise(0)
+        tries: list[Column] = []
+
+        def add(may: Column, v: Column, conf: Column) -> None:
+            tries.append(F.when(may, bound(v, lambda x: packed(x, conf))))
+
+        for name in terms:
+            if name in R.PLACEHOLDER_FIELDS:
+                add(told(name) & _held(low, R.PLACEHOLDER_WORDS), _hit(s, R.placeholder_field(name)), F.lit(80) + held)
+        for name in terms:
+            for pattern in R.corrected_field(R.worded(name)):
+                add(told(name) & corrected, _last(s, pattern), F.lit(90) + fixed)
+        for name in terms:
+            for pattern, words in zip(R.direct_field(R.worded(name), name), R.DIRECT_WORDS):
+                add(told(name) & _held(low, words), _hit(s, pattern), F.lit(60) + fixed)
+        add(F.lit(True), _last(s, f"({R.NUMBER})"), F.lit(20) + fixed)
+        return F.coalesce(*tries)
 
     def packed(v: Column, conf: Column) -> Column:
         return F.when(
             v.isNotNull(), F.struct(conf.alias("confidence"), v.try_cast("double").alias("value"))
         )
 
+    some = F.lit(False)
+    for name in terms:
+        some = some | told(name)
     named = "(?i)" + "|".join(R.worded(n) for n in terms)
-    return F.when(s.rlike(named), F.coalesce(*[packed(v, c) for v, c in tries]))
+    # Every pattern ends in a number.
+    return F.when(some & s.rlike("[0-9]") & s.rlike(named), bound(any_contains(low, R.CORRECTIONS), tried))
 
 
-def _best_field(p: Column, names: Sequence[str]) -> Column:
+def _sentences(p: Column) -> Column:
+    """The sentences of a paragraph, each with its lower-case form."""
+    said = F.filter(F.transform(F.split(p, R.SENTENCE_GAP), lambda x: trimmed(x)), lambda x: x != "")
+    return F.transform(said, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+
+
+def _best_field(sentences: Column, names: Sequence[str]) -> Column:
     """Best sentence of a paragraph for a field: highest confidence, earliest sentence."""
-    sentences = F.filter(
-        F.transform(F.split(p, R.SENTENCE_GAP), lambda x: trimmed(x)), lambda x: x != ""
-    )
     scored = F.transform(
         sentences,
-        lambda s, i: bound(
-            field_value(s, names),
+        lambda x, i: bound(
+            _field_value(x["s"], x["low"], names),
             lambda fv: F.when(
                 fv.isNotNull(),
                 F.struct(
                     fv["confidence"].alias("confidence"), (-i).alias("order"),
-                    fv["value"].alias("value"), squeeze(s, 260).alias("snippet"),
+                    fv["value"].alias("value"), squeeze(x["s"], 260).alias("snippet"),
                 ),
             ),
         ),
@@ -178,9 +220,9 @@ def _best_field(p: Column, names: Sequence[str]) -> Column:
 def field_values(df: DataFrame, doc: str, text: str, fields: Mapping[str, Sequence[str]], hint: str) -> DataFrame:
     """Candidate values: one row per entity paragraph and field; ``fields`` gives all names of each."""
     p = F.col("paragraph")
-    found = F.array(
-        *[F.struct(F.lit(field).alias("field"), _best_field(p, names).alias("b")) for field, names in fields.items()]
-    )
+    found = bound(_sentences(p), lambda x: F.array(
+        *[F.struct(F.lit(field).alias("field"), _best_field(x, names).alias("b")) for field, names in fields.items()]
+    ))
     known = F.col("entity_id").isNotNull()
     return (
         paragraphs(df, text, keep=[doc]).filter(p.rlike("[0-9]"))

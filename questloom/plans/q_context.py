@@ -18,7 +18,7 @@ fx.define("json_docs", """
 SELECT 'json/order-' || CAST(o_orderkey AS STRING) || '.json' AS path, '{"table":"orders","records":[{"id":' || CAST(o_orderkey AS STRING) || ',"status":"' || o_orderstatus || '"},{"id":' || CAST(o_orderkey + 1 AS STRING) || ',"status":null}]}' AS v FROM orders
 UNION ALL SELECT 'json/customer-' || CAST(c_custkey AS STRING) || '.json', '[{"id":' || CAST(c_custkey AS STRING) || ',"status":"L"},7,"x"]' FROM customer
 UNION ALL SELECT 'json/' || CAST(s_suppkey AS STRING) || '.json', '{"name":"' || s_name || '","tags":["a","b"],"at":{"nation":' || CAST(s_nationkey AS STRING) || '}}' FROM supplier
-UNION ALL SELECT 'json/part-' || CAST(p_partkey AS STRING) || '.json', '{"name":' FROM part""", ("orders", "customer", "supplier", "part"))
+UNION ALL SELECT 'json/part-' || CAST(p_partkey AS STRING) || '.json', '{"name":' FROM part""", ("orders", "customer", "supplier", "part"), ("orders", "customer"))
 
 #: Tables whose cells read the same as text on both engines, with their columns.
 _TABLES = {

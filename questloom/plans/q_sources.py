@@ -26,7 +26,7 @@ fx.define("mixed_json", """
 SELECT id, v FROM json_wrapped
 UNION ALL SELECT c_custkey, '[{"id":' || CAST(c_custkey AS STRING) || ',"status":"L"},7,"x"]' FROM customer
 UNION ALL SELECT s_suppkey, '{"other":1}' FROM supplier
-UNION ALL SELECT -1, repeat('{"k":', 200) || '"' || repeat('x', 20000) || '"' || repeat('}', 200)""", ("json_wrapped", "customer", "supplier"))
+UNION ALL SELECT -1, repeat('{"k":', 200) || '"' || repeat('x', 20000) || '"' || repeat('}', 200)""", ("json_wrapped", "customer", "supplier"), ("customer",))
 
 fx.define("context_files", """
 SELECT c_custkey AS task_id, 'csv/' || c_mktsegment || '-' || CAST(c_nationkey AS STRING) || '.csv' AS path FROM customer

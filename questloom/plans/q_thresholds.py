@@ -13,14 +13,14 @@ from questloom.session import kept
 
 fx.define("lab_rows", """
 SELECT event_id, CAST(100 + user_id AS STRING) AS entity_id, value AS m1, CASE WHEN event_type = 'purchase' THEN value * 2 END AS m2,
- CASE WHEN event_type = 'view' THEN 'F' ELSE 'male' END AS sex, event_type FROM events""", ("events",))
+ CASE WHEN event_type = 'view' THEN 'F' ELSE 'male' END AS sex, event_type FROM events""", ("events",), ("events",))
 
 fx.define("ward_notes", """
 SELECT c_custkey AS doc_id, 'ward_' || CAST(c_nationkey % 3 AS STRING) AS source,
  'Patient ' || CAST(100 + c_custkey AS STRING) || ' is a ' || CASE WHEN c_nationkey % 2 = 0 THEN 'female' ELSE 'Male' END || ' adult.' || chr(10) || chr(10) ||
  'The subject ' || CAST(101 + c_custkey AS STRING) || ' left early. The woman known as Patient ' || CAST(100 + c_custkey % 7 AS STRING) || ' stayed! A man identified as ' || CAST(103 + c_custkey AS STRING) || ' too.' ||
  chr(10) || ' ' || chr(10) || 'The normal balance lies between ' || CAST(c_nationkey AS STRING) || ' and 900.5, level -3.' AS text
-FROM customer""", ("customer",))
+FROM customer""", ("customer",), ("customer",))
 
 _QS = ", ".join(f"round(quantile_cont(x, {q}), 6) AS {n}" for n, q in T.QUANTILES)
 
