@@ -37,6 +37,8 @@ CLASSES = (2, 32, 512, 8192)
 BITMAP_BITS = 26
 #: Bits of a hash that are counted; bits beyond decide nothing but the order inside a class.
 KEY_BITS = 40
+#: Partitions in which the bitmaps reach the driver: 2 MiB each.
+PARTS = 16
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -210,8 +212,12 @@ def profile(docs: DataFrame, n: int, text: str = "text", id_col: str = "doc_id",
 
 
 def class_bitmaps(profiled: DataFrame) -> np.ndarray:
-    """The class bitmaps, ``len(CLASSES)`` rows of ``2**BITMAP_BITS`` bits: a fixed size."""
-    rows = profiled.filter(F.col("piece").isNotNull()).select("piece", "bits")
+    """The class bitmaps, ``len(CLASSES)`` rows of ``2**BITMAP_BITS`` bits: a fixed size.
+
+    The JVM holds several copies of the partition that it hands over, so the pieces, which
+    may lie in one file, come in ``PARTS`` partitions.
+    """
+    rows = profiled.filter(F.col("piece").isNotNull()).select("piece", "bits").repartition(PARTS)
     out = np.zeros((len(CLASSES), 1 << (BITMAP_BITS - 3)), np.uint8)
     for r in rows.toLocalIterator():
         size = len(r["bits"])
@@ -350,7 +356,8 @@ def later_pairs(index: DataFrame, labels: DataFrame, sketches: DataFrame, percen
         .filter(F.col("all") > F.col("top.m"))
         .select("token", F.col("top.label").alias("most"), (F.col("all") - F.col("top.m")).alias("rest"))
     )
-    member = named.join(open_, "token").join(sketches, "id")
+    # Six sides of joins read it: a plan that held its joins six times would fill the driver.
+    member = written(named.join(open_, "token").join(sketches, "id"), "open-lists")
     apart = (F.col("l.label") != F.col("r.label")) & _close("l.n", "r.n", percent) & _near("l", "r", percent)
     pair = [F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")]
     light = member.filter(F.col("rest") <= few)
@@ -401,7 +408,7 @@ def near_duplicates(
         labels = components(linked.union(more))
     # The least document of each set, then of each component: one row per set.
     least = rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = written(least.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "set-labels")
     whole = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = named.join(whole, "label").select("id", "component_id")
     return rows.join(by_set, "id", "left").select(

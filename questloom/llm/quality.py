@@ -386,11 +386,13 @@ def _verdicts(
     for models in sent:
         models.destroy()
     centre = centres(measured, min_docs, lang).select(F.col("lang").alias("_at_lang"), F.col("_class").alias("_at_class"), "_from", "mid")
+    # Small tables are written, so that no plan holds the ones before it, over and over.
+    centre = written(centre, "centres")
     placed = _beside(measured, centre, [(lang, "_at_lang"), ("_class", "_at_class")], salts)
     # The figure of a short text strays further: deviations count by the fourth root of its length.
     scale = F.pow(F.col("_len") / F.pow(F.lit(4.0), F.coalesce("_from", "_class") + 0.5), F.lit(0.25))
     placed = placed.withColumn("away", (F.col("log_ppl") - F.col("mid")) * scale)
-    limits = bands(placed.select(F.col(lang).alias("lang"), "_class", "_from", "away"), least)
+    limits = written(bands(placed.select(F.col(lang).alias("lang"), "_class", "_from", "away"), least), "bands")
     usual = limits.agg(F.avg("low").alias("u_low"), F.avg("high").alias("u_high"))
     limits = limits.select(F.col("lang").alias("_in_lang"), F.col("_from").alias("_in_class"), "low", "high")
     joined = _beside(placed, limits, [(lang, "_in_lang"), ("_from", "_in_class")], salts)
