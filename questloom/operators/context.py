@@ -7,15 +7,16 @@ aggregate for every kind, and one job serves any number of files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from questloom.functions.values import to_number, trimmed
+from questloom.functions.values import SPACES, number_of, to_number, trimmed
 from questloom.operators import profile as P
-from questloom.sources.files import normalise_records
+from questloom.sources.files import record_items
 from questloom.sources.tables import safe_name_column
 
 CELL = ("path", "type", "ordinal", "column", "value")
@@ -33,58 +34,70 @@ DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 # CSV --------------------------------------------------------------------------
 
-def source_path(root: str) -> Column:
-    """Path below ``root``; the part files of one written folder are one source."""
-    rel = F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), root.rstrip("/") + "/", -1)
+def source_path(file: Column, root: str) -> Column:
+    """Path of a file below ``root``; the part files of one written folder are one source."""
+    rel = F.substring_index(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), root.rstrip("/") + "/", -1)
     return F.regexp_replace(rel, r"/part-[^/]*$", "")
 
 
 def csv_lines(spark: SparkSession, root: str, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """``(header, body)`` of all CSV files below ``root`` in one scan each.
+    """``(files, body)`` of all CSV files below ``root`` in one scan each.
 
-    ``header`` has ``path, head``, one row per source; ``body`` has ``path, line``. The header
-    of a file is the first line of its first split, so files stay splittable. A cell may not
-    hold a line break; a byte order mark is dropped.
+    ``files`` has ``_file, path, head``, one row per file with the header of its source; ``body``
+    has ``_file, line``, so the path is made once per file, not per line. The header of a file
+    is the first line of its first split, so files stay splittable. A cell may not hold a line
+    break; a byte order mark is dropped.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-        .select(
-            source_path(root).alias("path"), F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"),
-        )
+        .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"))
     )
     at = F.monotonically_increasing_id()
-    first = (
-        lines.withColumn("_at", at).filter(F.col("_start") == 0).groupBy("path", "_file")
-        .agg(F.min_by(F.regexp_replace("line", "^\ufeff", ""), "_at").alias("head"))
-    )
-    header = first.groupBy("path").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("files"))
-    return header, lines.select("path", "line")
+    first = lines.withColumn("_at", at).filter(F.col("_start") == 0).groupBy("_file").agg(F.min_by("line", "_at").alias("head"))
+    files = first.select("_file", source_path(F.col("_file"), root).alias("path"), F.regexp_replace("head", "^\ufeff", "").alias("head"))
+    head = F.min("head").over(Window.partitionBy("path"))
+    return files.withColumn("head", head), lines.select("_file", "line")
 
 
 def _split_csv(c: Column, width: int) -> Column:
     """The cells of a CSV line; empty and missing ones are null, those past ``width`` are not read."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    row = F.from_csv(c, F.lit(schema), {"mode": "PERMISSIVE", "escape": '"'})
+    row = _csv_row(c, width)
     return F.array(*[row[f"c{i}"] for i in range(width)])
 
 
+def _csv_row(c: Column, width: int) -> Column:
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return F.from_csv(c, F.lit(schema), {"mode": "PERMISSIVE", "escape": '"'})
+
+
+def _split_lines(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``_cells``, the cells of ``line``: only lines with a quote need a CSV parser, each once."""
+    line = F.col("line")
+    plain = ~line.contains('"') & ~line.contains("\x00") & (F.ltrim(line) != "")
+    parsed = F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    return rows.withColumn("_row", F.when(~plain, _csv_row(line, width))).withColumn(
+        "_cells", F.when(plain, F.split(line, ",", -1)).otherwise(parsed)
+    ).drop("_row")
+
+
 #: Headers up to this many characters in all are sent to every task; more are joined.
 SMALL_HEADERS = 8_000_000
 
 
-def _headed(header: DataFrame, body: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _headed(files: DataFrame, body: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """``(heads, rows, width)``: headers with their names, lines that are no header, widest header.
 
     The driver sees two numbers. Headers of a proven size go to the lines; beyond it both are
-    shuffled by path and hot paths are left to the skew join.
+    shuffled by file and hot files are left to the skew join.
     """
     commas = F.length("head") - F.length(F.replace("head", F.lit(","), F.lit("")))
-    most, size = header.agg(F.max(commas), F.sum(F.length("head") + F.length("path"))).first()
+    most, size = files.agg(F.max(commas), F.sum(F.length("head") + F.length("path") + F.length("_file"))).first()
     width = (most or 0) + 1
-    heads = header.select("path", "head", F.filter(_split_csv(F.col("head"), width), lambda x: x.isNotNull()).alias("names"))
+    named = F.transform(F.filter(_split_csv(F.col("head"), width), lambda x: x.isNotNull()), trimmed)
+    heads = files.select("_file", "path", "head", named.alias("names"))
     side = F.broadcast(heads) if (size or 0) <= SMALL_HEADERS else heads
-    return heads, body.join(side, "path").filter((F.col("line") != F.col("head")) & (F.col("line") != "")), width
+    rows = body.join(side, "_file").filter((F.col("line") != F.col("head")) & (F.col("line") != "")).drop("_file")
+    return heads.select("path", "head", "names").distinct(), rows, width
 
 
 def csv_cells(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
@@ -95,9 +108,10 @@ def csv_cells(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     gives no cells.
     """
     _, rows, width = _headed(*csv_lines(spark, root, glob))
-    cells = F.arrays_zip(F.transform("names", trimmed).alias("name"), F.slice(_split_csv(F.col("line"), width), F.lit(1), F.size("names")).alias("value"))
-    return rows.select("path", F.posexplode(cells).alias("ordinal", "_c")).select(
-        "path", F.lit("csv").alias("type"), "ordinal", F.col("_c.name").alias("column"), F.col("_c.value").alias("value")
+    cells = F.arrays_zip(F.col("names").alias("name"), F.slice("_cells", F.lit(1), F.size("names")).alias("value"))
+    return _split_lines(rows, width).select("path", F.posexplode(cells).alias("ordinal", "_c")).select(
+        "path", F.lit("csv").alias("type"), "ordinal", F.col("_c.name").alias("column"),
+        F.when(F.col("_c.value") != "", F.col("_c.value")).alias("value"),
     )
 
 
@@ -105,27 +119,73 @@ def csv_cells(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
 
 def table_cells(name: str, df: DataFrame) -> DataFrame:
     """Cells of a table; arrays, maps and structs as JSON text."""
-    def text(f) -> Column:
+    return _cells(name, df, list(enumerate(df.schema.fields)))
+
+
+def _cells(name: str, df: DataFrame, fields: Sequence[tuple[int, StructField]]) -> DataFrame:
+    def text(f: StructField) -> Column:
         c = F.col(f"`{f.name}`")
         return F.to_json(c) if f.dataType.typeName() in ("array", "map", "struct") else c.cast("string")
 
     cells = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), text(f).alias("value"))
-        for i, f in enumerate(df.schema.fields)
+        F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), text(f).alias("value")) for i, f in fields
     ])
     return df.select(F.lit(name).alias("path"), F.lit("table").alias("type"), F.inline(cells))
 
 
+# Types of few bytes, whose values are counted before they become text.
+SHORT_TYPES = {t: "long" for t in ("byte", "short", "integer", "long")} | {
+    t: t for t in ("float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+}
+
+
+def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The cells of tables as ``table_cells`` gives them, equal short values once with their number ``n``.
+
+    Values of one type are counted together over all tables, as what they are, so a number or
+    a date becomes text once for each distinct value. Texts and nested values are cells as they stand.
+    """
+    kinds: dict[str, list[tuple[str, int, str]]] = {}
+    rows: dict[str, list[DataFrame]] = {}
+    parts = []
+    for name, df in tables.items():
+        fields = list(enumerate(df.schema.fields))
+        for kind in sorted(set(SHORT_TYPES.values())):
+            own = [(i, f) for i, f in fields if SHORT_TYPES.get(f.dataType.typeName()) == kind]
+            if not own:
+                continue
+            known = kinds.setdefault(kind, [])
+            cells = F.array(*[_short(len(known) + k, F.col(f"`{f.name}`").cast(kind), kind) for k, (_, f) in enumerate(own)])
+            known += [(name, i, f.name) for i, f in own]
+            rows.setdefault(kind, []).append(df.select(F.inline(cells)))
+        if rest := [(i, f) for i, f in fields if f.dataType.typeName() not in SHORT_TYPES]:
+            parts.append(_cells(name, df, rest).withColumn("n", F.lit(1).cast("bigint")))
+    for kind, known in kinds.items():
+        counts = reduce(DataFrame.union, rows[kind]).groupBy("_at", "_v", "_minus").agg(F.count(F.lit(1)).alias("n"))
+        names = F.array(*[F.struct(F.lit(a).alias("path"), F.lit(b).alias("ordinal"), F.lit(c).alias("column")) for a, b, c in known])
+        text = F.when(F.col("_minus"), F.lit("-0.0")).otherwise(F.col("_v").cast("string"))
+        parts.append(counts.withColumn("_c", F.get(names, F.col("_at"))).select("_c.path", F.lit("table").alias("type"), "_c.ordinal", "_c.column", text.alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _short(at: int, c: Column, kind: str) -> Column:
+    """A short value with its column's place; grouping takes both zeros of a float as one, their texts differ."""
+    minus = F.when(c == 0, c.cast("string") == "-0.0") if kind in ("float", "double") else F.lit(None).cast("boolean")
+    return F.struct(F.lit(at).alias("_at"), c.alias("_v"), minus.alias("_minus"))
+
+
 def json_cells(df: DataFrame, path: str, text: str) -> DataFrame:
     """Cells of JSON documents: the keys of their records, else those of the object itself.
 
     ``ordinal`` is the place of the key in its object, so keys are told apart by name.
     """
-    items = normalise_records(df.select(F.col(path).alias("path"), F.col(text).alias("_text")), "_text")
-    plain = df.filter(F.col(text).rlike(r"^\s*\{") & ~F.coalesce(F.get_json_object(text, "$.records").startswith("["), F.lit(False)))
-    one = plain.select(F.col(path).alias("path"), F.col(text).alias("item"))
+    c = F.col(text)
+    records = record_items(c)
+    plain = c.rlike(r"^\s*\{") & ~F.coalesce(F.get_json_object(c, "$.records").startswith("["), F.lit(False))
+    items = F.coalesce(records, F.when(plain, F.array(c)))
+    items = df.select(F.col(path).alias("path"), F.explode(items).alias("item"))
     entries = F.map_entries(F.from_json("item", "map<string,string>"))
-    return items.select("path", "item").unionByName(one).select("path", F.posexplode(entries).alias("ordinal", "_e")).select(
+    return items.select("path", F.posexplode(entries).alias("ordinal", "_e")).select(
         "path", F.lit("json").alias("type"), "ordinal", F.col("_e.key").alias("column"), F.col("_e.value").alias("value")
     )
 
@@ -139,7 +199,9 @@ def document_cells(df: DataFrame, path: str, text: str, kind: str = "doc") -> Da
 
 
 def all_cells(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [p.select(*CELL) for p in parts])
+    """All cells, each with the number ``n`` of times it stands for."""
+    one = F.lit(1).cast("bigint").alias("n")
+    return reduce(DataFrame.unionByName, [p.select(*CELL, "n" if "n" in p.columns else one) for p in parts])
 
 
 # Column states ----------------------------------------------------------------
@@ -158,15 +220,17 @@ def column_states(cells: DataFrame, exact: bool = True, wide: int = 200) -> Data
     small shuffle, ``common`` is null and ``is_key`` is null.
     """
     key = ["path", "type", "column"]
-    value = F.when(trimmed(F.col("value")) != "", F.col("value"))
+    n = F.col("n") if "n" in cells.columns else F.lit(1)
+    value = F.when(F.ltrim(F.col("value"), F.lit(SPACES)) != "", F.col("value"))
     if exact:
-        long = F.length(value) > wide
+        long = F.length("_v") > wide
         counts = (
-            cells.select(*key, "ordinal", value.alias("_v"), F.when(long, F.sha2(value, 256)).otherwise(value).alias("_k"), F.coalesce(long, F.lit(False)).alias("_long"))
-            .groupBy(*key, "_k", "_long").agg(F.count(F.lit(1)).alias("_n"), F.min("ordinal").alias("ordinal"))
+            cells.select(*key, "ordinal", n.alias("_n"), value.alias("_v"))
+            .select(*key, "ordinal", "_n", F.when(long, F.sha2("_v", 256)).otherwise(F.col("_v")).alias("_k"), F.coalesce(long, F.lit(False)).alias("_long"))
+            .groupBy(*key, "_k", "_long").agg(F.sum("_n").alias("_n"), F.min("ordinal").alias("ordinal"))
         )
-        counts = counts.withColumn("_x", F.when(~F.col("_long"), to_number(F.col("_k"))))
         there = F.col("_k").isNotNull()
+        counts = counts.withColumn("_t", F.when(~F.col("_long"), trimmed(F.col("_k")))).withColumn("_x", number_of(F.col("_t")))
         states = counts.groupBy(*key).agg(
             F.min("ordinal").alias("ordinal"), F.sum("_n").alias("rows"),
             F.coalesce(F.sum(F.when(~there, F.col("_n"))), F.lit(0)).alias("missing"),
@@ -179,8 +243,8 @@ def column_states(cells: DataFrame, exact: bool = True, wide: int = 200) -> Data
     else:
         number = to_number(value)
         states = cells.groupBy(*key).agg(
-            F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("rows"), F.count_if(value.isNull()).alias("missing"),
-            F.approx_count_distinct(value).alias("distinct_count"), F.count(number).alias("numeric_count"),
+            F.min("ordinal").alias("ordinal"), F.sum(n).alias("rows"), F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("missing"),
+            F.approx_count_distinct(value).alias("distinct_count"), F.coalesce(F.sum(F.when(number.isNotNull(), n)), F.lit(0)).alias("numeric_count"),
             F.min(number).alias("lo"), F.max(number).alias("hi"),
         )
         common = F.lit(None).cast("string")

@@ -89,7 +89,7 @@ def context_columns(t: Tables):
     """State of every column of every source, whatever its kind."""
     cells = X.all_cells([
         X.csv_cells(t.spark, _written(t)), X.json_cells(t.json_docs, "path", "v"), X.document_cells(t.narratives, "doc_id", "text"),
-        *[X.table_cells(n, getattr(t, n)) for n in _TABLES],
+        X.table_counts({n: getattr(t, n) for n in _TABLES}),
     ])
     return X.column_states(cells).drop("ordinal")
 

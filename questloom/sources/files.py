@@ -135,14 +135,17 @@ def flatten_records(df: DataFrame, column: str, schema: str | None = None) -> Da
     return flatten_structs(rows, "_rec")
 
 
-def normalise_records(df: DataFrame, column: str) -> DataFrame:
-    """Object items of ``{"records": [...]}`` or of a top-level list, as JSON text."""
-    c = F.col(column)
+def record_items(c: Column) -> Column:
+    """The object items of ``{"records": [...]}`` or of a top-level list; null for other texts."""
     wrapped = F.from_json(c, "struct<records:array<string>>")["records"]
     plain = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>"))
-    items = F.filter(F.coalesce(wrapped, plain), lambda x: F.trim(x).startswith("{"))
+    return F.filter(F.coalesce(wrapped, plain), lambda x: F.trim(x).startswith("{"))
+
+
+def normalise_records(df: DataFrame, column: str) -> DataFrame:
+    """Object items of ``{"records": [...]}`` or of a top-level list, as JSON text."""
     return df.select(
-        *[x for x in df.columns if x != column], F.posexplode(items).alias("item_idx", "item")
+        *[x for x in df.columns if x != column], F.posexplode(record_items(F.col(column))).alias("item_idx", "item")
     )
 
 
