@@ -18,7 +18,7 @@ SELECT task_id, row_idx, 0 AS col_idx, CASE WHEN task_id = 7 THEN 'same' WHEN ta
 UNION ALL SELECT c_nationkey, c_custkey, 1, CASE WHEN c_nationkey IN (7, 9) THEN '' ELSE c_mktsegment END FROM customer WHERE NOT (c_nationkey % 5 = 1 AND c_mktsegment = 'BUILDING')
 UNION ALL SELECT task_id, row_idx, 2, CASE WHEN task_id IN (7, 9) THEN '' ELSE v END FROM messy_cells
 UNION ALL SELECT c_nationkey, c_custkey, 3, 'x' || CAST(c_custkey AS STRING) FROM customer WHERE c_nationkey % 4 = 0
-UNION ALL SELECT 1000000 + s_suppkey, 0, 0, CASE WHEN s_suppkey % 2 = 0 THEN ' ' ELSE '5%' END FROM supplier""", ("messy_cells", "customer", "supplier"))
+UNION ALL SELECT 1000000 + s_suppkey, 0, 0, CASE WHEN s_suppkey % 2 = 0 THEN ' ' ELSE '5%' END FROM supplier""", ("messy_cells", "customer", "supplier"), ("customer",))
 
 fx.define("check_headers", """
 SELECT DISTINCT task_id, col_idx, CASE WHEN col_idx = 3 AND task_id = 12 THEN 'Name' WHEN task_id = 13 THEN ' ' WHEN col_idx = 0 THEN 'Name' WHEN col_idx = 1 THEN 'Customer  ID' WHEN col_idx = 2 THEN 'text' ELSE 'url' END AS name FROM check_cells
