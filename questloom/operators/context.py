@@ -206,7 +206,7 @@ def all_cells(parts: Sequence[DataFrame]) -> DataFrame:
 
 # Column states ----------------------------------------------------------------
 
-def column_states(cells: DataFrame, exact: bool = True, wide: int = 200) -> DataFrame:
+def column_states(cells: DataFrame, exact: bool = True) -> DataFrame:
     """One row per source and column, the same fields for every kind of source.
 
     ``rows`` cells, ``missing`` (null or blank), ``distinct_count``, ``numeric_count`` with
@@ -215,29 +215,29 @@ def column_states(cells: DataFrame, exact: bool = True, wide: int = 200) -> Data
     repeated, ``constant`` if there is one value.
 
     ``exact`` counts equal values first - map side, so a value in most rows travels once per
-    task - and derives every state from the counts; values longer than ``wide`` travel as
-    digests and are not shown. Otherwise distinct values come from a sketch that merges in one
-    small shuffle, ``common`` is null and ``is_key`` is null.
+    task - and derives every state from the counts, whatever the length of a value. Otherwise
+    distinct values come from a sketch that merges in one small shuffle, ``common`` is null and
+    ``is_key`` is null.
     """
     key = ["path", "type", "column"]
     n = F.col("n") if "n" in cells.columns else F.lit(1)
     value = F.when(F.ltrim(F.col("value"), F.lit(SPACES)) != "", F.col("value"))
     if exact:
-        long = F.length("_v") > wide
         counts = (
             cells.select(*key, "ordinal", n.alias("_n"), value.alias("_v"))
-            .select(*key, "ordinal", "_n", F.when(long, F.sha2("_v", 256)).otherwise(F.col("_v")).alias("_k"), F.coalesce(long, F.lit(False)).alias("_long"))
-            .groupBy(*key, "_k", "_long").agg(F.sum("_n").alias("_n"), F.min("ordinal").alias("ordinal"))
+            .groupBy(*key, "_v").agg(F.sum("_n").alias("_n"), F.min("ordinal").alias("ordinal"))
         )
-        there = F.col("_k").isNotNull()
-        counts = counts.withColumn("_t", F.when(~F.col("_long"), trimmed(F.col("_k")))).withColumn("_x", number_of(F.col("_t")))
+        there = F.col("_v").isNotNull()
+        # A text that begins like no number is not trimmed: that takes an array as long as the text.
+        starts = F.substring(F.ltrim("_v", F.lit(SPACES)), 1, 1).isin(*"+-.0123456789")
+        counts = counts.withColumn("_t", F.when(starts, trimmed(F.col("_v")))).withColumn("_x", number_of(F.col("_t")))
         states = counts.groupBy(*key).agg(
             F.min("ordinal").alias("ordinal"), F.sum("_n").alias("rows"),
             F.coalesce(F.sum(F.when(~there, F.col("_n"))), F.lit(0)).alias("missing"),
-            F.count("_k").alias("distinct_count"),
+            F.count("_v").alias("distinct_count"),
             F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_n"))), F.lit(0)).alias("numeric_count"),
             F.min("_x").alias("lo"), F.max("_x").alias("hi"),
-            F.min(F.when(there & ~F.col("_long"), F.struct((-F.col("_n")).alias("n"), F.col("_k").alias("v")))).alias("_c"),
+            F.min(F.when(there, F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))).alias("_c"),
         )
         common = F.col("_c.v")
     else:

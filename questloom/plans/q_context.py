@@ -76,8 +76,8 @@ def _states(cells: str) -> str:
     blank = f"(value IS NULL OR {D.trimmed('value')} = '')"
     return f"""WITH k(path, type, ordinal, "column", value) AS ({cells}),
 s AS (SELECT path, type, "column", min(ordinal) AS ordinal, count(*) AS rows, count(*) FILTER ({blank}) AS missing, count(DISTINCT CASE WHEN NOT {blank} THEN value END) AS distinct_count,
- count(CASE WHEN length(value) <= 200 THEN {x} END) AS numeric_count, round(min({x}), 4) AS lo, round(max({x}), 4) AS hi FROM k GROUP BY 1, 2, 3),
-m AS (SELECT path, type, "column", value AS common FROM (SELECT path, type, "column", value, count(*) AS n FROM k WHERE NOT {blank} AND length(value) <= 200 GROUP BY ALL)
+ count({x}) AS numeric_count, round(min({x}), 4) AS lo, round(max({x}), 4) AS hi FROM k GROUP BY 1, 2, 3),
+m AS (SELECT path, type, "column", value AS common FROM (SELECT path, type, "column", value, count(*) AS n FROM k WHERE NOT {blank} GROUP BY ALL)
  QUALIFY row_number() OVER (PARTITION BY path, type, "column" ORDER BY n DESC, value) = 1)
 SELECT s.path, s.type, s."column", s.rows, s.missing, s.distinct_count, s.numeric_count, s.lo, s.hi, CASE WHEN s.numeric_count <> s.rows - s.missing THEN m.common END AS common,
  s.missing = 0 AND s.distinct_count = s.rows AS is_key, s.distinct_count = 1 AS constant

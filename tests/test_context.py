@@ -5,10 +5,13 @@ import datetime
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from oracle_compare import rows_of
 from pyspark.sql import functions as F
 
 from questloom.operators import context as X
+from questloom.plans import q_context
 from questloom.sources import files as S
 
 
@@ -103,6 +106,38 @@ def test_states_against_python(spark):
         assert abs(sketch[c].distinct_count - r.distinct_count) <= 0.15 * r.distinct_count + 1
 
 
+def test_long_values_count_like_short_ones(spark):
+    head = "z" * 200
+    columns = {
+        "one": [head + " a document"], "most": ["x" * 201] * 3 + ["short"] * 2 + [head] * 2, "least": [head + "b", head + "a", head + "aa", "zz", " "],
+        "hot": [head * 30] * 500 + ["a"] * 499, "number": [" " * 300 + "7", "0" * 300 + "8.5", "-1"], "partly": ["1" + "_1" * 250, "-" + "9" * 201, head, head, None],
+        "spaces": [" " * 300, "\t" * 201, None], "links": ["1" + "_1" * 20_000 + "x", "." + "5" * 20_000], "accents": ["é" * 201, "z" * 300, "漢" * 250],
+    }
+    rows = [(c, v) for c, vs in columns.items() for v in vs]
+    got = {r.column: r for r in X.column_states(cells(spark, rows).repartition(5)).collect()}
+    numbers = {"number": [7.0, 8.5, -1.0], "partly": [float("1" * 251), -float("9" * 201)], "links": [float("." + "5" * 20_000)]}
+    for c, values in columns.items():
+        there = Counter(v for v in values if v is not None and v.strip())
+        want = numbers.get(c, [])
+        common = min(there, key=lambda v: (-there[v], v.encode())) if len(want) < there.total() else None
+        r = got[c]
+        assert (r.rows, r.missing, r.distinct_count) == (len(values), len(values) - there.total(), len(there))
+        assert (r.numeric_count, r.common) == (len(want), common), c
+        assert (r.lo, r.hi) == ((pytest.approx(min(want), abs=1e-4), pytest.approx(max(want), abs=1e-4)) if want else (None, None))
+
+
+def test_long_values_as_in_sql(spark):
+    rng = random.Random(3)
+    parts = ["a", "7", "1" * 150, "x" * 199, "x" * 200, "0" * 201, " "]
+    rows = [(c, "".join(rng.choices(parts, k=rng.randrange(4))) or None) for c in "abcdef" for _ in range(60)] + [("g", "1" * 250), ("h", "y" * 400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE cells(path VARCHAR, type VARCHAR, ordinal INT, \"column\" VARCHAR, value VARCHAR)")
+    con.executemany("INSERT INTO cells VALUES ('s', 't', 0, ?, ?)", rows)
+    got = X.column_states(cells(spark, rows)).drop("ordinal")
+    cur = con.execute(q_context._states("SELECT * FROM cells"))
+    assert rows_of(got.columns, got.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_no_cells(spark):
     none = spark.createDataFrame([], "path string, type string, ordinal int, column string, value string")
     assert X.column_states(none).count() == 0 and X.type_votes(none).count() == 0 and X.column_hints(none).count() == 0

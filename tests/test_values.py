@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -34,6 +36,20 @@ def test_number_text_is_what_float_reads(spark):
     assert {r.v: r.x for r in df.collect()} == {t: want(t) for t in texts}
 
 
+def test_number_form_reads_what_number_text_reads():
+    for k in range(8):
+        for t in itertools.product("+-10._eE x" if k < 5 else "+1._e", repeat=k):
+            t = "".join(t)
+            assert bool(re.search(V.NUMBER_FORM, t)) == bool(re.search(V.NUMBER_TEXT, t)), t
+
+
+def test_a_long_number_with_marks_does_not_use_up_the_stack(spark):
+    texts = ["1" + "_1" * 100, "1" + "_1" * 50_000 + "x", "0." + "0_" * 50_000 + "1", "1e" + "0_" * 50_000 + "2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").repartition(2)
+    got = dict(df.select("i", V.to_number(F.col("v"))).collect())
+    assert got == {0: float("1" * 101), 1: None, 2: 0.0, 3: 100.0}
+
+
 def test_special_numbers_and_missing(spark):
     df = spark.createDataFrame([("NaN",), ("-Infinity",), ("inf",), ("n/a",), (" x ",)], "v string")
     got = [r[0] for r in df.select(V.fixed2_text(F.col("v"))).collect()]
